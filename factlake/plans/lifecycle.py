@@ -1,0 +1,170 @@
+"""Queries of writes, consolidation and quality checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factlake import views as v
+from factlake.operators import lifecycle as c
+from factlake.operators import lint
+from factlake.plans.registry import query
+from factlake.views import sql
+
+NOW = 1_710_000_000_000
+
+
+def _fact_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.facts(spark, d)
+    return rows.select("id", "content", "source_id", F.array("entity").alias("entity_ids"), F.col("created_at").alias("updated_at"))
+
+
+@query("l1_insert_dedup", sql("""SELECT min(id) AS id, content, source_id, string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities FROM facts GROUP BY content, source_id"""))
+def l1(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fact_rows(spark, d)
+    facts, _ = c.insert(rows.limit(0), rows)
+    return facts.select("id", "content", "source_id", F.array_join("entity_ids", ",").alias("entities"))
+
+
+@query("l1_insert_receipts", sql("SELECT id, min(id) OVER (PARTITION BY content, source_id) AS stored_id, id <> min(id) OVER (PARTITION BY content, source_id) AS merged FROM facts"))
+def l1r(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fact_rows(spark, d)
+    return c.insert(rows.limit(0), rows)[1]
+
+
+@query("l3_conflict_resolution", sql("""SELECT id, CASE WHEN live AND n > 1 THEN w ELSE superseded_by END AS superseded_by FROM (SELECT *, row_number() OVER p AS n, first_value(id) OVER p AS w FROM (
+SELECT *, superseded_at IS NULL AND fact_type IN ('signup', 'purchase') AS live FROM facts) WINDOW p AS (PARTITION BY entity, fact_type, source_id, live ORDER BY created_at DESC, id DESC))"""))
+def l3(spark: SparkSession, d: str) -> DataFrame:
+    return c.resolve_conflicts(v.facts(spark, d), ["signup", "purchase"]).select("id", "superseded_by")
+
+
+@query("l4_supersede", sql("SELECT id, CASE WHEN superseded_at IS NULL AND fact_type = 'view' THEN 0 ELSE superseded_by END AS superseded_by FROM facts"))
+def l4(spark: SparkSession, d: str) -> DataFrame:
+    facts = v.facts(spark, d)
+    pairs = facts.where("fact_type = 'view'").select(F.col("id").alias("old_id"), F.lit(0).cast("long").alias("new_id"))
+    return c.supersede(facts, pairs, NOW)[0].select("id", "superseded_by")
+
+
+@query("l4_supersede_errors", sql("SELECT id, superseded_by FROM facts WHERE fact_type = 'view' AND superseded_at IS NOT NULL"))
+def l4e(spark: SparkSession, d: str) -> DataFrame:
+    facts = v.facts(spark, d)
+    pairs = facts.where("fact_type = 'view'").select(F.col("id").alias("old_id"), F.lit(0).cast("long").alias("new_id"))
+    return c.supersede(facts, pairs, NOW)[1]
+
+
+@query("l5_expired", sql(f"SELECT id FROM facts WHERE superseded_at IS NULL AND ((fact_type = 'view' AND created_at + 10 * 86400000::BIGINT < {NOW}) OR (fact_type = 'click' AND created_at + 40 * 86400000::BIGINT < {NOW}))"))
+def l5t(spark: SparkSession, d: str) -> DataFrame:
+    return c.expired(v.facts(spark, d), {"view": 10, "click": 40}, NOW).select("id")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = v.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("ns"), F.col("embedding").alias("v"))
+
+
+SIM = """sims AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85)"""
+
+
+@query("j7_similar_pairs", sql("SELECT a, b FROM sims", SIM))
+def j7(spark: SparkSession, d: str) -> DataFrame:
+    return c.similar_pairs(_vectors(spark, d), 0.85).select("a", "b")
+
+
+@query("l5_semantic_dedup", sql("SELECT a AS id, min(b) AS superseded_by FROM sims GROUP BY 1", SIM))
+def l5(spark: SparkSession, d: str) -> DataFrame:
+    return c.semantic_dedup(_vectors(spark, d), 0.85)
+
+
+@query("l6_consolidate")
+def l6(spark: SparkSession, d: str) -> DataFrame:
+    return c.consolidate(_vectors(spark, d), 0.85, budget=1)
+
+
+@query("l7_archive", sql("SELECT id, superseded_at IS NOT NULL AS cold FROM facts"))
+def l7(spark: SparkSession, d: str) -> DataFrame:
+    facts = v.facts(spark, d).select("id", "superseded_at")
+    hot, cold = c.archive(facts, facts.limit(0), facts.where("superseded_at IS NOT NULL").select("id"))
+    return hot.select("id", F.lit(False).alias("cold")).unionByName(cold.select("id", F.lit(True).alias("cold")))
+
+
+@query("l8_delete", sql("SELECT id FROM facts WHERE fact_type <> 'error'"))
+def l8(spark: SparkSession, d: str) -> DataFrame:
+    facts = v.facts(spark, d)
+    return c.delete(facts, facts.where("fact_type = 'error'").select("id")).select("id")
+
+
+@query("l9_feedback", sql("""SELECT id, round(list_reduce(list_prepend(0.5::DOUBLE, steps), lambda s, x: greatest(0.0, least(1.0, s + x))), 6) AS relevance_score FROM (
+SELECT user_id AS id, list(CASE WHEN value > 10 THEN 0.1 ELSE -0.15 END::DOUBLE ORDER BY event_id) AS steps FROM events WHERE event_type = 'click' GROUP BY 1)"""))
+def l9(spark: SparkSession, d: str) -> DataFrame:
+    votes = v.table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("fact_id"), (F.col("value") > 10).alias("helpful"), F.col("event_id").alias("at"))
+    return c.feedback(votes.select(F.col("fact_id").alias("id")).distinct(), votes)
+
+
+@query("l10_pin", sql("SELECT id, pinned OR fact_type = 'signup' AS pinned FROM facts"))
+def l10(spark: SparkSession, d: str) -> DataFrame:
+    return v.facts(spark, d).select("id", (F.col("pinned") | (F.col("fact_type") == "signup")).alias("pinned"))
+
+
+@query("l12_resolve_entities", sql("""SELECT wanted, coalesce(id, 'new:' || left(sha256(lower(wanted)), 16)) AS id, id IS NULL AS created FROM (SELECT DISTINCT event_type AS wanted FROM events UNION SELECT n_name FROM nation)
+LEFT JOIN (SELECT lower(name) AS low, min(id) AS id FROM entities GROUP BY 1) ON low = lower(wanted)"""))
+def l12(spark: SparkSession, d: str) -> DataFrame:
+    names = v.table(spark, d, "events").select(F.col("event_type").alias("wanted")).union(v.table(spark, d, "nation").select("n_name"))
+    return c.resolve_entities(names, v.entities(spark, d))
+
+
+@query("l14_vector_rebuild", sql("SELECT d.doc_id AS id, e.vec_id IS NULL AS to_embed FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"))
+def l14(spark: SparkSession, d: str) -> DataFrame:
+    """Cached vectors are reused; texts without one are left to embed."""
+    cached = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("has"))
+    return v.texts(spark, d).select("id").join(cached, "id", "left").select("id", F.col("has").isNull().alias("to_embed"))
+
+
+def _handoff_events(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events play handoffs: a sign-up dispatches, a click accepts, views keep alive, a purchase returns."""
+    action = F.create_map(*[F.lit(x) for kv in {"signup": "dispatch", "click": "accept", "view": "heartbeat", "purchase": "return"}.items() for x in kv])
+    e = v.table(spark, d, "events").where("event_type <> 'error'")
+    return e.select(F.col("user_id").alias("id"), v.millis("ts").alias("at"), F.col("event_id").alias("seq"), action[F.col("event_type")].alias("action"), F.lit("agent").alias("actor"))
+
+
+@query("l16_handoff_states")
+def l16(spark: SparkSession, d: str) -> DataFrame:
+    return c.handoff_states(_handoff_events(spark, d), NOW, 86_400_000)
+
+
+@query("a24_handoff_board")
+def a24(spark: SparkSession, d: str) -> DataFrame:
+    return c.board(c.handoff_states(_handoff_events(spark, d), NOW, 86_400_000))
+
+
+@query("l17_inbox", sql("SELECT entity, id FROM facts WHERE source_id = 'ns2' AND fact_type = 'signup' ORDER BY created_at DESC, id DESC LIMIT 25"))
+def l17(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.facts(spark, d).where("source_id = 'ns2' AND fact_type = 'signup'")
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(25).select("entity", "id")
+
+
+@query("i1_orphans", sql("SELECT id FROM entities WHERE id NOT IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations UNION SELECT entity_id FROM fact_entities)"))
+def i1(spark: SparkSession, d: str) -> DataFrame:
+    return lint.orphans(v.entities(spark, d), v.relations(spark, d), v.fact_entities(spark, d)).select("id")
+
+
+GRAMS = r"""names AS (SELECT entity_type, lower(name) AS low, min(id) AS id, list_distinct(list_transform(range(1, length(min(name)) + 3), lambda i: substr('  ' || lower(min(name)) || '  ', i, 3))) AS g FROM entities
+WHERE entity_type IN ('customer', 'supplier', 'nation') GROUP BY 1, 2),
+ex AS (SELECT entity_type, id, len(g) AS n, unnest(g) AS t FROM names),
+shared AS (SELECT a.id AS a_id, b.id AS b_id, a.n AS an, b.n AS bn, count(*) AS s FROM ex a JOIN ex b ON a.entity_type = b.entity_type AND a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4)"""
+
+
+@query("i2_duplicates", sql("SELECT a_id, b_id, round(s / (an + bn - s)::DOUBLE, 6) AS similarity FROM shared WHERE s >= 4 AND least(an, bn) >= 0.8 * greatest(an, bn) AND s / (an + bn - s)::DOUBLE > 0.8", GRAMS))
+def i2(spark: SparkSession, d: str) -> DataFrame:
+    e = v.entities(spark, d).where("entity_type IN ('customer', 'supplier', 'nation')")
+    return lint.duplicates(e, ratio=0.8, similarity=0.8).select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("i3_stale", sql("SELECT id FROM entities WHERE updated_at < 100"))
+def i3(spark: SparkSession, d: str) -> DataFrame:
+    return lint.stale(v.entities(spark, d), 200, 100).select("id")
+
+
+@query("i4_conflicts", sql("SELECT entity, count(*) AS n, min(id) AS first_id FROM facts WHERE superseded_at IS NULL AND fact_type IN ('signup', 'purchase', 'click') GROUP BY 1 HAVING count(*) >= 2"))
+def i4(spark: SparkSession, d: str) -> DataFrame:
+    return lint.conflicts(v.facts(spark, d), ["signup", "purchase", "click"])
