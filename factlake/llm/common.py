@@ -58,6 +58,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` (narrow) rows, else
+    as it is, for a shuffled join that splits skewed keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: the rank from 0 over all rows, without a single task.
 

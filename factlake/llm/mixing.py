@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import ranked, staged, words_of
+from factlake.llm.common import ranked, small, staged, words_of
 
 #: Documents that share one step of the ranking; only the step in which a
 #: source's words run out is looked at row by row.
@@ -94,7 +94,7 @@ def mix(
         F.count("*").alias("n_docs"),
         F.sum(F.col("w") * F.col("size")).alias("weighted"),
     )
-    sources = source_targets(sizes, weights, max_copies).drop("source")
+    sources = small(source_targets(sizes, weights, max_copies).drop("source"))
 
     expected = F.least(
         F.lit(float(max_copies)), F.col("target") / F.col("source_size") * F.col("w") * F.col("source_size") / F.col("weighted")
@@ -127,7 +127,8 @@ def mix(
         .agg(F.min(F.struct("step", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("left"))).alias("x"))
         .select("skey", F.col("x.step").alias("last"), F.col("x.left").alias("left"))
     )
-    rows = rows.join(last, "skey", "left")
+    # with few sources no row moves here; only those of the last steps are shuffled
+    rows = rows.join(small(staged(last, "last-steps")), "skey", "left")
     at_last = F.coalesce(F.col("step") == F.col("last"), F.lit(False))
     sure = F.col("step").isNotNull() & (F.col("last").isNull() | (F.col("step") < F.col("last")))
     names = ["doc_id", "source", "skey", "size", "source_size", "target", "whole", "p", "at", "left"]

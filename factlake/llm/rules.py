@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import SPACES, let, staged, words_of
+from factlake.llm.common import let, small, staged, words_of
 
 RISK, LEVEL = 0.05, 0.05
 #: Cutoffs of each rule, lenient to strict.
@@ -197,9 +197,7 @@ def judged(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
     Cutoffs have a row per language; they are broadcast while they are few.
     """
-    few = cutoffs.limit(10_001).count() <= 10_000
-    cuts = cutoffs.select("stratum", F.struct(*CUTOFFS).alias("__cut")).withColumnRenamed("stratum", "__stratum")
-    cuts = F.broadcast(cuts) if few else cuts
+    cuts = small(cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*CUTOFFS).alias("__cut")))
     rows = stats.join(cuts, stratum(F.col("lang")) == F.col("__stratum"), "left")
     values = measures(F.col("__s"))
     bad = reduce(lambda a, b: a | b, [F.coalesce(values[r] > F.col("__cut")[r], F.lit(False)) for r in CUTOFFS])
