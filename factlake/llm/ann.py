@@ -7,12 +7,12 @@
    in-memory index. Its size is bounded by ``MAX_LISTS``, whatever the input.
 3. Tasks search that graph for every vector and put it in the list of its
    nearest centroid; a boundary vector is replicated to further ones within
-   (1 + ``SPREAD``) of the nearest distance, unless a chosen centroid is closer
-   to that one than the vector is.
+   (1 + ``SPREAD``) of the nearest distance, up to ``MAX_COPIES`` lists.
 4. Lists over ``SHARD`` rows are cut into shards by a hash.
 5. A query searches the graph and asks the lists whose centroid is within
-   (1 + ``PROBE``) of its nearest one, at most ``MAX_PROBES``; each shard compares
-   its queries with its rows in double precision and keeps the best of each.
+   (1 + ``PROBE``) of its nearest one (``MIN_PROBES`` to ``MAX_PROBES`` of them);
+   each shard compares its queries with its rows in double precision and keeps
+   the best of each.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part; fewer candidates than ``k``
@@ -34,9 +34,9 @@ from pyspark.sql.window import Window
 from factlake.llm.common import staged
 
 LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
-SPREAD, MAX_COPIES = 0.10, 6
-PROBE, MAX_PROBES = 0.35, 96
-DEGREE, BEAM, ENTRIES = 24, 128, 64
+SPREAD, MAX_COPIES = 0.15, 4
+PROBE, MIN_PROBES, MAX_PROBES = 0.14, 16, 256
+DEGREE, BEAM, ENTRIES = 24, 40, 32
 
 
 def usable(v: Column, length: Column | None = None) -> Column:
@@ -142,23 +142,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _posting_lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each vector's lists: its home and its boundary replicas."""
-    ids, dist = graph.search(x, min(2 * MAX_COPIES, len(graph.c)))
-    chosen = np.zeros(ids.shape, bool)
-    chosen[:, 0] = True
-    for j in range(1, ids.shape[1]):
-        near = dist[:, j] <= (1 + SPREAD) * dist[:, 0]
-        for i in range(j):  # a chosen centroid that is closer to this one covers it
-            gap = np.sqrt(((graph.c[ids[:, i]] - graph.c[ids[:, j]]) ** 2).sum(axis=1))
-            near &= ~(chosen[:, i] & (gap < dist[:, j]))
-        chosen[:, j] = near & (chosen.sum(axis=1) < MAX_COPIES)
-    row, at = np.nonzero(chosen)
+    ids, dist = graph.search(x, min(MAX_COPIES, len(graph.c)))
+    row, at = np.nonzero(dist <= (1 + SPREAD) * dist[:, :1])
     return row, ids[row, at]
 
 
 def _probes(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each query asks."""
     ids, dist = graph.search(x, min(MAX_PROBES, len(graph.c)))
-    row, at = np.nonzero(dist <= (1 + PROBE) * dist[:, :1])
+    asked = dist <= (1 + PROBE) * dist[:, :1]
+    asked[:, :MIN_PROBES] = True
+    row, at = np.nonzero(asked)
     return row, ids[row, at]
 
 
