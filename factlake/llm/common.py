@@ -64,6 +64,21 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hash_unit(*cols: str) -> Column:
+    """A number in [0, 1) from a hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
+
+
+def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The ``n`` rows that come first by a hash of the keys.
+
+    A threshold on the hash, from the number of rows, leaves about 2n + 1000
+    rows to sort, so no task gets more of them as the input grows.
+    """
+    share = (2 * n + 1000) / max(1, df.count())
+    return df.where(hash_unit(*keys) < share).orderBy(hash_unit(*keys), *keys).limit(n)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: the rank from 0 over all rows, without a single task.
 

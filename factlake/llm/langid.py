@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factlake.llm.common import hash_unit, small
+
 BUCKETS, PER_LANG, SMOOTHING = 1 << 15, 2000, 0.5
 #: Code points scored at once.
 BLOCK = 300_000
@@ -89,8 +91,12 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def train(docs: DataFrame, learn_from: Column) -> tuple[list[str], np.ndarray]:
     """Languages and the (bucket, language) matrix of log-probabilities."""
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LANG)
+    # a threshold on the hash leaves about twice the sample, so that no window grows with the input
+    share = rows.groupBy(F.col("lang").alias("__lang")).agg(((2 * PER_LANG + 1000) / F.count("*")).alias("__share"))
+    few = rows.select("doc_id", "lang").withColumn("u", hash_unit("doc_id"))
+    few = few.join(small(share), (F.col("lang") == F.col("__lang")) & (F.col("u") < F.col("__share")))
+    first = Window.partitionBy("lang").orderBy("u", "doc_id")
+    ids = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LANG)
     sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
