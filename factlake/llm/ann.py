@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import staged
+from factlake.llm.common import hashed_sample, staged
 
 LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
 SPREAD, MAX_COPIES = 0.15, 4
@@ -194,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sample = hashed_sample(points, SAMPLE, "node").select("v").toArrow()["v"].combine_chunks()
     sample = _matrix(sample)
     lists = int(min(MAX_LISTS, max(1, n // LIST_SIZE), len(sample)))
     model = spark.sparkContext.broadcast(Graph(fit(sample, lists)))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import hashed_sample
+
 PASSAGE, SAMPLE, BAG = 600, 6000, 64
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 24, 12, 14, 0.01, 64
 BINS = 32
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Attention:
     """Fit on the labelled documents that ``learn_from`` allows."""
     known = labels.where(F.col("quality").isNotNull()).where(learn_from)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("__id"), "quality")
+    picked = hashed_sample(known, SAMPLE, "doc_id").select(F.col("doc_id").alias("__id"), "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

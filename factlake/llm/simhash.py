@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import shared_dir, staged
+from factlake.llm.common import hashed_sample, shared_dir, staged
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints sampled for the upper tree, its depth, and the size of a leaf.
@@ -174,7 +174,7 @@ def _shard_links(points: np.ndarray, queries: np.ndarray, max_bits: int) -> np.n
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect the classes (node, fp) of every component."""
-    sample = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"]
+    sample = hashed_sample(classes, SAMPLE, "fp").select("fp").toPandas()["fp"]
     nodes = build_tree(sample.to_numpy(np.int64).view(np.uint64), DEPTH)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
