@@ -90,11 +90,11 @@ def _repeat_words(words: Column) -> Column:
     return windows(words).cast("long")
 
 
-def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Text statistics, beside doc_id and lang or the columns to ``keep``."""
+def statistic() -> Column:
+    """All statistics of the column ``text``, as one struct."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
-    stat = let(
+    return let(
         words_of(F.col("text")),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -111,8 +111,11 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    cols = keep or ["doc_id", "lang"]
-    return docs.select(*[F.col(f"`{c}`") for c in cols], stat.alias("__s"))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, ``__s``)."""
+    return docs.select("doc_id", "lang", statistic().alias("__s"))
 
 
 def measures(s: Column) -> dict[str, Column]:
@@ -192,26 +195,29 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: fl
     return staged(table.select("stratum", "n", *chosen), "cutoffs")
 
 
-def judged(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``stats`` with __base_failed and __kept.
+def with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``rows`` with ``__cut``, the cutoffs of their stratum, or null.
 
     Cutoffs have a row per language; they are broadcast while they are few.
     """
     cuts = small(cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*CUTOFFS).alias("__cut")))
-    rows = stats.join(cuts, stratum(F.col("lang")) == F.col("__stratum"), "left")
-    values = measures(F.col("__s"))
-    bad = reduce(lambda a, b: a | b, [F.coalesce(values[r] > F.col("__cut")[r], F.lit(False)) for r in CUTOFFS])
-    rows = rows.withColumn("__base_failed", base_failed(F.col("__s")))
-    return rows.withColumn("__kept", ~F.col("__base_failed") & ~bad).drop("__stratum", "__cut")
+    return rows.join(cuts, stratum(F.col("lang")) == F.col("__stratum"), "left")
+
+
+def passes(s: Column, cut: Column) -> Column:
+    """Whether no rule of the method rejects a document."""
+    values = measures(s)
+    return ~reduce(lambda a, b: a | b, [F.coalesce(values[r] > cut[r], F.lit(False)) for r in CUTOFFS])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, statistics, base_failed and kept of every document."""
     stats = staged(statistics(docs), "rules")
-    out = judged(stats, calibrate(stats, labels))
+    out = with_cutoffs(stats, calibrate(stats, labels))
+    failed = base_failed(F.col("__s"))
     return out.select(
         "doc_id", "__s.n_words", "__s.word_chars", "__s.n_symbols", "__s.lines.n_dup_lines", "__s.n_repeat_words",
-        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"),
+        failed.alias("base_failed"), (~failed & passes(F.col("__s"), F.col("__cut"))).alias("kept"),
     )
 
 
@@ -223,5 +229,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     some = docs.join(labels.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
     cutoffs = calibrate(staged(statistics(some), "rules"), labels)
-    bare = statistics(docs, docs.columns)
-    return judged(bare, cutoffs).where("__kept").select(*docs.columns)
+    # one expression, so that the filter computes the statistics once per row
+    keep = let(statistic(), lambda s: ~base_failed(s) & passes(s, F.col("__cut")))
+    return with_cutoffs(docs, cutoffs).where(keep).select(*docs.columns)
