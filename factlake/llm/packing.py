@@ -183,7 +183,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(fill, schema)
+    # pandas has no whole number for null: the smallest long stands for it meanwhile
+    none = F.lit(-(2**63))
+    rows = pieces.withColumn("shard", shard).withColumn("doc_id", F.coalesce("doc_id", none))
+    return rows.groupBy("shard").applyInPandas(fill, schema).withColumn("doc_id", F.nullif("doc_id", none))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:

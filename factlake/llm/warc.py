@@ -130,9 +130,10 @@ def _record(row: dict, payload: bytes) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = row["refers_to"] is not None
     block = http if revisit else http + payload
+    url = (row["url"] or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{row['page_id']}>",
-        f"WARC-Date: {DATE}", f"WARC-Target-URI: {row['url'] or 'urn:none'}", f"WARC-Payload-Digest: sha1:{row['digest']}",
+        f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{row['digest']}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
