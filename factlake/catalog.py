@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlake.plans import facts, graphs, lifecycle, ranking, replication, text
+from factlake.plans import facts, graphs, lifecycle, ranking, replication, surface, text
 from factlake.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "facts", "graphs", "lifecycle", "ranking", "replication", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "facts", "graphs", "lifecycle", "ranking", "replication", "surface", "text"]
