@@ -193,8 +193,9 @@ DATE = (
 
 
 def digits(text: Column) -> Column:
-    """Number words as digits, one word at a time."""
-    return reduce(lambda t, w: F.regexp_replace(t, rf"(?i)\b{w}\b", NUMBERS[w]), NUMBERS, text)
+    """Number words as digits, one word at a time; most texts hold none."""
+    changed = reduce(lambda t, w: F.regexp_replace(t, rf"(?i)\b{w}\b", NUMBERS[w]), NUMBERS, text)
+    return F.when(text.rlike(rf"(?i)\b(?:{'|'.join(NUMBERS)})\b"), changed).otherwise(text)
 
 
 def spans(text: Column, pattern: str) -> Column:

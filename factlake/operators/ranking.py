@@ -40,9 +40,14 @@ def bm25(docs: DataFrame, query: str, text: str = "content", where: Column | Non
     """Documents with ``score`` > 0. Only query terms leave the token array, so
     no token table is shuffled; the statistics are one aggregate over the corpus."""
     terms = query_terms(query)
-    words = docs.withColumn("__tokens", tokens(F.col(text)))
-    tf = [F.size(F.filter("__tokens", F.lit(t).__eq__)).alias(f"__tf{i}") for i, t in enumerate(terms)]
-    rows = words.select(*docs.columns, F.size("__tokens").alias("__len"), *tf)
+    # tokens are bound once per row: their number, and how often each term occurs
+    counted = F.transform(
+        F.array(tokens(F.col(text))),
+        lambda w: F.struct(F.size(w).alias("n"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"t{i}") for i, t in enumerate(terms)]),
+    )
+    words = docs.withColumn("__w", F.explode(counted))
+    tf = [F.col(f"__w.t{i}").alias(f"__tf{i}") for i in range(len(terms))]
+    rows = words.select(*docs.columns, F.col("__w.n").alias("__len"), *tf)
     stats = rows.agg(
         F.count("*").alias("n"), F.avg("__len").alias("avg"),
         *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
