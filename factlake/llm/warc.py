@@ -273,3 +273,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
 def open_packages(spark: SparkSession, uris: list[str]) -> DataFrame:
     """Packages by name, for ``locate``."""
     return spark.createDataFrame([(u,) for u in uris], "package string")
+
+
+def oracle() -> str:
+    """The round trip of ``pages`` in SQL."""
+    return f"""
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= {MIN_REVISIT} AND page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= {MIN_REVISIT} AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages))"""

@@ -384,6 +384,11 @@ def test_warc(spark):
     assert warc.round_trip(cases.nothing(pages)).count() == 0
 
 
+def test_warc_against_sql(spark):
+    con = oracle.connect(SF)
+    assert oracle.difference(queries.op9_warc(spark, SF), con, warc.oracle()) is None
+
+
 def test_packages_are_zip_files(spark):
     pages = read(spark, "pages")
     packages = [r.package for r in warc.write(pages).collect()]
