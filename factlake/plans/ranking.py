@@ -320,3 +320,40 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("entity").alias("session")).agg(
         F.count("*").alias("hits"), F.max("source_confidence").alias("best"), F.min("created_at").alias("first_seen")
     )
+
+
+@query("r33_server_auto", sql("""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) DESC, id) AS rank FROM lexical l FULL JOIN semantic s USING (id)
+WHERE (SELECT count(*) < 3 OR max(score) < 1.25 FROM lexical) UNION ALL SELECT id, rank FROM lexical WHERE NOT (SELECT count(*) < 3 OR max(score) < 1.25 FROM lexical)) WHERE rank <= 10""", BM25, SEMANTIC))
+def r33(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical if three hits and a best score of 1.25 say so, else both legs, unweighted."""
+    probe = lexical_leg(spark, d)
+    best = probe.where("rank <= 3").agg(F.count("*").alias("n"), F.max("score").alias("top")).first()
+    if best["n"] >= 3 and best["top"] >= 1.25:
+        return probe.where("rank <= 10").select("id", "rank")
+    both = r.fused(probe, semantic_leg(spark, d)).withColumn("score", F.round("base", 9))
+    return r.top(both, [F.desc("score"), F.col("id")], 10).select("id", "rank")
+
+
+@query("r37_aggregate_many", sql("""SELECT request, count(*) AS n, round(max(source_confidence), 9) AS best FROM facts JOIN (VALUES ('a', 'ns1', 'click'), ('b', 'ns2', 'error'), ('c', 'ns1', 'error')) t(request, ns, kind)
+ON source_id = ns AND fact_type = kind GROUP BY 1"""))
+def r37(spark: SparkSession, d: str) -> DataFrame:
+    """Several aggregate requests in one pass over the facts."""
+    asked = spark.createDataFrame([("a", "ns1", "click"), ("b", "ns2", "error"), ("c", "ns1", "error")], "request string, source_id string, fact_type string")
+    rows = v.facts(spark, d).join(F.broadcast(asked), ["source_id", "fact_type"])
+    return rows.groupBy("request").agg(F.count("*").alias("n"), F.round(F.max("source_confidence"), 9).alias("best"))
+
+
+@query("r39_golden_set", sql("""SELECT round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9) AS found, count(*) AS queries FROM (SELECT item_id, count(*) FILTER (contains(content, text)) AS hits
+FROM best5 JOIN benchmark USING (item_id) JOIN texts USING (id) GROUP BY 1)""",
+    BM25, """qt AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
+atf AS (SELECT id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+adf AS (SELECT term, ln(1 + ((SELECT n FROM stat) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM atf GROUP BY 1),
+best5 AS (SELECT item_id, id FROM (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rank FROM (
+SELECT item_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM (SELECT DISTINCT item_id, term FROM qt) JOIN atf USING (term) JOIN adf USING (term) JOIN lens USING (id), stat GROUP BY 1, 2)) WHERE rank <= 5)"""))
+def r39(spark: SparkSession, d: str) -> DataFrame:
+    """Share of benchmark passages that stand in one of their five best documents."""
+    queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    texts = v.texts(spark, d)
+    best = r.bm25_many(texts, queries, 5).join(texts.select("id", "content"), "id").join(queries, "query_id")
+    per = best.groupBy("query_id").agg(F.count_if(F.col("content").contains(F.col("query"))).alias("hits"))
+    return per.agg(F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 9).alias("found"), F.count("*").alias("queries"))
