@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import mil, mixing, packing, rules, simhash
+from factlake.llm import mil, mixing, nearcopies, packing, rules, simhash
 from factlake.llm.common import staged
 
 
@@ -28,10 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
+    """Keep one document of each group that op10 links; not a stage of ``run``."""
     return simhash.keep_one(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies, at a Jaccard similarity of 0.8."""
+    return nearcopies.keep_one(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that the sources come to their targets."""
     return mixing.repeat_documents(docs, mixing.mix(docs))
@@ -45,7 +50,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", quality_rules),
-    ("near duplicates", near_duplicates),
+    ("near duplicates", near_copies),
     ("source mix", source_mix),
     ("best-fit packing", best_fit_packing),
 ]
