@@ -55,3 +55,12 @@ def test_near_copies_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert collections.Counter((False, r.doc_id) for r in kept(spark, rows)) == survivors(rows)
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # id 5 heads one group and is a member of another; id 7 has two texts; ids may be null
+    rows = [(5, a), (6, a), (1, b), (5, b), (7, c), (7, "quite another text of seven words"), (7, c), (None, "one"), (None, "two"), (None, "two"), (None, c)]
+    got = kept(spark, rows)
+    want = [(1, b), (5, a), (7, c), (7, rows[5][1]), (None, "one"), (None, "two")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
