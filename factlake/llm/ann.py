@@ -9,8 +9,8 @@
    nearest centroid; a boundary vector is replicated to further ones within
    (1 + ``SPREAD``) of the nearest distance, up to ``MAX_COPIES`` lists.
 4. Lists over ``SHARD`` rows are cut into shards by a hash.
-5. A query searches the graph and asks the lists whose centroid is within
-   (1 + ``PROBE``) of its nearest one (``MIN_PROBES`` to ``MAX_PROBES`` of them);
+5. A query asks every list whose centroid is within (1 + ``PROBE``) of its
+   nearest one, and ``MIN_PROBES`` at least; it is compared with all centroids;
    each shard compares its queries with its rows in double precision and keeps
    the best of each.
 
@@ -35,7 +35,7 @@ from factlake.llm.common import hashed_sample, staged
 
 LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
 SPREAD, MAX_COPIES = 0.15, 4
-PROBE, MIN_PROBES, MAX_PROBES = 0.14, 16, 256
+PROBE, MIN_PROBES = 0.14, 16
 DEGREE, BEAM, ENTRIES = 24, 40, 32
 
 
@@ -149,11 +149,11 @@ def _posting_lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _probes(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each query asks."""
-    ids, dist = graph.search(x, min(MAX_PROBES, len(graph.c)))
-    asked = dist <= (1 + PROBE) * dist[:, :1]
-    asked[:, :MIN_PROBES] = True
-    row, at = np.nonzero(asked)
-    return row, ids[row, at]
+    dist = np.sqrt(graph._all(x))
+    asked = dist <= (1 + PROBE) * dist.min(axis=1, keepdims=True)
+    few = min(MIN_PROBES, dist.shape[1])
+    np.put_along_axis(asked, np.argpartition(dist, few - 1, axis=1)[:, :few], True, axis=1)
+    return np.nonzero(asked)
 
 
 def _spread(rows: DataFrame, model, choose) -> DataFrame:
