@@ -93,11 +93,10 @@ def scan(docs: DataFrame) -> DataFrame:
     Texts without any vocabulary word of a mandatory phrase skip the search.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_remove(F.split(low, GAPS, -1), "")
+    words = _words(text)
     firsts = sorted({w for p in PHRASES for w in p.split()[:1]})
     # every phrase has one of these words, so a text without them has no phrase
-    telling = "(?i)licen[sc]e|redistribution|permission|unencumbered|\\bcc\\b"
+    telling = "(?i)licen[sc]e|redistribution|permission|unencumbered|(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])cc(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
 
     def found(w: Column) -> Column:
         index = F.sequence(F.lit(0), F.size(w) - 1)
@@ -113,11 +112,17 @@ def scan(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "n_words", "f.places", "f.hits")
 
 
-def _idf(scanned: DataFrame) -> dict[str, float]:
+def _words(text: Column) -> Column:
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(low, GAPS, -1), "")
+
+
+def _idf(docs: DataFrame) -> dict[str, float]:
     """IDF of the vocabulary, a fixed number of words, over all documents."""
-    seen = scanned.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word"))
+    own = F.array_intersect(_words(F.coalesce(F.col("text"), F.lit(""))), _strings(VOCABULARY))
+    seen = docs.select(F.explode(own).alias("word"))
     df = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    n = scanned.count()
+    n = docs.count()
     # rounded so that any engine agrees
     return {w: round(math.log((n + 1) / (df.get(w, 0) + 0.5)), 6) for w in VOCABULARY}
 
@@ -125,7 +130,7 @@ def _idf(scanned: DataFrame) -> dict[str, float]:
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     scanned = staged(scan(docs), "licenses")
-    idf = _idf(scanned)
+    idf = _idf(docs)
     weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
     postings = F.array(
         *[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in POSTINGS]
