@@ -4,8 +4,9 @@ Licence notices are short templates of words. Their words, common ones left
 out, form the vocabulary; its postings say at which place of which template a
 word stands. A first pass splits every text into words and keeps the places of
 vocabulary words; document frequencies over the whole corpus give their IDF.
-Each file then looks up its ``TOP`` words of highest IDF; a posting at place p
-of a template and a hit at place q vote for the template at q - p. An alignment
+Each file then looks up all of its vocabulary words, so that no notice pushes
+out another; a posting at place p of a template and a hit at place q vote for
+the template at q - p. An alignment
 with enough different words is a candidate, and counts only if one of the
 template's mandatory phrases stands in the text within the aligned stretch.
 
@@ -59,7 +60,7 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered"]),
 }
 COMMON = set("a and any are by for in into is of or out per that the this to use with".split())
-TOP, LEAST_WORDS, SLACK = 12, 2, 4
+LEAST_WORDS, SLACK = 2, 4
 
 PHRASES = sorted({*BASE, *(p for _, ps in TEMPLATES.values() for p in ps)})
 POSTINGS = [
@@ -137,19 +138,12 @@ def licenses(docs: DataFrame) -> DataFrame:
     )
 
     def candidates(hits: Column) -> Column:
-        """(template, start) -> different aligned words, from the file's rarest words."""
-        own = F.array_distinct(F.transform(hits, lambda h: F.struct((-F.element_at(weight, h["word"])).alias("w"), h["word"].alias("word"))))
-        top = F.transform(F.slice(F.sort_array(own), 1, TOP), lambda x: x["word"])
-
-        def votes(rare: Column) -> Column:
-            near = F.filter(hits, lambda h: F.array_contains(rare, h["word"]))
-            one = lambda h: F.transform(
-                F.filter(postings, lambda p: p["word"] == h["word"]),
-                lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["p"]).alias("start"), h["word"].alias("word")),
-            )
-            return F.flatten(F.transform(near, one))
-
-        return let(top, votes)
+        """(template, start) -> different aligned words, from all vocabulary words of the file."""
+        one = lambda h: F.transform(
+            F.filter(postings, lambda p: p["word"] == h["word"]),
+            lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["p"]).alias("start"), h["word"].alias("word")),
+        )
+        return F.flatten(F.transform(hits, one))
 
     def best_share(name: str, votes: Column) -> Column:
         """Largest IDF share of a verified alignment with one template.

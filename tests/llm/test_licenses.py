@@ -22,3 +22,9 @@ def test_idf_counts_every_text(spark):
 def test_words_end_at_underscores(spark, text):
     got = licenses.licenses(frame(spark, [text, *["plain words"] * 5])).where("doc_id = 0").first()
     assert got.labels == "cc-by-4.0"
+
+
+def test_no_notice_pushes_out_another(spark):
+    text = ". ".join(notice for notice, _ in licenses.TEMPLATES.values())
+    got = licenses.licenses(frame(spark, [text, *["plain words"] * 5])).where("doc_id = 0").first()
+    assert set(licenses.TEMPLATES) <= set(got.labels.split(",")) and got.score == pytest.approx(1.0)
