@@ -83,6 +83,27 @@ def test_mixing_comes_near_on_many_documents(spark):
     assert all(abs(r.taken - r.target) <= 0.002 * r.target for r in got)
 
 
+def test_mixing_draws_with_unequal_probabilities(spark):
+    """Shares taken over many documents come to the inclusion probabilities of each size."""
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 3 == 1, 40).otherwise(700)).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    got = mixing.mix(df).groupBy("source", "size").agg(F.avg("copies").alias("copies"), F.avg("inclusion").alias("p"), F.min("copies").alias("lo")).collect()
+    assert len({round(r.p, 6) for r in got if r.source == "s1"}) == 3
+    for r in got:
+        assert abs(r.copies - r.lo - (r.p if r.lo == int(r.copies - r.p + 1e-3) else r.p)) < 0.04 or r.copies == 3
+
+
+def test_mixing_splits_a_class_of_equal_rows(spark):
+    """Equal rows, with and without an id, have ranks of their own; texts are repeated as the plan says."""
+    row = "doc_id long, text string, source string"
+    df = spark.createDataFrame([(None, "a b c", "x")] * 25_000 + [(7, "d e", "x")] * 3000 + [(7, "other words", "x"), (None, "z", "x"), (1, "q r s t", "y")], row)
+    got = mixing.mix(df)
+    sums = {r.source: (r.taken, r.target) for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert got.count() == 28_003 and all(abs(a - b) <= 4 for a, b in sums.values())
+    want = {r.doc_id: r.n for r in got.where("size > 0").groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r.n}
+    mixed = {r.doc_id: r["count"] for r in mixing.repeat_documents(df).groupBy("doc_id").count().collect()}
+    assert mixed == want
+
+
 def test_mixing_empty(docs):
     assert mixing.mix(cases.nothing(docs)).count() == 0
 
