@@ -3,24 +3,24 @@
 Texts become token ids and one end id; documents over the capacity are cut
 into full pieces and a rest. Packing is bulk-synchronous best fit:
 
-1. Pieces go to shards by a hash, about ``SHARD`` of them to each, and the
-   shards are swept at the same time, one task each.
-2. In a shard, pieces are sorted by length, and gaps (the free ends of
-   sequences) by size. A superstep takes the longest range of equal pieces and
-   sweeps the gaps from its successor, the tightest gap that holds one, upwards.
-3. All pieces of the range bid at once; rank resolves the conflict: the i-th
-   piece gets the i-th gap of the sweep, and pieces ranked after the last gap
-   bid again in the next superstep, or open new sequences if no gap is left.
-4. The gaps given away shrink, are merged with those of their new size, and the
-   next superstep begins. Gaps of one size are kept as runs of sequence ids, so
-   a superstep costs as many steps as runs, not as pieces.
-
-Each sequence but one or a few per shard of 32,768 pieces ends up filled as by
-one global best fit.
+1. Pieces are range-sorted by length over all tasks and ranked inside their
+   length; gaps (the free ends of sequences) are a table, each gap with a rank
+   inside its size. Both have at most ``capacity`` sizes, so the counts by size
+   are small, however many rows there are.
+2. A superstep takes the lengths from the longest left down to half of it. A
+   sweep over the counts finds for each length its successors: the tightest
+   gaps that hold it, each taking as many equal pieces as fit. A gap is given
+   away once in a superstep.
+3. All tasks then resolve the bids at the same time, by rank alone: the i-th gap
+   of a size serves the pieces from rank first + i * take on. No row moves.
+4. Gaps given away shrink and get the next ranks of their new size. New
+   sequences are opened when the gaps cannot hold what is left by a lower
+   bound, and the next superstep begins. There are some ten to twenty.
+5. Placements meet the ranked pieces by (length, rank).
 
 Edge cases: null and empty texts are one piece, the end id alone; equal rows
-are packed as often as they occur, in an order by id, piece and content; an
-empty table gives no rows; other columns are ignored.
+are packed as often as they occur; an empty table gives no rows; other columns
+are ignored; special tokens in a text get their own ids, as by the tokenizer.
 """
 
 from __future__ import annotations
@@ -29,19 +29,21 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factlake.llm.common import staged
+from factlake.llm.common import ranked, staged
 
 CAPACITY, END_ID = 2048, 0
-SHARD = 32_768
+#: New sequences written by one task.
+OPENED_PER_TASK = 1_000_000
 #: Words that a task remembers the ids of, and the longest one.
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
@@ -62,7 +64,6 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         # byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and on
         own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
@@ -129,64 +130,121 @@ def token_pieces(
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece, for lengths sorted downwards."""
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    sizes: list[int] = []  # gap sizes that occur, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # of each size, (first sequence, count)
-    opened = 0
-
-    def add(gap: int, run: tuple[int, int]) -> None:
-        if gap not in runs:
-            bisect.insort(sizes, gap)
-            runs[gap] = []
-        runs[gap].append(run)
-
-    at = 0
-    while at < len(lengths):
-        size = int(lengths[at])
-        stop = int(np.searchsorted(-lengths, -size, side="right"))
-        while at < stop:  # a superstep for the rest of the range
-            i = bisect.bisect_left(sizes, size)
+@dataclass(frozen=True)
+class Flow:
+    """Gaps of ranks [lo, hi) of one size take ``take`` pieces of ``length`` each, from rank ``first``
+    on, and become gaps of size ``left`` from rank ``base`` on. ``take`` 0 leaves them as they are."""
+
+    gap: int
+    lo: int
+    hi: int
+    length: int
+    first: int
+    take: int
+    left: int
+    base: int
+
+
+def sweep(lengths: dict[int, int], placed: dict[int, int], gaps: dict[int, int]) -> tuple[list[Flow], dict[int, int]]:
+    """The flows of one superstep, and the gaps after it.
+
+    ``lengths`` counts all pieces by length and ``placed`` those that have a place, ``gaps`` the
+    gaps by size. Lengths go downwards; each sweeps the gaps from its successor upwards.
+    """
+    left = {n: lengths[n] - placed.get(n, 0) for n in lengths}
+    todo = sorted((n for n in left if left[n]), reverse=True)
+    sizes, used = sorted(g for g in gaps if gaps[g]), dict.fromkeys(gaps, 0)
+    bids: list[tuple[int, int, int, int, int, int]] = []
+    for n in todo:
+        if 2 * n < todo[0]:
+            break
+        while left[n]:
+            i = bisect.bisect_left(sizes, n)
             if i == len(sizes):
-                fresh = -(-(stop - at) // (capacity // size))
-                add(capacity, (opened, fresh))
-                opened += fresh
-                continue
-            gap = sizes[i]
-            first, count = runs[gap].pop()
-            n = min(count, stop - at)
-            sequence[at : at + n] = np.arange(first, first + n)
-            offset[at : at + n] = capacity - gap
-            if n < count:
-                runs[gap].append((first + n, count - n))
-            if not runs[gap]:
+                break
+            g = sizes[i]
+            take = min(g // n, left[n])
+            many = min(gaps[g] - used[g], left[n] // take)
+            bids.append((g, used[g], used[g] + many, n, lengths[n] - left[n], take))
+            used[g] += many
+            left[n] -= many * take
+            if used[g] == gaps[g]:
                 sizes.pop(i)
-                del runs[gap]
-            if gap > size:
-                add(gap - size, (first, n))
-            at += n
-    return sequence, offset
+    after = {g: gaps[g] - used[g] for g in gaps}
+    flows = [Flow(g, used[g], gaps[g], 0, 0, 0, g, 0) for g in gaps if after[g]]
+    for g, lo, hi, n, first, take in bids:
+        rest = g - n * take
+        flows.append(Flow(g, lo, hi, n, first, take, rest, after.get(rest, 0)))
+        after[rest] = after.get(rest, 0) + hi - lo
+        placed[n] = first + (hi - lo) * take
+    return flows, {g: k for g, k in after.items() if g and k}
+
+
+def to_open(lengths: dict[int, int], placed: dict[int, int], gaps: dict[int, int], capacity: int) -> int:
+    """How many sequences any packing of the rest must open, by room and by what fits no gap."""
+    left = {n: k - placed.get(n, 0) for n, k in lengths.items() if k > placed.get(n, 0)}
+    room = sum(n * k for n, k in left.items()) - sum(g * k for g, k in gaps.items())
+    largest = max(gaps, default=0)
+    over = {n: k for n, k in left.items() if n > largest}
+    alone = sum(k for n, k in over.items() if 2 * n > capacity)
+    return max(0, -(-room // capacity), -(-sum(n * k for n, k in over.items()) // capacity), alone)
+
+
+def _superstep(gaps: DataFrame, flows: list[Flow], capacity: int) -> DataFrame:
+    """Each gap (sequence_id, gap, rank) after the flows, with what it took (length, first, take, offset)."""
+    flows = sorted(flows, key=lambda f: (f.gap, f.lo))
+    table = np.array([(f.gap, f.lo, f.length, f.first, f.take, f.left, f.base) for f in flows], np.int64).T
+    names = ["sequence_id", "gap", "rank", "length", "first", "take", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap, lo, length, first, take, left, base = table
+        key = gap << 48 | lo  # ranks stay far below 2 ** 48
+        for b in batches:
+            own, rank = (b.column(i).to_numpy() for i in (1, 2))
+            at = np.searchsorted(key, own << 48 | rank, side="right") - 1
+            i = rank - lo[at]
+            rows = (b.column(0), left[at], base[at] + i, length[at], first[at] + i * take[at], take[at], capacity - own)
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
+
+    return gaps.select(*names[:3]).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    spark = pieces.sparkSession
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    pieces = staged(pieces.select(*names), "pieces")
-    shards = max(1, pieces.count() // SHARD)
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-        sequence, offset = best_fit(rows["length"].to_numpy(), capacity)
-        shard = int(rows["shard"].iloc[0])
-        return rows.drop(columns="shard").assign(sequence_id=shard * 2**32 + sequence, offset=offset)
-
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    # pandas has no whole number for null: the smallest long stands for it meanwhile
-    none = F.lit(-(2**63))
-    rows = pieces.withColumn("shard", shard).withColumn("doc_id", F.coalesce("doc_id", none))
-    return rows.groupBy("shard").applyInPandas(fill, schema).withColumn("doc_id", F.nullif("doc_id", none))
+    pieces = staged(pieces.select(*names), "pieces").withColumn("__row", F.monotonically_increasing_id())
+    # at most ``capacity`` rows
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    opened, placed, gaps = 0, {}, {}
+    table = spark.range(0).select(F.col("id").alias("sequence_id"), F.col("id").alias("gap"), F.col("id").alias("rank"))
+    log = []
+    while sum(placed.values()) < sum(lengths.values()):
+        fresh = to_open(lengths, placed, gaps, capacity)
+        if fresh:
+            known = gaps.get(capacity, 0)
+            new = spark.range(opened, opened + fresh, 1, 1 + fresh // OPENED_PER_TASK)
+            new = new.select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"), (F.col("id") - opened + known).alias("rank"))
+            table = table.unionByName(new) if gaps else new
+            gaps[capacity] = known + fresh
+            opened += fresh
+        flows, gaps = sweep(lengths, placed, gaps)
+        step = staged(_superstep(table, flows, capacity), "superstep")
+        log.append(step.where("take > 0").select("sequence_id", "offset", "length", "first", "take"))
+        table = step.where("gap > 0").select("sequence_id", "gap", "rank")
+    if not log:
+        return pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    ordered = ranked(pieces, [F.desc("length"), F.col("__row")], "__rank")
+    # ranks start anew in each length
+    longer = dict(zip(sorted(lengths, reverse=True), np.cumsum([0, *(lengths[n] for n in sorted(lengths, reverse=True))]).tolist(), strict=False))
+    starts = spark.createDataFrame(list(longer.items()), "length long, __start long")
+    ordered = ordered.join(F.broadcast(starts), "length").withColumn("__rank", F.col("__rank") - F.col("__start"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("k")
+    places = reduce(DataFrame.unionByName, log).select("sequence_id", "offset", "length", "first", each)
+    places = places.select(
+        "sequence_id", (F.col("offset") + F.col("k") * F.col("length")).alias("offset"), "length", (F.col("first") + F.col("k")).alias("__rank")
+    )
+    return ordered.join(places, ["length", "__rank"]).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:

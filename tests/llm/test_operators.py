@@ -1,5 +1,6 @@
 """The ten operators against brute force, on awkward and on the driver's tables."""
 
+import bisect
 import collections
 import gzip
 import hashlib
@@ -205,7 +206,6 @@ def test_neighbours_few_and_none(spark):
 
 def test_packing(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     for df in (docs, read(spark, "documents").limit(80)):
         df = df.cache()
         got = packing.pack_documents(df).collect()
@@ -243,11 +243,47 @@ def test_word_ids_equal_the_tokenizer(text):
     assert np.frombuffer(words.ids(text), "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids
 
 
-def test_best_fit_is_tight():
-    rng = np.random.default_rng(1)
-    lengths = np.sort(rng.integers(1, 2048, 3000))[::-1].copy()
-    sequence, offset = packing.best_fit(lengths, 2048)
-    assert sequence.max() + 1 <= 1.01 * lengths.sum() / 2048 + 1 and (offset + lengths <= 2048).all()
+def plain_best_fit(lengths, capacity):
+    """Sequences that one global best fit, longest first, opens."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(free, n)
+        gap = free.pop(i) if i < len(free) else capacity
+        bisect.insort(free, gap - n)
+    return len(free)
+
+
+SHAPES = {
+    "short": lambda r: r.integers(3, 120, 6000), "middling": lambda r: r.integers(500, 900, 1500), "long": lambda r: r.integers(600, 2049, 1500),
+    "mixed": lambda r: np.minimum(2048, r.exponential(300, 6000).astype(int) + 1), "equal": lambda r: np.full(5000, 700), "ones": lambda r: np.ones(5000, int),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_packing_comes_to_plain_best_fit(spark, shape):
+    lengths = SHAPES[shape](np.random.default_rng(1))
+    df = spark.createDataFrame([(i // 2, 0, 0, int(n), 5) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(df).collect()
+    assert collections.Counter((r.doc_id, r.length) for r in got) == collections.Counter((i // 2, int(n)) for i, n in enumerate(lengths))
+    ends = collections.defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= 1.01 * plain_best_fit(lengths.tolist(), 2048) + 1
+
+
+def test_supersteps_stay_few_as_pieces_grow():
+    rng = np.random.default_rng(2)
+    for n in (3000, 30_000, 300_000):
+        lengths = collections.Counter(np.minimum(2048, rng.exponential(700, n).astype(int) + 1).tolist())
+        placed, gaps, opened, steps = {}, {}, 0, 0
+        while sum(placed.values()) < n:
+            fresh = packing.to_open(lengths, placed, gaps, 2048)
+            opened, steps = opened + fresh, steps + 1
+            gaps[2048] = gaps.get(2048, 0) + fresh
+            flows, gaps = packing.sweep(lengths, placed, gaps)
+            assert len(flows) < 10_000
+        assert steps <= 30 and opened <= 1.01 * sum(k * v for k, v in lengths.items()) / 2048 + 1
 
 
 # ---- 5 and 6 ---------------------------------------------------------------------
