@@ -9,9 +9,11 @@
    can be left only if d(x, v) - max_bits <= m and right only if
    d(x, v) + max_bits > m, so each class is stored in one shard and asked in
    every later shard that its ball touches.
-4. A task builds a vantage-point tree over its shard, walks it with all of its
-   queries at once, and compares leaves bit by bit. It keeps a spanning forest
-   of the links found, never all pairs of a dense group.
+4. The tree's depth follows from the number of classes, so that a shard holds
+   about ``SHARD`` of them; one that holds more is dealt in blocks, each block
+   a shard that the later ones query. A task builds a vantage-point tree over
+   its shard, walks it with all of its queries at once, and compares leaves bit
+   by bit. It keeps a spanning forest of the links found, never all pairs.
 5. The forests of all shards are joined to components by min-label
    propagation, with checkpoints.
 
@@ -26,6 +28,7 @@ class whose ids are all null has a null component; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +41,10 @@ from pyspark.sql import functions as F
 from factlake.llm.common import hashed_sample, shared_dir, staged
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
-#: Fingerprints sampled for the upper tree, its depth, and the size of a leaf.
-SAMPLE, DEPTH, LEAF = 8192, 6, 256
+#: Classes that a shard is meant for, those beyond which it is dealt in blocks, and queries of one task.
+SHARD, BLOCK, QUERIES = 4096, 16_384, 200_000
+#: Fingerprints sampled for the upper tree at least, and its largest depth; the size of a leaf in a task.
+SAMPLE, DEEPEST, LEAF = 8192, 16, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -54,6 +59,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     stops = (ends - 1).tolist()[k - 1 :]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, stops, strict=False)), np.uint64, n - k + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -172,10 +182,16 @@ def _shard_links(points: np.ndarray, queries: np.ndarray, max_bits: int) -> np.n
     return forest.root(np.arange(len(both)))
 
 
+def depth_for(n: int) -> int:
+    """Levels of the upper tree over ``n`` classes."""
+    return min(DEEPEST, max(0, math.ceil(math.log2(max(1, n) / SHARD))))
+
+
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect the classes (node, fp) of every component."""
-    sample = hashed_sample(classes, SAMPLE, "fp").select("fp").toPandas()["fp"]
-    nodes = build_tree(sample.to_numpy(np.int64).view(np.uint64), DEPTH)
+    depth = depth_for(classes.count())
+    sample = hashed_sample(classes, max(SAMPLE, 4 << depth), "fp").select("fp").toPandas()["fp"]
+    nodes = build_tree(sample.to_numpy(np.int64).view(np.uint64), depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +217,21 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return pd.DataFrame({"a": node[new], "b": node[label[new]]})
 
     placed = classes.select("node", "fp").mapInArrow(place, "shard long, node long, fp long, home boolean")
-    return placed.groupBy("shard").applyInPandas(connect, "a long, b long")
+    placed = staged(placed, "placed")
+    # at most 2 ** DEEPEST shards; only those with too many rows are dealt again
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count_if("home") / BLOCK).alias("blocks"), F.ceil(F.count_if(~F.col("home")) / QUERIES).alias("parts"))
+    sizes = sizes.select("shard", F.greatest("blocks", F.lit(1)).cast("int").alias("blocks"), F.greatest("parts", F.lit(1)).cast("int").alias("parts"))
+    rows = placed.join(F.broadcast(sizes), "shard")
+    at = lambda n: F.pmod(F.xxhash64("node", F.col("shard")), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a point lives in its block for all parts, and queries the blocks before it; a query goes to all blocks
+    homes = rows.where("home").withColumn("own", at("blocks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    lives = F.col("block") == F.col("own")
+    homes = homes.withColumn("part", F.explode(F.when(lives, upto("parts")).otherwise(F.array(at("parts"))))).withColumn("home", lives)
+    asks = rows.where("NOT home").withColumn("block", F.explode(upto("blocks"))).withColumn("part", at("parts"))
+    names = ["shard", "block", "part", "node", "fp", "home"]
+    dealt = homes.select(*names).unionByName(asks.select(*names))
+    return dealt.groupBy("shard", "block", "part").applyInPandas(connect, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -248,12 +278,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def hexadecimal(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates(["doc_id"]) if twice.limit(1).count() else out

@@ -5,6 +5,8 @@ import collections
 import corpus_pipeline as p
 import numpy as np
 
+from factlake.llm import nearcopies
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -64,3 +66,32 @@ def test_rows_are_known_by_id_and_text(spark):
     got = kept(spark, rows)
     want = [(1, b), (5, a), (7, c), (7, rows[5][1]), (None, "one"), (None, "two")]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def star(rng, n, words=200, changed=5):
+    """A text and copies of it, each with its own words changed, so that most pairs of copies are unlike."""
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.choice(np.arange(5, words - 5), changed, replace=False):
+            copy[at] = f"x{rng.integers(0, 10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_large_bands_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = star(rng, 70, changed=4) + star(rng, 40, changed=7) + star(rng, 40, changed=3)
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    want = survivors(rows)
+    monkeypatch.setattr(nearcopies, "BLOCK", 9)
+    monkeypatch.setattr(nearcopies, "COLUMNS", 50)
+    assert collections.Counter((False, r.doc_id) for r in kept(spark, rows)) == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, k)) for k in (0, 5, 30, 200, 7)]
+    want = [[len(set(a) & set(b)) for b in sets] for a in sets[:2]]
+    assert nearcopies.shared_counts(sets[:2], sets).tolist() == want

@@ -509,7 +509,7 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(cases.nothing(docs)).count() == 0
 
 
-def test_links_of_dense_groups(spark):
+def test_links_of_dense_groups(spark, monkeypatch):
     """Random points, balls and chains, with more points than a leaf holds."""
     rng = np.random.default_rng(3)
     base_points = rng.integers(0, 2**63, 900, dtype=np.uint64)
@@ -519,8 +519,23 @@ def test_links_of_dense_groups(spark):
         chain.append(chain[-1] ^ (1 << i))
     fps = list(dict.fromkeys([*map(int, base_points), *ball, *chain]))
     df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node long, fp long")
+    want = linked(fps, list(range(len(fps))))
     got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == linked(fps, list(range(len(fps))))
+    assert [got.get(i, i) for i in range(len(fps))] == want
+    # the same with a deep tree, and with shards that are dealt in blocks
+    for name, value in (("SHARD", 20), ("BLOCK", 30), ("QUERIES", 15)):
+        monkeypatch.setattr(simhash, name, value)
+        got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_shards_stay_flat():
+    """The largest share of classes in one shard, at ten times the classes."""
+    rng = np.random.default_rng(5)
+    for n in (20_000, 200_000):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        nodes = simhash.build_tree(x[: max(simhash.SAMPLE, 4 << simhash.depth_for(n))], simhash.depth_for(n))
+        assert np.bincount(simhash.route(nodes, x, 0)[1]).max() < 3 * simhash.SHARD
 
 
 def test_small_helpers():

@@ -4,7 +4,7 @@ import cases
 import corpus_pipeline as p
 import pytest
 
-from factlake.llm import mil, mixing, rules, simhash
+from factlake.llm import mil, mixing, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,17 +35,10 @@ def test_stages_keep_what_their_operators_decide(spark):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(p.quality_classifier(spark, docs, SF)) == ids(mil.classify(docs, labels).where("predicted = 1"))
     assert ids(p.quality_rules(spark, docs, SF)) == ids(rules.apply_rules(docs, labels).where("kept"))
-    assert ids(p.near_duplicates(spark, docs, SF)) == ids(simhash.near_duplicates(docs).where("doc_id = component_id"))
     mixed = mixing.mix(docs).where("size > 0")
     assert ids(p.source_mix(spark, docs, SF)) == sorted(r.doc_id for r in mixed.collect() for _ in range(r.copies))
 
 
-def test_repeated_rows_of_one_id_leave_one(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = p.near_duplicates(spark, docs, sf_dir).where("doc_id = 3")
-    assert kept.count() == 1
-
-
 def test_run(spark):
     out = p.run(spark, SF)
     fill = out.groupBy("sequence_id").sum("length").collect()
