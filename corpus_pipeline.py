@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import mil, mixing, nearcopies, packing, rules, simhash
+from factlake.llm import mil, mixing, nearcopies, packing, rules
 from factlake.llm.common import staged
 
 
@@ -28,12 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that op10 links; not a stage of ``run``."""
-    return simhash.keep_one(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies, at a Jaccard similarity of 0.8."""
+    """Keep the document with the smallest id of each group of near copies: the links of
+    operator 10 and all others at a Jaccard similarity of 0.8 of five-word shingles."""
     return nearcopies.keep_one(docs)
 
 
@@ -50,7 +46,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", quality_rules),
-    ("near duplicates", near_copies),
+    ("near duplicates", near_duplicates),
     ("source mix", source_mix),
     ("best-fit packing", best_fit_packing),
 ]
