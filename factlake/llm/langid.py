@@ -2,9 +2,10 @@
 
 Character n-grams of one to three letters are hashed to ``BUCKETS`` buckets.
 Counts per language come from a bounded sample of labelled rows (the
-``PER_LANG`` documents of each language that come first by a hash); smoothed
-log-probabilities form one matrix, sent to the executors, and tasks score
-batches of whole texts with numpy as sums of matrix rows.
+``PER_LANG`` documents of each language that come first by a hash), the priors
+from all labelled rows; smoothed log-probabilities form one matrix, sent to the
+executors, and tasks score batches of whole texts with numpy as sums of matrix
+rows. The score is the posterior probability of the language predicted.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties
 go to the first language by code point; without training rows every text is
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import hash_unit, small
+from factlake.llm.common import hash_unit, small, staged
 
 BUCKETS, PER_LANG, SMOOTHING = 1 << 15, 2000, 0.5
 #: Code points scored at once.
@@ -88,16 +89,20 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out()
 
 
-def train(docs: DataFrame, learn_from: Column) -> tuple[list[str], np.ndarray]:
-    """Languages and the (bucket, language) matrix of log-probabilities."""
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, learn_from: Column) -> Model:
+    """Languages, their log-priors and the (bucket, language) matrix of log-probabilities."""
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a threshold on the hash leaves about twice the sample, so that no window grows with the input
-    share = rows.groupBy(F.col("lang").alias("__lang")).agg(((2 * PER_LANG + 1000) / F.count("*")).alias("__share"))
+    sizes = staged(rows.groupBy(F.col("lang").cast("string").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    share = sizes.select("__lang", ((2 * PER_LANG + 1000) / F.col("__n")).alias("__share"))
     few = rows.select("doc_id", "lang").withColumn("u", hash_unit("doc_id"))
     few = few.join(small(share), (F.col("lang") == F.col("__lang")) & (F.col("u") < F.col("__share")))
     first = Window.partitionBy("lang").orderBy("u", "doc_id")
     ids = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LANG)
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    sample = rows.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -117,17 +122,19 @@ def train(docs: DataFrame, learn_from: Column) -> tuple[list[str], np.ndarray]:
     langs = sorted(table["lang"].unique())
     counts = np.full((BUCKETS, len(langs)), SMOOTHING)
     np.add.at(counts, (table["bucket"], np.searchsorted(langs, table["lang"])), table["n"])
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    seen = {r["__lang"]: r["__n"] for r in sizes.collect()}  # a row per language
+    prior = np.log(np.array([seen[x] for x in langs]) / max(1, sum(seen[x] for x in langs)))
+    return langs, prior, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score); the score is a posterior, tempered by length."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score); the score is the posterior of ``lang_pred``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = shared.value
+        langs, prior, matrix = shared.value
         for b in batches:
-            total = np.zeros((b.num_rows, max(1, len(langs))))
+            total = np.tile(prior if langs else np.zeros(1), (b.num_rows, 1))
             n = np.zeros(b.num_rows)
             for owner, found in blocks(b.column(1).to_pylist()):
                 if not len(owner) or not langs:
@@ -137,8 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 np.add.at(total, owner[starts], np.add.reduceat(per_start, starts, axis=0, dtype=np.float64))
                 np.add.at(n, owner[starts], np.diff(np.append(starts, len(owner))))
             best = total.argmax(axis=1)
-            scaled = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
-            score = np.where(n > 0, 1 / np.exp(scaled).sum(axis=1), 0.0)
+            score = np.where(n > 0, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
             names = [langs[k] if m else "und" for k, m in zip(best, n, strict=True)]
             arrays = [b.column(0), pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score"])

@@ -6,9 +6,11 @@ a gate a = w . (tanh(V h) * sigmoid(U h)), soft-maxed over the bag, weighs it.
 The document's score is the logistic of its weighted mean embedding. Only
 document labels are known, so the gate learns which passages tell.
 
-Training runs on the driver over a bounded sample: the ``SAMPLE`` labelled
-documents that come first by a hash, at most ``BAG`` evenly spaced passages of
-each. Scoring reads every passage of every document in tasks.
+Training runs on the driver over a bounded sample of labelled rows: the first by
+a hash, at most ``SAMPLE`` documents with ``PASSAGES`` passages in all, each
+document with every passage; a document of over a twentieth of ``PASSAGES`` is
+not sampled. Scoring reads every passage of every document in tasks, a block of
+``BLOCK`` code points at a time; words and pairs of letters end with a passage.
 
 Edge cases: a null or empty text is one empty passage; without labels of both
 classes every score is the share of label 1, or 1/2 without labels; equal texts
@@ -23,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from factlake.llm.common import hashed_sample
+from factlake.llm.common import hash_unit, hashed_sample, staged
 
-PASSAGE, SAMPLE, BAG = 600, 6000, 64
+PASSAGE, SAMPLE, PASSAGES = 600, 6000, 60_000
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 24, 12, 14, 0.01, 64
 BINS = 32
 #: Scores from here on are predicted 1.
 THRESHOLD = 0.3
-#: Code points encoded at once.
-BLOCK = 400_000
+#: Code points encoded at once, a multiple of ``PASSAGE``.
+BLOCK = 399_600
 
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _SYMBOL, _STOP, _MARK = range(1, 9)
 
@@ -52,45 +55,91 @@ _CLASSES = _class_table()
 N_FEATURES = 16 + BINS
 
 
+def _segments(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Groups of (text, part) of up to ``BLOCK`` code points; only a text that is longer is cut, between passages."""
+    group: list[tuple[int, str]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        for a in range(0, max(1, len(text)), BLOCK):
+            part = text[a : a + BLOCK]
+            if group and size + len(part) > BLOCK:
+                yield group
+                group, size = [], 0
+            group.append((i, part))
+            size += len(part)
+    if group:
+        yield group
+
+
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, passages per text), in the order of the texts."""
-    cps = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    out, n_bags, n_words = [], np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    seen: dict[int, list[np.ndarray]] = {}  # words and pairs of the text that the last group ended in
+    for group in _segments(texts):
+        owner = np.array([i for i, _ in group])
+        last = owner[-1]
+        features, bags, words, keys = _encode([part for _, part in group], seen.get(owner[0]))
+        np.add.at(n_bags, owner, bags)
+        np.add.at(n_words, np.repeat(owner, bags), words)
+        seen = {last: keys}
+        out.append(features)
+    if not out:
+        return np.zeros((0, N_FEATURES), np.float32), n_bags
+    x = np.concatenate(out)
+    x[:, 13] = np.log1p(np.repeat(n_words, n_bags))
+    return x, n_bags
+
+
+def _encode(parts: list[str], before: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(features, passages per part, words per passage, hashes of the last part's words and pairs).
+
+    ``before`` holds the hashes of what stood earlier in the text of the first part.
+    """
+    cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in parts]
     size = np.array([len(c) for c in cps], np.int64)
     n_bags = np.maximum(1, -(-size // PASSAGE))
     first = np.cumsum(n_bags) - n_bags
     n = int(n_bags.sum())
     c = np.concatenate([*cps, np.zeros(0, np.uint32)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), size)
+    part = np.repeat(np.arange(len(parts)), size)
     local = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
-    bag = first[doc] + local // PASSAGE
+    bag = first[part] + local // PASSAGE
     kind = np.where(c < len(_CLASSES), _CLASSES[np.minimum(c, len(_CLASSES) - 1)], _LOWER)
     share = np.bincount(bag * 9 + kind, minlength=9 * n).reshape(n, 9).astype(np.float64)
     chars = np.maximum(1, share.sum(axis=1))
 
-    out = np.zeros((n, N_FEATURES))
+    out = np.zeros((n, N_FEATURES), np.float32)
     solid = (kind != _BLANK) & (kind != _LINE)
-    starts = np.nonzero(solid & ~np.concatenate([[False], solid[:-1] & (doc[1:] == doc[:-1])]))[0] if len(c) else np.zeros(0, int)
+    inside = np.zeros(len(c), bool)  # solid, and so is the one before in the same passage
+    inside[1:] = solid[1:] & solid[:-1] & (bag[1:] == bag[:-1])
+    starts = np.nonzero(solid & ~inside)[0]
     words = np.bincount(bag[starts], minlength=n)
+    keys = [np.zeros(0, np.uint64)] * 2
     if len(starts):
         # a hash of each word, and whether it, or the pair with the next, stood before in the text
-        at = np.arange(len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c)))) if starts[0] == 0 else None
-        if at is None:
-            lead = starts[0]
-            at = np.concatenate([np.zeros(lead, int), np.arange(lead, len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))])
+        at = np.arange(starts[0], len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))
         power = (at.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = np.where(solid, (c.astype(np.uint64) + np.uint64(77)) * power, np.uint64(0))
-        word = np.add.reduceat(mixed, starts) * np.uint64(0xC2B2AE3D27D4EB4F)
-        owner = doc[starts].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        pair = word ^ (np.append(word[1:], 0).astype(np.uint64) * np.uint64(3))
-        for j, key in ((9, word + owner), (10, pair + owner)):
+        mixed = np.where(solid[starts[0] :], (c[starts[0] :].astype(np.uint64) + np.uint64(77)) * power, np.uint64(0))
+        word = np.add.reduceat(mixed, starts - starts[0]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        same = np.append(bag[starts[1:]] == bag[starts[:-1]], False)
+        pair = word ^ np.where(same, np.append(word[1:], np.uint64(0)) * np.uint64(3), np.uint64(0))
+        owner = part[starts]
+        for j, key in enumerate((word, pair)):
+            mine = np.nonzero(owner == len(parts) - 1)[0]
+            salted = key + owner.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
             new = np.zeros(len(key), bool)
-            new[np.unique(key, return_index=True)[1]] = True
-            out[:, j] = np.bincount(bag[starts], weights=~new, minlength=n) / np.maximum(1, words)
+            new[np.unique(salted, return_index=True)[1]] = True
+            if before is not None:
+                new &= ~((owner == 0) & np.isin(key, before[j]))
+            out[:, 9 + j] = np.bincount(bag[starts], weights=~new, minlength=n) / np.maximum(1, words)
+            keys[j] = np.unique(key[mine])
+    if before is not None and len(parts) == 1:
+        keys = [np.union1d(a, b) for a, b in zip(keys, before, strict=True)]
     out[:, :9] = share / chars[:, None]
     inked = chars - share[:, _BLANK] - share[:, _LINE]
     out[:, 11] = np.minimum(20, inked / np.maximum(1, words)) / 5
     out[:, 12] = np.log1p(words)
-    out[:, 13] = np.log1p(np.repeat(np.bincount(doc[starts], minlength=len(texts)), n_bags))
     out[:, 14] = words == 0
     out[:, 15] = np.log1p(share[:, _STOP])
     if len(c):
@@ -99,14 +148,14 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             0xD6E8FEB86659FD93
         )
         bins = (both >> np.uint64(59)).astype(np.int64)
-        same = doc[1:] == doc[:-1]
+        same = bag[1:] == bag[:-1]
         got = np.bincount((bag[:-1] * BINS + bins)[same], minlength=n * BINS).reshape(n, BINS)
         out[:, 16:] = np.sqrt(got / chars[:, None])
-    return out.astype(np.float32), n_bags
+    return out, n_bags, words, keys
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``BLOCK`` code points."""
+    """Ranges of texts of about ``BLOCK`` code points, or of one longer text."""
     a, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -193,22 +242,28 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Attention:
     """Fit on the labelled documents that ``learn_from`` allows."""
     known = labels.where(F.col("quality").isNotNull()).where(learn_from)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = hashed_sample(known, SAMPLE, "doc_id").select(F.col("doc_id").alias("__id"), "quality")
+    picked = staged(hashed_sample(known, SAMPLE, "doc_id").select(F.col("doc_id").alias("__id"), "quality"), "picked")
+    # at most SAMPLE ids, of each of which every different text counts once
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    bags_of = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / PASSAGE))
+    sized = rows.select("__id", F.xxhash64("text").alias("__h"), bags_of.alias("bags")).where(F.col("bags") <= PASSAGES // 20)
+    few = sized.distinct().orderBy(hash_unit("__id", "__h"), "__id").limit(SAMPLE).withColumn("u", hash_unit("__id", "__h"))
+    upto = Window.orderBy("u", "__id").rowsBetween(Window.unboundedPreceding, 0)  # over SAMPLE narrow rows
+    few = few.withColumn("upto", F.sum("bags").over(upto)).where(F.col("upto") <= PASSAGES).select("__id", "__h")
+    few = staged(few, "few").join(picked, "__id").withColumnRenamed("__id", "__few")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), (F.col("doc_id") == F.col("__few")) & (F.xxhash64("text") == F.col("__h")))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out = b.column(1).to_pylist(), []
             for i, j in _groups(texts):
                 x, counts = encode(texts[i:j])
-                for bag in np.split(x, np.cumsum(counts)[:-1]):
-                    pick = np.unique(np.linspace(0, len(bag) - 1, min(BAG, len(bag))).astype(int))
-                    out.append(bag[pick].tobytes())
+                out += [bag.tobytes() for bag in np.split(x, np.cumsum(counts)[:-1])]
             arrays = [b.column(0), pa.array(out, pa.binary()), b.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "x", "y"])
 
     rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("double").alias("y"))
-    got = rows.mapInArrow(bags, "doc_id long, x binary, y double").toPandas()
+    got = rows.mapInArrow(bags, "doc_id long, x binary, y double").dropDuplicates(["doc_id", "x"]).toPandas()
     got = got.sort_values(["doc_id", "x"])
     y = got["y"].to_numpy()
     if not 0 < y.sum() < len(y):

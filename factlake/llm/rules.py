@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Fixed text statistics decide the base verdict. On top, every rule "reject if
-statistic > cutoff" has a fixed list of cutoffs, lenient to strict. Labelled
-good documents of a stratum (its language) are the holdout: a cutoff counts as
-safe if the exact binomial probability of seeing so few rejected good
-documents, were the true false-rejection rate ``RISK / number of rules``, is
-at most the level. Cutoffs of one rule are tested in their fixed order, so the
-strictest safe one needs no correction among them (the count of rejections only
-grows); across rules and strata the level is divided by their number
-(Bonferroni). So with probability 1 - LEVEL the rules together reject at most
-RISK of the good documents of every stratum. A stratum with too few labels
-gets no cutoff, and its documents only the base verdict.
+statistic > cutoff" has a fixed list of cutoffs, lenient to strict. Together they
+form one path of settings: each step makes one rule a cutoff stricter, all rules
+in turn, so rejections only grow along it. A document's ``step`` is the first
+that rejects it, and a setting is one number, the last step in force.
+
+Labelled good documents of a stratum (its language) are the holdout: a setting
+is safe if the exact binomial probability of seeing so few rejected good
+documents, were the true false-rejection rate ``RISK``, is at most the level.
+Settings are tested in the order of the path up to the first that is not safe
+(fixed-sequence testing), which needs no correction among rules and cutoffs;
+across strata the level is divided by their number (Bonferroni). So with
+probability 1 - LEVEL the rules together reject at most RISK of the good
+documents of every stratum. A stratum with too few labels (under about 230 with
+five strata) gets no setting, and its documents only the base verdict.
 
 Edge cases: null and empty texts have zero words and fail the base rule; a null
 language is a stratum of its own; without labels only the base rules act;
@@ -28,7 +32,7 @@ from pyspark.sql.window import Window
 
 from factlake.llm.common import let, small, staged, words_of
 
-RISK, LEVEL = 0.05, 0.05
+RISK, LEVEL = 0.02, 0.05
 #: Cutoffs of each rule, lenient to strict.
 CUTOFFS = {
     "symbol_ratio": (0.4, 0.3, 0.2, 0.1, 0.06),
@@ -62,9 +66,15 @@ def _repeat_words(words: Column) -> Column:
             hit = F.filter(p, lambda x, i: (at(x) == at(F.get(p, i + 1))) | (at(x) == at(F.get(p, i - 1))))
             return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(low).cast("int")))
 
+        def mingled(p: Column, low: Column) -> Column:
+            """Whether two different hashes agree in their high bits; neighbours may then hide a repeat."""
+            high = lambda x: x.bitwiseAND(F.bitwise_not(low))
+            at = lambda x: F.get(hashes, x.bitwiseAND(low).cast("int"))
+            return F.size(F.filter(p, lambda x, i: (high(x) == high(F.get(p, i + 1))) & (at(x) != at(F.get(p, i + 1))))) > 0
+
         def pack(low: Column) -> Column:
             mixed = F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
-            return let(F.sort_array(mixed), lambda p: again(p, low))
+            return let(F.sort_array(mixed), lambda p: F.when(mingled(p, low), places_long(hashes)).otherwise(again(p, low)))
 
         return let(mask.cast("long"), pack)
 
@@ -167,47 +177,53 @@ def stratum(lang: Column) -> Column:
     return F.when(lang.isNull(), "n").otherwise(F.concat(F.lit("s"), lang.cast("string")))
 
 
+def path() -> list[tuple[str, float]]:
+    """The steps from lenient to strict: the next cutoff of each rule in turn."""
+    longest = max(map(len, CUTOFFS.values()))
+    return [(rule, cuts[i]) for i in range(longest) for rule, cuts in CUTOFFS.items() if i < len(cuts)]
+
+
+def step_of(s: Column) -> Column:
+    """The first step of the path that rejects a document, from 1; null if none does."""
+    values = measures(s)
+    return F.coalesce(*[F.when(values[rule] > cut, F.lit(i)) for i, (rule, cut) in enumerate(path(), 1)])
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, cuts map<rule, cutoff>) from labelled good documents.
+    """(stratum, n, last): the holdouts and the last safe step of each stratum, null if there is none.
 
     ``stats`` holds doc_id, lang and ``__s``; labels hold doc_id and quality.
     """
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    s = stats.join(good, "doc_id", "left_semi")
-    # documents that fail the base rules are rejected whatever the cutoffs are
-    values = measures(F.col("__s"))
-    hold = s.where(~base_failed(F.col("__s"))).select(
-        stratum(F.col("lang")).alias("stratum"), *[v.alias(k) for k, v in values.items()]
-    )
-    counts = [
-        F.count_if(F.col(rule) > cut).alias(f"{rule}_{i}") for rule, cuts in CUTOFFS.items() for i, cut in enumerate(cuts)
-    ]
-    table = hold.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    n_strata = F.count("*").over(Window.partitionBy(F.lit(1)))
-    table = table.withColumn("level", F.lit(level) / (n_strata * len(CUTOFFS)))
-    chosen = []
-    for rule, cuts in CUTOFFS.items():
-        safe = F.lit(None).cast("double")
-        for i, cut in enumerate(cuts):  # the last safe one wins
-            p = binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), risk / len(CUTOFFS))
-            safe = F.when(p <= F.col("level"), F.lit(cut)).otherwise(safe)
-        chosen.append(safe.alias(rule))
-    return staged(table.select("stratum", "n", *chosen), "cutoffs")
+    # documents that fail the base rules are rejected whatever the setting is
+    hold = stats.where(~base_failed(F.col("__s"))).select("doc_id", stratum(F.col("lang")).alias("stratum"), step_of(F.col("__s")).alias("step"))
+    hold = hold.join(good, "doc_id", "left_semi")
+    # a row per stratum and step
+    counts = hold.groupBy("stratum", "step").agg(F.count("*").alias("k"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(len(path())))).alias("last")
+    of = counts.groupBy("stratum").agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "k")))).alias("at"))
+    rows = of.select("stratum", "n", "at", steps).withColumn("k", F.coalesce(F.try_element_at("at", F.col("last")), F.lit(0)))
+    upto = Window.partitionBy("stratum").orderBy("last")
+    rows = rows.withColumn("rejected", F.sum("k").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    n_strata = F.size(F.collect_set("stratum").over(Window.partitionBy(F.lit(1))))
+    rows = rows.withColumn("p", binomial_tail(F.col("rejected"), F.col("n"), risk)).withColumn("level", F.lit(level) / n_strata)
+    # rejections only grow along the path, so the last safe step comes before the first unsafe one
+    safe = F.max(F.when(F.col("p") <= F.col("level"), F.col("last"))).alias("last")
+    return staged(rows.groupBy("stratum").agg(F.first("n").alias("n"), safe), "cutoffs")
 
 
 def with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``rows`` with ``__cut``, the cutoffs of their stratum, or null.
+    """``rows`` with ``__last``, the last step in force in their stratum, or null.
 
-    Cutoffs have a row per language; they are broadcast while they are few.
+    There is a row per language; they are broadcast while they are few.
     """
-    cuts = small(cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*CUTOFFS).alias("__cut")))
+    cuts = small(cutoffs.select(F.col("stratum").alias("__stratum"), F.col("last").alias("__last")))
     return rows.join(cuts, stratum(F.col("lang")) == F.col("__stratum"), "left")
 
 
-def passes(s: Column, cut: Column) -> Column:
+def passes(s: Column, last: Column) -> Column:
     """Whether no rule of the method rejects a document."""
-    values = measures(s)
-    return ~reduce(lambda a, b: a | b, [F.coalesce(values[r] > cut[r], F.lit(False)) for r in CUTOFFS])
+    return ~F.coalesce(step_of(s) <= last, F.lit(False))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,18 +233,18 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     failed = base_failed(F.col("__s"))
     return out.select(
         "doc_id", "__s.n_words", "__s.word_chars", "__s.n_symbols", "__s.lines.n_dup_lines", "__s.n_repeat_words",
-        failed.alias("base_failed"), (~failed & passes(F.col("__s"), F.col("__cut"))).alias("kept"),
+        failed.alias("base_failed"), (~failed & passes(F.col("__s"), F.col("__last"))).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    Statistics of the labelled documents come first; the second pass then
-    filters row by row, so that no text is shuffled.
+    Statistics come first, as narrow rows; the second pass computes them again
+    and filters row by row, so that no text is shuffled.
     """
-    some = docs.join(labels.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = calibrate(staged(statistics(some), "rules"), labels)
+    stats = docs.select("doc_id", "lang", statistic().alias("__s"))
+    cutoffs = calibrate(staged(stats, "rules"), labels)
     # one expression, so that the filter computes the statistics once per row
-    keep = let(statistic(), lambda s: ~base_failed(s) & passes(s, F.col("__cut")))
+    keep = let(statistic(), lambda s: ~base_failed(s) & passes(s, F.col("__last")))
     return with_cutoffs(docs, cutoffs).where(keep).select(*docs.columns)

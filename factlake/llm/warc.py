@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.common import new_dir, staged
+from factlake.llm.common import new_dir, small, staged
 
 MIN_REVISIT = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -154,7 +154,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     long = F.octet_length("html") >= MIN_REVISIT
     # digests of repeated payloads only, so that most pages meet no partner
     shared = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("n"))
-    shared = shared.where("n > 1").select(F.col("digest").alias("__digest"), "__last")
+    shared = small(shared.where("n > 1").select(F.col("digest").alias("__digest"), "__last"))
     rows = rows.join(shared, (F.col("digest") == F.col("__digest")) & long, "left")
     other = F.col("__last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__last"))
     return rows.withColumn("refers_to", F.when(other, F.col("__last"))).drop("__digest", "__last")
