@@ -7,7 +7,9 @@
    in-memory index. Its size is bounded by ``MAX_LISTS``, whatever the input.
 3. Tasks search that graph for every vector and put it in the list of its
    nearest centroid; a boundary vector is replicated to further ones within
-   (1 + ``SPREAD``) of the nearest distance, up to ``MAX_COPIES`` lists.
+   (1 + ``SPREAD``) of the nearest distance, up to ``MAX_COPIES`` lists. A list
+   is passed over if its centroid lies nearer to one already chosen than
+   ``APART`` times its distance from the vector, as it would hold the same rows.
 4. Lists over ``SHARD`` rows are cut into shards by a hash.
 5. A query asks every list whose centroid is within (1 + ``PROBE``) of its
    nearest one, and ``MIN_PROBES`` at least; it is compared with all centroids;
@@ -34,8 +36,8 @@ from pyspark.sql.window import Window
 from factlake.llm.common import hashed_sample, staged
 
 LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
-SPREAD, MAX_COPIES = 0.15, 4
-PROBE, MIN_PROBES = 0.14, 16
+SPREAD, MAX_COPIES, APART = 0.15, 4, 0.8
+PROBE, MIN_PROBES = 0.22, 8
 DEGREE, BEAM, ENTRIES = 24, 40, 32
 
 
@@ -142,8 +144,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _posting_lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each vector's lists: its home and its boundary replicas."""
-    ids, dist = graph.search(x, min(MAX_COPIES, len(graph.c)))
-    row, at = np.nonzero(dist <= (1 + SPREAD) * dist[:, :1])
+    ids, dist = graph.search(x, min(2 * MAX_COPIES, len(graph.c)))
+    near = graph.c[ids]
+    chosen = dist <= (1 + SPREAD) * dist[:, :1]
+    for j in range(1, ids.shape[1]):
+        between = np.sqrt(((near[:, :j] - near[:, j : j + 1]) ** 2).sum(axis=2))
+        same = (chosen[:, :j] & (between <= APART * dist[:, j : j + 1])).any(axis=1)
+        chosen[:, j] &= ~same & (chosen[:, :j].sum(axis=1) < MAX_COPIES)
+    row, at = np.nonzero(chosen)
     return row, ids[row, at]
 
 

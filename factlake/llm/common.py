@@ -2,46 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: White space that separates words, as a Java pattern: blank and \t \n \v \f \r.
-SPACES = r"[ \t-\r]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; where that is unset (as in
-    tests on one machine) a temporary folder becomes the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
+from factlake.staging import new_dir, shared_dir, staged
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["hash_unit", "hashed_sample", "let", "new_dir", "opened", "ranked", "shared_dir", "small", "staged", "words_of"]
 
+#: White space that separates words, as a Java pattern: blank and \t \n \v \f \r.
+SPACES = r"[ \t-\r]+"
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage and computes an expensive input once; the copy outlives a
-    lost executor.
-    """
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a uri in the shared folder, for tasks that read or write bytes."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

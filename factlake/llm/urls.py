@@ -1,12 +1,12 @@
 """URL filters over a memory-mapped, sorted array of 64-bit digests.
 
 Entries are strings ``host + path``: rules with a path, which allow or block,
-and blocked hosts, which have none. Spark sorts them by their XXH64 (seed 42,
-unsigned); the driver streams them into one file, which Spark ships to every
-executor. Tasks memory-map it, probe all candidates of a batch (the host's
-suffixes times the path lengths that rules have) by one vectorised binary
-search, and compare the stored string of each digest hit, so that a collision
-cannot decide.
+and blocked hosts, which have none, both from tables. Spark range-sorts them by
+their XXH64 (seed 42, unsigned) and tasks write the sorted parts to the shared
+folder, from which Spark ships them to every executor. Tasks memory-map the
+parts, probe all candidates of a batch (the host's suffixes times the path
+lengths that rules have) by vectorised binary search, and compare the stored
+string of each digest hit, so that a collision cannot decide.
 
 A rule fits its host and all subdomains if the path starts with the rule's; the
 longest wins, of equally long ones a blocking one. Without a rule a url is
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +31,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.common import new_dir, opened, staged
+
 SEED = 42
+ENTRIES_PER_PART = 4_000_000
 ALLOW, BLOCK, LISTED = 0, 1, 2
 RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
@@ -47,57 +49,87 @@ BLOCKED_HOSTS = [
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def entries(spark: SparkSession, rules: list[tuple[str, str]], hosts: list[str]) -> DataFrame:
-    """(entry, verdict) rows from rules (verdict, host/path) and blocked hosts."""
-    rows = [(e, BLOCK if v == "block" else ALLOW) for v, e in rules] + [(h, LISTED) for h in hosts]
-    return spark.createDataFrame(rows, "entry string, verdict int")
+def entries(spark: SparkSession, rules: list[tuple[str, str]], hosts: list[str] | DataFrame) -> DataFrame:
+    """(entry, verdict) rows from rules (verdict, host/path) and blocked hosts: a
+    list, or the first column of a table of any size."""
+    rows = spark.createDataFrame([(e, BLOCK if v == "block" else ALLOW) for v, e in rules], "entry string, verdict int")
+    if not isinstance(hosts, DataFrame):
+        hosts = spark.createDataFrame([(h,) for h in hosts], "entry string")
+    return rows.unionByName(hosts.select(F.lower(F.col(hosts.columns[0])).alias("entry"), F.lit(LISTED).alias("verdict")))
 
 
-def build(table: DataFrame) -> str:
-    """Write the array of ``entries`` and ship it; the name executors know it by.
+def build(table: DataFrame) -> list[str]:
+    """Write the sorted array of ``entries`` in parts and ship them; their names, in order.
 
-    File: count, number of shapes, shapes (labels, path length), then the
-    digests, the offsets of the strings, the verdicts and the strings. The
-    driver holds one row at a time.
+    A part: count, number of shapes, shapes (labels, path length), then the
+    digests, the offsets of the strings, the verdicts and the strings.
     """
+    spark = table.sparkSession
     rows = table.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.max("verdict").alias("verdict"))
+    rows = staged(rows, "entries")
     digest = F.xxhash64("entry")
     # unsigned order: non-negative digests first
-    rows = rows.select(digest.alias("d"), "entry", "verdict").orderBy(F.col("d") < 0, "d", "entry")
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="digests-")
-    shapes: set[tuple[int, int]] = set()
-    n, at = 0, 0
-    parts = [os.path.join(folder, p) for p in ("d", "o", "v", "s")]
-    files = [open(p, "wb") for p in parts]  # noqa: SIM115
-    for d, entry, verdict in rows.toLocalIterator():
-        raw = entry.encode("utf-8", "surrogatepass")
-        host, slash, path = entry.partition("/")
-        shapes.add((host.count(".") + 1, len(slash + path)))
-        files[0].write(struct.pack("<q", d))
-        files[1].write(struct.pack("<q", at))
-        files[2].write(struct.pack("<q", verdict))
-        files[3].write(raw)
-        n, at = n + 1, at + len(raw)
-    files[1].write(struct.pack("<q", at))
-    for f in files:
-        f.close()
-    path = os.path.join(folder, name)
-    with open(path, "wb") as out:
-        out.write(struct.pack("<qq", n, len(shapes)))
-        for labels, length in sorted(shapes):
-            out.write(struct.pack("<qq", labels, length))
-        for p in parts:
-            with open(p, "rb") as f:
-                while block := f.read(1 << 20):
-                    out.write(block)
-            os.remove(p)
-    table.sparkSession.sparkContext.addFile(path)
-    return name
+    order = [(digest < 0), digest, F.col("entry")]
+    rows = rows.repartitionByRange(1 + rows.count() // ENTRIES_PER_PART, *order).sortWithinPartitions(*order)
+    folder = new_dir(spark, "digests")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, verdicts, raws, shapes = [], [], [], set()
+        for b in batches:
+            for d, entry, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                host, slash, path = entry.partition("/")
+                shapes.add((host.count(".") + 1, len(slash + path)))
+                digests.append(d)
+                verdicts.append(verdict)
+                raws.append(entry.encode("utf-8", "surrogatepass"))
+        if not raws:
+            return
+        name = f"{uuid.uuid4().hex}.bin"
+        fs, path = opened(f"{folder}/{name}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            out.write(struct.pack("<qq", len(raws), len(shapes)))
+            for shape in sorted(shapes):
+                out.write(struct.pack("<qq", *shape))
+            out.write(np.array(digests, "<i8").tobytes())
+            out.write(np.cumsum([0, *map(len, raws)]).astype("<i8").tobytes())
+            out.write(np.array(verdicts, "<i8").tobytes())
+            out.write(b"".join(raws))
+        first = digests[0] % 2**64
+        yield pa.RecordBatch.from_pydict({"name": [name], "first": [f"{first:016x}"]})
+
+    # a row per part
+    parts = staged(rows.select(digest, "entry", "verdict").mapInArrow(run, "name string, first string"), "parts").collect()
+    names = [r["name"] for r in sorted(parts, key=lambda r: r["first"])]
+    for name in names:
+        spark.sparkContext.addFile(f"{folder}/{name}")
+    return names
 
 
 class DigestArray:
-    """The mapped file."""
+    """A mapped part, or several in the order of their digests."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.parts = [_Part(p) for p in paths]
+        self.first = np.array([p.digests[0] for p in self.parts], np.uint64)
+        self.shapes = sorted({s for p in self.parts for s in p.shapes})
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """Verdict of each key, or -1."""
+        found = np.full(len(keys), -1)
+        digests = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys))
+        # equal digests may begin in one part and end in the next
+        lo, hi = np.searchsorted(self.first, digests, side="left") - 1, np.searchsorted(self.first, digests, side="right") - 1
+        for i, part in enumerate(self.parts):
+            mine = np.nonzero((lo <= i) & (i <= hi))[0]
+            if len(mine):
+                got = part.find([keys[k] for k in mine], digests[mine])
+                found[mine] = np.maximum(found[mine], got)
+        return found
+
+
+class _Part:
+    """One mapped file."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -111,12 +143,9 @@ class DigestArray:
         self.verdicts = part("<i8", at + 16 * n + 8, n)
         self.strings = part("u1", at + 24 * n + 8, size - (at + 24 * n + 8))
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """Verdict of each key, or -1."""
+    def find(self, keys: list[bytes], digests: np.ndarray) -> np.ndarray:
+        """Verdict of each key, or -1; keys of equal digest are told apart by their strings."""
         found = np.full(len(keys), -1)
-        if not len(self.digests) or not keys:
-            return found
-        digests = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys))
         at = np.searchsorted(self.digests, digests)
         inside = np.nonzero(at < len(self.digests))[0]
         for i in inside[self.digests[at[inside]] == digests[inside]]:
@@ -167,14 +196,14 @@ def judge(array: DigestArray, urls: list[str | None]) -> list[tuple[str, str, st
 
 def filter_urls(pages: DataFrame, table: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page, by ``entries``."""
-    name = build(table)
-    mapped: dict[str, DigestArray] = {}
+    names = build(table)
+    mapped: list[DigestArray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in mapped:
-            mapped[name] = DigestArray(SparkFiles.get(name))
+        if not mapped:
+            mapped.append(DigestArray([SparkFiles.get(n) for n in names]))
         for b in batches:
-            got = judge(mapped[name], b.column(1).to_pylist())
+            got = judge(mapped[0], b.column(1).to_pylist())
             cols = [pa.array([g[k] for g in got], pa.string()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["page_id", "host", "path", "rule", "verdict"])
 

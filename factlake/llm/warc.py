@@ -30,11 +30,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.common import new_dir, small, staged
+from factlake.llm.common import new_dir, opened, small, staged
 
 MIN_REVISIT = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -44,10 +43,6 @@ FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class StoredZip:
     """Writes stored members one after the other, always with ZIP64 fields."""
 
@@ -170,7 +165,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 if zipped is None:
-                    fs, path = _open(uri)
+                    fs, path = opened(uri)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path)
                     zipped = StoredZip(out)
@@ -200,7 +195,7 @@ def locate(packages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column(0).to_pylist():
-                fs, path = _open(uri)
+                fs, path = opened(uri)
                 with fs.open_input_file(path) as f:
                     found = members(f, f.size())
                     data, (at, size) = found[DATA][0], found[INDEX]
@@ -239,14 +234,14 @@ def read(ranges: DataFrame) -> DataFrame:
         return None if last == "None" else int(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: tuple[str, pa.NativeFile] | None = None
+        current: tuple[str, pa.NativeFile] | None = None
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for uri, first, length in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if opened is None or opened[0] != uri:
-                    fs, path = _open(uri)
-                    opened = (uri, fs.open_input_file(path))
-                warc, http, payload = _parse(gzip.decompress(opened[1].read_at(length, first)))
+                if current is None or current[0] != uri:
+                    fs, path = opened(uri)
+                    current = (uri, fs.open_input_file(path))
+                warc, http, payload = _parse(gzip.decompress(current[1].read_at(length, first)))
                 digest = warc["warc-payload-digest"].removeprefix("sha1:")
                 revisit = warc["warc-type"] == "revisit"
                 if not revisit and hashlib.sha1(payload).hexdigest() != digest:

@@ -17,3 +17,30 @@ def test_no_cap_overrules_the_distance_ratio():
         assert set(np.nonzero(ratio <= 1 + ann.PROBE - 1e-4)[0]) <= asked
         assert set(np.argsort(d[i])[: ann.MIN_PROBES]) <= asked
     assert np.bincount(row).max() > 256
+
+
+def test_replicas_are_those_of_the_boundary():
+    """A vector amid two clusters is in both lists, one in the heart of a cluster in its own only."""
+    c = np.array([[0.0, 0], [10, 0], [0.5, 0.5], [0, 10]], np.float32)
+    x = np.array([[5.0, 0.2], [0, -1], [9, 0.5]], np.float32)
+    row, lists = ann._posting_lists(ann.Graph(c), x)
+    got = [set(lists[row == i].tolist()) for i in range(3)]
+    assert got[0] >= {1} and len(got[0]) == 2 and got[1] == {0} and got[2] == {1}
+
+
+def test_clustered_vectors_are_found_in_few_lists(spark, monkeypatch):
+    """Recall against brute force where lists outnumber those asked many times."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 40)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(300, 32))
+    x = (centre[rng.integers(0, 300, 12_000)] + 0.35 * rng.normal(size=(12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(enumerate(x.tolist()), "vec_id long, embedding array<float>")
+    got = ann.search(df, ann.F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = ((x - x[q]).astype(float) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argpartition(d, 10)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 1200 and hits >= 0.95 * 1200
+    graph = ann.Graph(ann.fit(x[:8000], 300))
+    assert np.bincount(ann._probes(graph, x[::100])[0]).mean() < 0.2 * 300

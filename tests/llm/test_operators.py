@@ -452,12 +452,23 @@ def test_urls(spark, url, want):
     assert [tuple(r)[1:] for r in got] == [want, want]
 
 
-def test_a_digest_collision_does_not_decide(tmp_path):
-    array = urls.DigestArray.__new__(urls.DigestArray)
+def test_a_digest_collision_does_not_decide():
+    part = urls._Part.__new__(urls._Part)
     d = xxhash.xxh64_intdigest(b"b.com", 42)
-    array.digests, array.offsets = np.array([d, d], np.uint64), np.array([0, 5, 10])
-    array.verdicts, array.strings = np.array([2, 1]), np.frombuffer(b"a.comb.com", np.uint8)
-    assert array.find([b"b.com", b"c.com"]).tolist() == [1, -1]
+    part.digests, part.offsets = np.array([d, d], np.uint64), np.array([0, 5, 10])
+    part.verdicts, part.strings = np.array([2, 1]), np.frombuffer(b"a.comb.com", np.uint8)
+    keys = [b"b.com", b"c.com"]
+    assert part.find(keys, np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)).tolist() == [1, -1]
+
+
+def test_hosts_come_from_a_table_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(urls, "ENTRIES_PER_PART", 300)
+    hosts = spark.range(2000).select(F.concat(F.lit("H"), "id", F.lit(".net")).alias("host"), F.lit(1).alias("entry"))
+    table = urls.entries(spark, [("allow", "h7.net/ok")], hosts)
+    assert len(urls.build(table)) > 4
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.h"), "id", F.lit(".net/ok")).alias("url"))
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, table).collect()}
+    assert got == {i: "block" if i < 2000 and i != 7 else "allow" for i in range(3000)}
 
 
 def test_urls_empty(spark):
