@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factlake.staging import ranked, small
+
 
 def entity_counts(entities: DataFrame, bridge: DataFrame) -> DataFrame:
     """Entities with ``fact_count``, 0 for those without facts."""
@@ -20,9 +22,11 @@ def facts_of(bridge: DataFrame, entity_ids: list[str]) -> DataFrame:
 
 
 def entity_names(bridge: DataFrame, entities: DataFrame) -> DataFrame:
-    """Names of each fact's entities, in the order of their ids; missing ones are skipped."""
+    """Names of each fact's entities in the fact's own order (``pos`` of the bridge, else
+    by id); missing ones are skipped."""
+    place = [c for c in ("pos", "entity_id") if c in bridge.columns]
     named = bridge.join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    ordered = F.sort_array(F.collect_list(F.struct("entity_id", "name")))
+    ordered = F.sort_array(F.collect_list(F.struct(*place, "name")))
     return named.groupBy("fact_id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), "; ").alias("names"))
 
 
@@ -130,11 +134,17 @@ def session_blocks(turns: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(lines, "\n").alias("block"))
 
 
-def ordered_fingerprint(relations: DataFrame) -> DataFrame:
-    """SHA-256 per type over its ordered edges; for types of few edges."""
+def ordered_fingerprint(relations: DataFrame, chunk: int = 1000) -> DataFrame:
+    """SHA-256 per type over its ordered edges, in two levels: over the digests of
+    every ``chunk`` edges in order, so that no row holds all edges of a type."""
+    rows = ranked(relations, [F.col("relation_type"), F.col("source_id"), F.col("target_id")], "__rank")
+    first = rows.groupBy("relation_type").agg(F.min("__rank").alias("__first"))  # a row per type
+    rows = rows.join(small(first), "relation_type").withColumn("__chunk", F.floor((F.col("__rank") - F.col("__first")) / chunk))
     edges = F.sort_array(F.collect_list(F.struct("source_id", "target_id")))
     lines = F.transform(edges, lambda x: F.concat(x["source_id"], F.lit(">"), x["target_id"]))
-    return relations.groupBy("relation_type").agg(F.sha2(F.array_join(lines, ","), 256).alias("fingerprint"))
+    parts = rows.groupBy("relation_type", "__chunk").agg(F.sha2(F.array_join(lines, ","), 256).alias("digest"))
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("__chunk", "digest"))), lambda x: x["digest"])
+    return parts.groupBy("relation_type").agg(F.sha2(F.array_join(digests, ","), 256).alias("fingerprint"))
 
 
 def set_fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -56,16 +56,19 @@ def traverse(relations: DataFrame, start: DataFrame, depth: int, direction: str
     return inside, edges, visited
 
 
-def shortest_path(relations: DataFrame, start: str, goal: str, depth: int = 8) -> DataFrame:
+def shortest_path(relations: DataFrame, start: str, goal: str, depth: int | None = None) -> DataFrame:
     """One row (path array<struct<source_id, relation_type, target_id>>): the
     shortest forward path, of equally long ones the first by its ids; an empty
-    path if start and goal are one; no row if there is none within ``depth``."""
+    path if start and goal are one; no row if there is none (within ``depth``, if
+    one is given). The search ends when no new node is reached."""
     spark = relations.sparkSession
     moves = cut(steps(relations))
     kind = "array<struct<source_id:string,relation_type:string,target_id:string>>"
     front = spark.createDataFrame([(start,)], "id string").withColumn("path", F.array().cast(kind))
     seen = front.select("id")
-    for _ in range(depth + 1):
+    level = 0
+    while depth is None or level <= depth:
+        level += 1
         hit = front.where(F.col("id") == goal)
         if not hit.isEmpty():
             return hit.select("path")
@@ -93,11 +96,11 @@ def simple_paths(relations: DataFrame, start: DataFrame, goal: Column, depth: in
     return found
 
 
-def on_cycles(relations: DataFrame, rounds: int = 20) -> DataFrame:
+def on_cycles(relations: DataFrame) -> DataFrame:
     """Edges that remain when nodes without a way in or out are dropped, repeatedly."""
     e = cut(steps(relations).select("a", "b").distinct())
     n = e.count()
-    for _ in range(rounds):
+    while n:
         heads, tails = e.select(F.col("b").alias("a")).distinct(), e.select(F.col("a").alias("b")).distinct()
         e = cut(e.join(heads, "a", "left_semi").join(tails, "b", "left_semi").select("a", "b"))
         m = e.count()
@@ -107,14 +110,20 @@ def on_cycles(relations: DataFrame, rounds: int = 20) -> DataFrame:
     return e
 
 
-def cycles(relations: DataFrame, depth: int) -> DataFrame:
-    """(cycle array<string>) of up to ``depth`` nodes, each once, from its least node."""
+def cycles(relations: DataFrame, depth: int | None = None) -> DataFrame:
+    """(cycle array<string>): each simple cycle once, from its least node, of any length
+    or of up to ``depth`` nodes. The search ends when no path can grow; the number of
+    cycles of a dense graph is exponential, which ``depth`` is for."""
     moves = on_cycles(relations)
     front = moves.where("a <= b").select(F.col("a").alias("first"), F.col("b").alias("id"), F.array("a", "b").alias("path"))
     found = front.where("first = id").select(F.array("first").alias("cycle"))
     front = front.where("first < id")
-    for _ in range(depth - 1):
+    length = 1
+    while depth is None or length < depth:
+        length += 1
         new = cut(front.join(moves, F.col("id") == F.col("a")).where("b >= first"))
+        if new.isEmpty():
+            break
         found = found.unionByName(new.where("b = first").select(F.col("path").alias("cycle")))
         front = new.where(~F.array_contains("path", F.col("b"))).select("first", F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
     return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Severity of each check and what to do about it.
 SEVERITY = {"orphan": "warning", "duplicate": "warning", "stale": "info", "conflict": "warning"}
@@ -65,10 +66,15 @@ def stale(entities: DataFrame, now: int, max_age: int) -> DataFrame:
 
 
 def conflicts(facts: DataFrame, types: list[str]) -> DataFrame:
-    """Entities with two or more current facts of one ruling type, and the first three."""
+    """(entity, fact_type, n, first_ids): entities with two or more current facts of one
+    ruling type, and the first three of them."""
     current = facts.where(F.col("superseded_at").isNull() & F.col("fact_type").isin(types))
-    groups = current.groupBy("entity").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    return groups.where("n >= 2")
+    by = Window.partitionBy("entity", "fact_type").orderBy("id")
+    # a window that stops at three rows, so that no group is gathered whole
+    few = current.select("entity", "fact_type", "id").withColumn("pos", F.row_number().over(by)).where("pos <= 3")
+    first = few.groupBy("entity", "fact_type").agg(F.sort_array(F.collect_list("id")).alias("first_ids"))
+    groups = current.groupBy("entity", "fact_type").agg(F.count("*").alias("n")).where("n >= 2")
+    return groups.join(first, ["entity", "fact_type"])
 
 
 def rollup(issues: DataFrame) -> DataFrame:

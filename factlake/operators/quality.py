@@ -1,15 +1,36 @@
-"""Retrieval quality from ranked runs: (query_id, id, relevant, rank)."""
+"""Retrieval quality from ranked runs: (query_id, id, relevant, n_relevant, rank)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from factlake.operators.ranking import cosine, feedback_bias
+
+
+def retrieve(queries: DataFrame, rows: DataFrame, k: int, block: int = 2000, part: int = 100_000) -> DataFrame:
+    """The best ``k`` of ``rows`` (id, v, ...) by cosine for each query (query_id, q, ...), its own row left out.
+
+    Queries meet rows in cells of ``block`` queries and ``part`` rows, dealt by an
+    equi-join, so that no side is broadcast or held by one task; each cell keeps
+    its best before the shuffle.
+    """
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (rows, part)))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("__block", at("query_id", blocks)).withColumn("__part", all_of(parts))
+    each = rows.withColumn("__part", at("id", parts)).withColumn("__block", all_of(blocks))
+    pairs = each.join(asked, ["__block", "__part"]).where("id <> query_id")
+    pairs = pairs.withColumn("score", F.round(cosine(F.col("v"), F.col("q")), 6)).drop("v", "q", "__block", "__part")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def precision_recall(runs: DataFrame, k: int) -> DataFrame:
     hit = F.count_if(F.col("relevant") & (F.col("rank") <= k))
     return runs.groupBy("query_id").agg(
-        (hit / F.lit(float(k))).alias("precision"), F.round(hit / F.count_if("relevant"), 9).alias("recall")
+        (hit / F.lit(float(k))).alias("precision"), F.round(hit / F.nullif(F.max("n_relevant"), F.lit(0)), 9).alias("recall")
     )
 
 
@@ -21,14 +42,14 @@ def first_hit(runs: DataFrame) -> DataFrame:
 def recall_mrr(runs: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     first = first_hit(runs)
     found = [(F.count_if(F.col("first") <= k) / F.count("*")).alias(f"r{k}") for k in ks]
-    return first.agg(*found, F.round(F.avg(1.0 / F.col("first")), 9).alias("mrr"))
+    return first.agg(*found, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"))
 
 
 def report_by(runs: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
     rows = first_hit(runs).join(kinds, "query_id")
     share = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 9)
     return rows.groupBy(kind).agg(
-        F.count("*").alias("n"), share(3).alias("r3"), share(10).alias("r10"), F.round(F.avg(1.0 / F.col("first")), 9).alias("mrr")
+        F.count("*").alias("n"), share(3).alias("r3"), share(10).alias("r10"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr")
     )
 
 
@@ -48,8 +69,6 @@ def adapter_eval(votes: DataFrame, bias: DataFrame) -> DataFrame:
 
 def holdout_eval(votes: DataFrame, train: F.Column) -> DataFrame:
     """The same, trained on the votes that ``train`` picks and scored on the rest."""
-    from factlake.operators.ranking import feedback_bias
-
     return adapter_eval(votes.where(~train), feedback_bias(votes.where(train)))
 
 

@@ -288,15 +288,6 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return a.by_entity(v.facts(spark, d), "entity", "source_confidence")
 
 
-@query("a13_lint_rollup", sql("""SELECT entity_type AS code, count(*) AS n FROM entities WHERE id NOT IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations)
-AND id NOT IN (SELECT entity_id FROM fact_entities) GROUP BY 1"""))
-def a13(spark: SparkSession, d: str) -> DataFrame:
-    from factlake.operators import lint
-
-    found = lint.orphans(v.entities(spark, d), v.relations(spark, d), v.fact_entities(spark, d))
-    return lint.rollup(found.withColumn("code", F.col("entity_type")))
-
-
 @query("a14_pending_stats", sql("""SELECT fact_type, count(*) AS n, min(source_confidence) AS low, avg(source_confidence) AS mean, max(source_confidence) AS high,
 count(*) FILTER (source_confidence < 0.5) AS b0, count(*) FILTER (source_confidence >= 0.5 AND source_confidence < 0.7) AS b1,
 count(*) FILTER (source_confidence >= 0.7 AND source_confidence < 0.9) AS b2, count(*) FILTER (source_confidence >= 0.9) AS b3 FROM facts GROUP BY 1""".replace("avg(source_confidence)", "round(avg(source_confidence), 9)")))
@@ -339,9 +330,11 @@ def a23e(spark: SparkSession, d: str) -> DataFrame:
     return v.facts(spark, d).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(12)
 
 
-@query("a27_fingerprint", sql("SELECT relation_type, sha256(string_agg(source_id || '>' || target_id, ',' ORDER BY source_id, target_id)) AS fingerprint FROM relations WHERE relation_type IN ('part_of', 'sells_to') GROUP BY 1"))
+@query("a27_fingerprint", sql("""SELECT relation_type, sha256(string_agg(digest, ',' ORDER BY chunk)) AS fingerprint FROM (
+SELECT relation_type, chunk, sha256(string_agg(source_id || '>' || target_id, ',' ORDER BY source_id, target_id)) AS digest FROM (
+SELECT *, (row_number() OVER (PARTITION BY relation_type ORDER BY source_id, target_id) - 1) // 1000 AS chunk FROM relations) GROUP BY 1, 2) GROUP BY 1"""))
 def a27(spark: SparkSession, d: str) -> DataFrame:
-    return a.ordered_fingerprint(v.relations(spark, d).where("relation_type IN ('part_of', 'sells_to')"))
+    return a.ordered_fingerprint(v.relations(spark, d))
 
 
 @query("w2_examples_per_type", sql("SELECT entity_type, name, pos FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY updated_at DESC, id) AS pos FROM entities) WHERE pos <= 5"))

@@ -63,9 +63,9 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g4_cycles", sql("SELECT path AS cycle FROM loops WHERE closed", """loops(first, node, depth, path, closed) AS (SELECT DISTINCT source_id, target_id, 1, source_id || '/' || target_id, false FROM relations WHERE source_id < target_id
 UNION ALL SELECT first, t, depth + 1, CASE WHEN t = first THEN path ELSE path || '/' || t END, t = first FROM loops JOIN (SELECT DISTINCT source_id AS s, target_id AS t FROM relations) ON s = node
-WHERE NOT closed AND depth < 6 AND t >= first AND (t = first OR NOT contains('/' || path || '/', '/' || t || '/')))"""))
+WHERE NOT closed AND t >= first AND (t = first OR NOT contains('/' || path || '/', '/' || t || '/')))"""))
 def g4(spark: SparkSession, d: str) -> DataFrame:
-    return g.cycles(v.relations(spark, d), 6).select(F.array_join("cycle", "/").alias("cycle"))
+    return g.cycles(v.relations(spark, d)).select(F.array_join("cycle", "/").alias("cycle"))
 
 
 @query("g5_upsert_edges", sql("""SELECT source_id, relation_type, target_id, CASE WHEN relation_type = 'part_of' THEN 2.0 ELSE weight END AS weight FROM relations"""))

@@ -58,12 +58,21 @@ def l5t(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("ns"), F.col("embedding").alias("v"))
+    """Vectors, and of each a newer copy with every other component shrunk, more or less alike."""
+    e = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("ns"), F.col("embedding").cast("array<double>").alias("v"))
+    shrink = F.element_at(F.array(F.lit(0.6), F.lit(0.2), F.lit(0.9)), (F.col("id") % 3 + 1).cast("int"))
+    copies = e.withColumn("v", F.transform("v", lambda x, i: F.when(i % 2 == 0, x * shrink).otherwise(x))).withColumn("id", F.col("id") + 1_000_000_000)
+    return e.unionByName(copies)
 
 
-SIM = """sims AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85)"""
+SIM = """vecs AS (SELECT vec_id AS id, label AS ns, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000000, label,
+list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i % 2 = 1 THEN x * [0.6, 0.2, 0.9][vec_id % 3 + 1] ELSE x END) FROM embeddings),
+sims AS (SELECT a.id AS a, b.id AS b FROM vecs a JOIN vecs b ON a.ns = b.ns AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.85)"""
+CLUSTERS = """flood(node, other) AS (SELECT a, a FROM sims UNION SELECT b, b FROM sims UNION SELECT CASE WHEN s.a = node THEN s.b ELSE s.a END, other FROM flood JOIN sims s ON s.a = node OR s.b = node),
+members AS (SELECT node AS id, min(other) AS cluster FROM flood GROUP BY 1),
+totals AS (SELECT m.id, m.cluster, count(*) + 1 AS size, round(sum(1 - list_cosine_similarity(x.v, y.v)), 9) AS total FROM members m JOIN vecs x ON x.id = m.id JOIN members n ON n.cluster = m.cluster AND n.id <> m.id JOIN vecs y ON y.id = n.id GROUP BY 1, 2),
+placed AS (SELECT *, sum(total) OVER p / (size * (size - 1)) < 1 - 0.85 AS tight, id = max(id) OVER p AS newest, row_number() OVER (PARTITION BY cluster ORDER BY total, id) = 1 AS medoid,
+row_number() OVER (PARTITION BY cluster ORDER BY total DESC, id) <= 1 AS far FROM totals WINDOW p AS (PARTITION BY cluster))"""
 
 
 @query("j7_similar_pairs", sql("SELECT a, b FROM sims", SIM))
@@ -76,7 +85,7 @@ def l5(spark: SparkSession, d: str) -> DataFrame:
     return c.semantic_dedup(_vectors(spark, d), 0.85)
 
 
-@query("l6_consolidate")
+@query("l6_consolidate", sql("SELECT id, cluster, size, tight, CASE WHEN tight THEN newest ELSE medoid OR far END AS keep FROM placed", SIM, CLUSTERS))
 def l6(spark: SparkSession, d: str) -> DataFrame:
     return c.consolidate(_vectors(spark, d), 0.85, budget=1)
 
@@ -143,21 +152,29 @@ def l17(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(25).select("entity", "id")
 
 
-@query("i1_orphans", sql("SELECT id FROM entities WHERE id NOT IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations UNION SELECT entity_id FROM fact_entities)"))
+WITH_BRANDS = "listed AS (SELECT id, name, entity_type, updated_at FROM entities UNION ALL SELECT DISTINCT 'brand:' || p_brand, p_brand, 'brand', 0::BIGINT FROM part)"
+ORPHANS = "orphans AS (SELECT id FROM listed WHERE id NOT IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations UNION SELECT entity_id FROM fact_entities))"
+
+
+def _with_brands(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, and the brands of parts, which nothing links to."""
+    brands = v.table(spark, d, "part").select(F.concat(F.lit("brand:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("brand").alias("entity_type"), F.lit(0).cast("long").alias("updated_at"))
+    return v.entities(spark, d).select("id", "name", "entity_type", "updated_at").unionByName(brands.distinct())
+
+
+@query("i1_orphans", sql("SELECT id FROM orphans", WITH_BRANDS, ORPHANS))
 def i1(spark: SparkSession, d: str) -> DataFrame:
-    return lint.orphans(v.entities(spark, d), v.relations(spark, d), v.fact_entities(spark, d)).select("id")
+    return lint.orphans(_with_brands(spark, d), v.relations(spark, d), v.fact_entities(spark, d)).select("id")
 
 
-GRAMS = r"""names AS (SELECT entity_type, lower(name) AS low, min(id) AS id, list_distinct(list_transform(range(1, length(min(name)) + 3), lambda i: substr('  ' || lower(min(name)) || '  ', i, 3))) AS g FROM entities
-WHERE entity_type IN ('customer', 'supplier', 'nation') GROUP BY 1, 2),
+GRAMS = r"""names AS (SELECT entity_type, lower(name) AS low, min(id) AS id, list_distinct(list_transform(range(1, length(min(name)) + 3), lambda i: substr('  ' || lower(min(name)) || '  ', i, 3))) AS g FROM entities GROUP BY 1, 2),
 ex AS (SELECT entity_type, id, len(g) AS n, unnest(g) AS t FROM names),
 shared AS (SELECT a.id AS a_id, b.id AS b_id, a.n AS an, b.n AS bn, count(*) AS s FROM ex a JOIN ex b ON a.entity_type = b.entity_type AND a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4)"""
 
 
 @query("i2_duplicates", sql("SELECT a_id, b_id, round(s / (an + bn - s)::DOUBLE, 6) AS similarity FROM shared WHERE s >= 4 AND least(an, bn) >= 0.8 * greatest(an, bn) AND s / (an + bn - s)::DOUBLE > 0.8", GRAMS))
 def i2(spark: SparkSession, d: str) -> DataFrame:
-    e = v.entities(spark, d).where("entity_type IN ('customer', 'supplier', 'nation')")
-    return lint.duplicates(e, ratio=0.8, similarity=0.8).select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
+    return lint.duplicates(v.entities(spark, d), ratio=0.8, similarity=0.8).select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("i3_stale", sql("SELECT id FROM entities WHERE updated_at < 100"))
@@ -165,6 +182,30 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
     return lint.stale(v.entities(spark, d), 200, 100).select("id")
 
 
-@query("i4_conflicts", sql("SELECT entity, count(*) AS n, min(id) AS first_id FROM facts WHERE superseded_at IS NULL AND fact_type IN ('signup', 'purchase', 'click') GROUP BY 1 HAVING count(*) >= 2"))
+CONFLICTS = """conflicts AS (SELECT entity, fact_type, count(*) AS n, array_to_string(list(id ORDER BY id)[1:3], ',') AS first_ids FROM facts
+WHERE superseded_at IS NULL AND fact_type IN ('signup', 'purchase', 'click') GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def _events_as_rulings(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of which only those of the last day of each user's kind are superseded."""
+    facts = v.facts(spark, d)
+    return facts.withColumn("superseded_at", F.when(F.col("id") % 3 == 0, F.col("superseded_at")))
+
+
+RULINGS = "rulings AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN superseded_at END AS superseded_at) FROM facts)"
+
+
+@query("i4_conflicts", sql("SELECT * FROM conflicts", RULINGS, CONFLICTS.replace("FROM facts", "FROM rulings")))
 def i4(spark: SparkSession, d: str) -> DataFrame:
-    return lint.conflicts(v.facts(spark, d), ["signup", "purchase", "click"])
+    found = lint.conflicts(_events_as_rulings(spark, d), ["signup", "purchase", "click"])
+    return found.withColumn("first_ids", F.array_join("first_ids", ","))
+
+
+@query("a13_lint_rollup", sql("""SELECT 'orphan' AS code, count(*) AS n FROM orphans UNION ALL SELECT 'conflict', count(*) FROM conflicts
+UNION ALL SELECT 'stale', count(*) FROM listed WHERE updated_at < 1000 UNION ALL SELECT 'duplicate', count(*) FROM (SELECT 1 FROM shared WHERE s >= 4 AND least(an, bn) >= 0.9 * greatest(an, bn) AND s / (an + bn - s)::DOUBLE > 0.9) HAVING count(*) > 0""",
+    WITH_BRANDS, ORPHANS, RULINGS, CONFLICTS.replace("FROM facts", "FROM rulings"), GRAMS.replace("FROM entities", "FROM listed")))
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of all four checks by code."""
+    now = 1000 + 90 * 86_400_000
+    found = lint.report(_with_brands(spark, d), v.relations(spark, d), v.fact_entities(spark, d), _events_as_rulings(spark, d), now, ["signup", "purchase", "click"])
+    return lint.rollup(found)

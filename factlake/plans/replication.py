@@ -32,10 +32,10 @@ def s14(spark: SparkSession, d: str) -> DataFrame:
     return x.parse_lines(x.read_lines(spark, path), {"entity": "id:int,name:string"})[0]["entity"]
 
 
-@query("s15_delta_export", sql("SELECT id, created_at AS updated_at FROM facts WHERE created_at > 1709000000000 OR (created_at = 1709000000000 AND id > 0)"))
+@query("s15_delta_export", sql("SELECT id, created_at AS updated_at FROM facts WHERE created_at > 1705000000000 OR (created_at = 1705000000000 AND id > 0)"))
 def s15(spark: SparkSession, d: str) -> DataFrame:
     rows = v.facts(spark, d).select("id", F.col("created_at").alias("updated_at"))
-    return x.delta({"fact": rows}, {"fact": x.updated_after(1_709_000_000_000, 0)})["fact"]
+    return x.delta({"fact": rows}, {"fact": x.updated_after(1_705_000_000_000, 0)})["fact"]
 
 
 @query("s17_envelope_preflight", sql("SELECT (SELECT count(*) FROM nation) AS entity_count, (SELECT max(n_nationkey) FROM nation) AS entity_last, count(*) AS fact_count, max(id) AS fact_last FROM facts"))

@@ -278,10 +278,10 @@ def x42(spark: SparkSession, d: str) -> DataFrame:
     return x.decisions(memos(spark, d)).select("id", "payload", "fact_type")
 
 
-@query("x44_question_windows", sql("""SELECT id, strftime(day - INTERVAL 24 DAY, '%Y-%m-%d') AS start, strftime(day - INTERVAL 18 DAY, '%Y-%m-%d') AS until
+@query("x44_question_windows", sql("""SELECT id, strftime(day - INTERVAL 27 DAY, '%Y-%m-%d') AS start, strftime(day - INTERVAL 15 DAY, '%Y-%m-%d') AS until
 FROM (SELECT id, day - INTERVAL 0 DAY AS day FROM memos)""", MEMOS))
 def x44(spark: SparkSession, d: str) -> DataFrame:
     """'Three weeks ago' is 21 days back, give or take a fourth of that, rounded up to days."""
     w = x.question_window(F.lit("what did we ship 21 days ago?"), F.timestamp_millis("observed_at"))
     rows = memos(spark, d).select("id", w.alias("w"))
-    return rows.select("id", F.date_format(F.date_add("w.start", 3), "yyyy-MM-dd").alias("start"), F.date_format(F.date_sub("w.until", 3), "yyyy-MM-dd").alias("until"))
+    return rows.select("id", F.date_format("w.start", "yyyy-MM-dd").alias("start"), F.date_format("w.until", "yyyy-MM-dd").alias("until"))
