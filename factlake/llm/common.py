@@ -7,9 +7,8 @@ from collections.abc import Callable
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factlake.staging import new_dir, shared_dir, staged
+from factlake.staging import new_dir, ranked, shared_dir, small, staged
 
 __all__ = ["hash_unit", "hashed_sample", "let", "new_dir", "opened", "ranked", "shared_dir", "small", "staged", "words_of"]
 
@@ -36,12 +35,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` (narrow) rows, else
-    as it is, for a shuffled join that splits skewed keys."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def hash_unit(*cols: str) -> Column:
     """A number in [0, 1) from a hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
@@ -55,27 +48,3 @@ def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """
     share = (2 * n + 1000) / max(1, df.count())
     return df.where(hash_unit(*keys) < share).orderBy(hash_unit(*keys), *keys).limit(n)
-
-
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add ``name``: the rank from 0 over all rows, without a single task.
-
-    Rows are range-partitioned, ranked inside their partition, and shifted by
-    the sizes of the partitions before theirs.
-    """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts = staged(parts, "ranked")
-    here = Window.partitionBy("__part").orderBy(*order)
-    # one row per partition, so the window over all of them is small
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        parts.groupBy("__part")
-        .agg(F.count("*").alias("__n"))
-        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    )
-    return (
-        parts.withColumn("__at", F.row_number().over(here))
-        .join(F.broadcast(shift), "__part")
-        .withColumn(name, F.col("__at") + F.col("__shift") - 1)
-        .drop("__part", "__at", "__shift")
-    )
