@@ -37,7 +37,7 @@ class Memory:
     def search(self, query: str, limit: int = 10, where: Column | None = None) -> DataFrame:
         """Lexical hits of current facts, best first."""
         cond = f.current() if where is None else f.current() & where
-        return r.top(r.bm25(self.facts, query, where=cond), [F.desc(F.round("score", 6)), F.col("id")], limit)
+        return r.bm25(self.facts, query, limit, where=cond)
 
     def adaptive_search(self, query: str, vectors: DataFrame, target: list[float], limit: int = 10) -> DataFrame:
         """Lexical if its probe is strong enough, else fused with vectors (id, v)."""
@@ -47,7 +47,7 @@ class Memory:
             return probe.where(F.col("rank") <= limit).select("id", "score", "rank")
         scored = vectors.select("id", r.cosine(F.col("v"), r.literal_vector(target)).alias("score"))
         both = r.fused(probe.select("id", "score", "rank"), r.top(scored, [F.desc("score"), F.col("id")], 200))
-        return r.top(both.select("id", F.col("base").alias("score")), [F.desc("score"), F.col("id")], limit)
+        return r.top(both.select("id", "best_rank", F.col("base").alias("score")), [F.desc("score"), F.col("best_rank"), F.col("id")], limit).drop("best_rank")
 
     def fact_list(self, limit: int = 100, offset: int = 0, **conditions) -> DataFrame:
         return f.page(f.fact_list(self.facts, **conditions), [F.col("id")], limit, offset)

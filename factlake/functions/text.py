@@ -179,6 +179,7 @@ NUMBERS = dict(
 CURRENCY = {"$": "USD", "₩": "KRW", "€": "EUR", "£": "GBP", "¥": "JPY"}
 #: Seconds of a unit; a year is 365.25 days and a month a twelfth of it.
 SECONDS = {"s": 1, "mi": 60, "h": 3600, "d": 86_400, "w": 604_800, "mo": 2_629_800, "y": 31_557_600}
+#: The forms of money, durations, counts and dates that slots are read from.
 MONEY = r"([\$₩€£¥])\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
 DURATION = r"(?i)\b(\d+(?:\.\d+)?)\s+(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|wks?|months?|years?|yrs?)\b"
 COUNT = r"(?i)\b(\d+)\s+(items?|things?|projects?|kits?|times?|visits?|appointments?|sessions?|trips?|movies?|films?|episodes?|books?|stories?|recipes?)\b"
@@ -193,30 +194,35 @@ DATE = (
 
 
 def digits(text: Column) -> Column:
-    """Number words as digits, one word at a time; most texts hold none."""
-    changed = reduce(lambda t, w: F.regexp_replace(t, rf"(?i)\b{w}\b", NUMBERS[w]), NUMBERS, text)
-    return F.when(text.rlike(rf"(?i)\b(?:{'|'.join(NUMBERS)})\b"), changed).otherwise(text)
+    """Number words as digits, in one pass over the words of a text; most texts hold none."""
+    table = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
+    parts = F.transform(F.split(text, r"\b", -1), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w))
+    return F.when(text.rlike(rf"(?i)\b(?:{'|'.join(NUMBERS)})\b"), F.array_join(parts, "")).otherwise(text)
+
+
+SPANS = "array<struct<raw:string,start:int>>"
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<raw, start>>: all matches, with their place in characters.
 
     Matches and the parts between them alternate, so a match starts after all
-    parts up to it and all matches before it.
+    parts up to it and all matches before it. Texts are cut only if they match.
     """
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("out"))
 
-    def walk(s: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            raw, at = F.get(s["raws"], i), acc["at"] + F.length(F.get(s["parts"], i))
-            return F.struct((at + F.length(raw)).alias("at"), F.concat(acc["out"], F.array(F.struct(raw.alias("raw"), at.alias("start")))).alias("out"))
+    def placed(raws: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + F.length(x["part"])
+            one = F.array(F.struct(x["raw"].alias("raw"), at.alias("start")))
+            return F.struct((at + F.length(x["raw"])).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(s["raws"]) - 1), zero, step)["out"]
+        parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(raws))
+        pairs = F.zip_with(raws, parts, lambda raw, part: F.struct(raw.alias("raw"), part.alias("part")))
+        return F.when(F.size(raws) > 0, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
 
-    both = let(F.struct(raws.alias("raws"), parts.alias("parts")), walk)
-    return F.when(F.size(raws) > 0, both).otherwise(F.array().cast("array<struct<raw:string,start:int>>"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _slot(kind: str, value: Column, unit: Column, span: Column) -> Column:
@@ -226,62 +232,74 @@ def _slot(kind: str, value: Column, unit: Column, span: Column) -> Column:
 def currency_slots(text: Column) -> Column:
     """Money in minor units, but whole won and yen."""
 
+    table = F.create_map(*[F.lit(x) for kv in CURRENCY.items() for x in kv])
+
     def one(s: Column) -> Column:
-        sign = F.regexp_extract(s["raw"], MONEY, 1)
-        unit = F.create_map(*[F.lit(x) for kv in CURRENCY.items() for x in kv])[sign]
-        amount = F.regexp_replace(F.regexp_extract(s["raw"], MONEY, 2), ",", "").cast("double")
+        unit = F.try_element_at(table, F.substring(s["raw"], 1, 1))
+        amount = F.regexp_replace(s["raw"], r"[^0-9.]", "").cast("double")
         return _slot("currency", F.when(unit.isin("KRW", "JPY"), amount).otherwise(F.round(amount * 100)), unit, s)
 
     return F.transform(spans(text, MONEY), one)
 
 
 def duration_slots(text: Column) -> Column:
+    # a unit is known by its first letter, minutes and months by two
+    table = F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in (kv[0], float(kv[1]))])
+
     def one(s: Column) -> Column:
-        unit, n = F.lower(F.regexp_extract(s["raw"], DURATION, 2)), F.regexp_extract(s["raw"], DURATION, 1).cast("double")
-        seconds = F.lit(None).cast("double")
-        for prefix, k in SECONDS.items():
-            seconds = F.when(unit.startswith(prefix), F.lit(float(k))).otherwise(seconds)
-        return _slot("duration", n * seconds, F.lit("seconds"), s)
+        part = F.split(F.lower(s["raw"]), r"\s+", 2)
+        unit = F.get(part, 1)
+        seconds = F.coalesce(F.try_element_at(table, F.substring(unit, 1, 2)), F.try_element_at(table, F.substring(unit, 1, 1)))
+        return _slot("duration", F.get(part, 0).cast("double") * seconds, F.lit("seconds"), s)
 
     return F.transform(spans(text, DURATION), one)
 
 
 def count_slots(text: Column) -> Column:
-    return F.transform(spans(text, COUNT), lambda s: _slot("count", F.regexp_extract(s["raw"], COUNT, 1), F.lit("items"), s))
+    return F.transform(spans(text, COUNT), lambda s: _slot("count", F.get(F.split(s["raw"], r"\s+", 2), 0), F.lit("items"), s))
 
 
 def resolved_date(phrase: Column, anchor: Column) -> Column:
-    """The day a phrase means, against the anchor's day; null if it is none."""
-    low = F.regexp_replace(F.lower(phrase), r"^(?:on|in)\s+", "")
+    """The day a phrase means, against the anchor's day; null if it is none.
+
+    The first character or word tells which of the five forms a phrase has.
+    """
     today = F.to_date(F.timestamp_millis(anchor))
-    iso = F.try_to_date(F.replace(low, F.lit("/"), F.lit("-")), "y-M-d")
-    n = F.regexp_extract(low, r"^(\d+)", 1).try_cast("int")
-    sign = F.when(low.endswith("ago"), -1).otherwise(1)
-    shifted = (
-        F.when(low.rlike(r"^\d+\s+day"), F.date_add(today, sign * n))
-        .when(low.rlike(r"^\d+\s+week"), F.date_add(today, sign * n * 7))
-        .when(low.rlike(r"^\d+\s+month"), F.add_months(today, sign * n))
-        .when(low.rlike(r"^\d+\s+year"), F.add_months(today, sign * n * 12))
-    )
-    # Monday is 0; "this" means the coming one, today included, "next" a later one, "last" an earlier one
-    day = F.lit(None).cast("int")
-    for i, name in enumerate(WEEKDAYS):
-        day = F.when(low.rlike(rf"^(?:last|next|this)\s+{name}"), F.lit(i)).otherwise(day)
-    ahead = F.pmod(day - F.weekday(today), F.lit(7))
-    week = (
-        F.when(low.startswith("last"), F.date_sub(today, F.when(ahead == 0, 7).otherwise(7 - ahead)))
-        .when(low.startswith("next"), F.date_add(today, F.when(ahead == 0, 7).otherwise(ahead)))
-        .when(low.startswith("this"), F.date_add(today, ahead))
-    )
-    month = F.lit(None).cast("int")
-    for i, name in enumerate(MONTHS):
-        month = F.when(low.startswith(name.lower()), F.lit(i + 1)).otherwise(month)
-    year = F.coalesce(F.regexp_extract(low, r",\s*(\d{4})$", 1).try_cast("int"), F.year(today))
-    named = F.try_make_date(year, month, F.regexp_extract(low, r"^[a-z]+\s+(\d{1,2})", 1).try_cast("int")) if hasattr(F, "try_make_date") else F.when(
-        month.isNotNull(), F.try_to_date(F.concat_ws("-", year, month, F.regexp_extract(low, r"^[a-z]+\s+(\d{1,2})", 1)), "y-M-d")
-    )
-    word = F.when(low == "yesterday", F.date_sub(today, 1)).when(low == "today", today).when(low == "tomorrow", F.date_add(today, 1))
-    return F.coalesce(F.when(low.rlike(r"^\d{4}[/-]"), iso), word, F.when(low.rlike(r"^\d+\s"), shifted), week, named)
+
+    def counted(low: Column) -> Column:
+        part = F.split(low, r"\s+", 3)
+        n = F.get(part, 0).try_cast("int") * F.when(low.endswith("ago"), -1).otherwise(1)
+        unit = F.substring(F.get(part, 1), 1, 1)
+        return (
+            F.when(unit == "d", F.date_add(today, n)).when(unit == "w", F.date_add(today, n * 7))
+            .when(unit == "m", F.add_months(today, n)).when(unit == "y", F.add_months(today, n * 12))
+        )
+
+    def of_week(low: Column) -> Column:
+        # Monday is 0; "this" means the coming one, today included, "next" a later one, "last" an earlier one
+        day = F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.substring(F.get(F.split(low, r"\s+", 2), 1), 1, 3)) - 1
+        ahead = F.pmod(day - F.weekday(today), F.lit(7)).cast("int")
+        return (
+            F.when(low.startswith("last"), F.date_sub(today, F.when(ahead == 0, 7).otherwise(7 - ahead)))
+            .when(low.startswith("next"), F.date_add(today, F.when(ahead == 0, 7).otherwise(ahead)))
+            .otherwise(F.date_add(today, ahead))
+        )
+
+    def of_month(low: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.regexp_extract(low, r"^[a-z]+", 0))
+        year = F.coalesce(F.regexp_extract(low, r",\s*(\d{4})$", 1).try_cast("int"), F.year(today))
+        day = F.regexp_extract(low, r"^[a-z]+\s+(\d{1,2})", 1)
+        return F.when(month > 0, F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d"))
+
+    def day_of(low: Column) -> Column:
+        return (
+            F.when(low.rlike(r"^\d{4}[/-]"), F.try_to_date(F.translate(low, "/", "-"), "y-M-d"))
+            .when(low.rlike(r"^\d"), let(low, counted))
+            .when(low == "yesterday", F.date_sub(today, 1)).when(low == "today", today).when(low == "tomorrow", F.date_add(today, 1))
+            .when(low.rlike("^(?:last|next|this)"), of_week(low)).otherwise(of_month(low))
+        )
+
+    return let(F.regexp_replace(F.lower(phrase), r"^(?:on|in)\s+", ""), day_of)
 
 
 def date_slots(text: Column, anchor: Column) -> Column:

@@ -7,10 +7,12 @@ it is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factlake.staging import small, staged
+
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Blocks of Hangul, kana and Han.
 CJK = r"[ᄀ-ᇿ぀-ヿ㄰-㆏㐀-䶿一-鿿ꥠ-꥿가-힯豈-﫿]"
@@ -36,30 +38,56 @@ def _saturated(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25(docs: DataFrame, query: str, text: str = "content", where: Column | None = None, avgdl: float | None = None) -> DataFrame:
-    """Documents with ``score`` > 0. Only query terms leave the token array, so
-    no token table is shuffled; the statistics are one aggregate over the corpus."""
+#: Order of hits of equal score, as far as their table has the columns.
+TIES = ["content", "source", "source_id", "fact_type", "entity_names", "observed_at", "id"]
+
+
+def term_counts(low: Column, terms: list[str]) -> list[Column]:
+    """How often each term stands in a lower-cased text; a plain search comes first, as most texts lack most terms."""
+    whole = lambda t: rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"
+    return [F.when(low.contains(t), F.regexp_count(low, F.lit(whole(t)))).otherwise(0) for t in terms]
+
+
+def term_rows(docs: DataFrame, terms: list[str], text: str = "content") -> DataFrame:
+    """``docs`` with __len, the number of tokens, and __tf0.. of the terms."""
+    low = F.lower(F.col(text))
+    counts = {f"__tf{i}": c for i, c in enumerate(term_counts(low, terms))}
+    return docs.withColumns({"__len": F.coalesce(F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")), F.lit(0)), **counts})
+
+
+def bm25_scored(docs: DataFrame, query: str, text: str = "content", where: Column | None = None, avgdl: float | None = None) -> DataFrame:
+    """(id, score) of the documents that hold a term, in one pass over the texts.
+
+    The pass observes the corpus statistics while it writes the narrow counts of
+    the hits; no text is written or shuffled. ``where`` filters hits, not statistics.
+    """
     terms = query_terms(query)
-    # tokens are bound once per row: their number, and how often each term occurs
-    counted = F.transform(
-        F.array(tokens(F.col(text))),
-        lambda w: F.struct(F.size(w).alias("n"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"t{i}") for i, t in enumerate(terms)]),
-    )
-    words = docs.withColumn("__w", F.explode(counted))
-    tf = [F.col(f"__w.t{i}").alias(f"__tf{i}") for i in range(len(terms))]
-    rows = words.select(*docs.columns, F.col("__w.n").alias("__len"), *tf)
-    stats = rows.agg(
-        F.count("*").alias("n"), F.avg("__len").alias("avg"),
-        *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    ).first()
-    average = F.lit(float(avgdl or stats["avg"] or 1.0))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df = float(stats[f"df{i}"])
-        idf = F.log1p(F.lit((stats["n"] - df + 0.5) / (df + 0.5)))
-        score = score + idf * _saturated(F.col(f"__tf{i}"), F.col("__len"), average)
-    rows = rows if where is None else rows.where(where)
-    return rows.select(*docs.columns, score.alias("score")).where("score > 0")
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    rows = term_rows(docs, terms, text)
+    seen, names = Observation(), [f"__tf{i}" for i in range(len(terms))]
+    found = [F.count_if(F.col(c) > 0).alias(f"df{i}") for i, c in enumerate(names)]
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"), *found)
+    some = F.greatest(*names, F.lit(0)) > 0
+    hits = staged(rows.where(some if where is None else some & where).select("id", "__len", *names), "hits")
+    stats = seen.get
+    average, score = F.lit(float(avgdl or stats["avg"] or 1.0)), F.lit(0.0)
+    for i, c in enumerate(names):
+        df = stats[f"df{i}"]
+        score = score + F.log1p(F.lit((stats["n"] - df + 0.5) / (df + 0.5))) * _saturated(F.col(c), F.col("__len"), average)
+    return hits.select("id", score.alias("score"))
+
+
+def bm25(docs: DataFrame, query: str, limit: int, text: str = "content", where: Column | None = None, avgdl: float | None = None) -> DataFrame:
+    """The best ``limit`` documents with score (to six digits) and rank; ties go by ``TIES``.
+
+    Only documents that reach the last score are fetched whole.
+    """
+    scored = bm25_scored(docs, query, text, where, avgdl).withColumn("score", F.round("score", 6))
+    last = scored.orderBy(F.desc("score")).limit(limit).agg(F.min("score")).first()[0]
+    reach = small(scored.where(F.col("score") >= F.lit(last)))
+    ties = [F.asc_nulls_last(c) for c in TIES if c in docs.columns]
+    return top(docs.join(reach, "id"), [F.desc("score"), *ties], limit)
 
 
 def bm25_many(docs: DataFrame, queries: DataFrame, limit: int, text: str = "content") -> DataFrame:
@@ -126,7 +154,13 @@ def fused(lexical: DataFrame, semantic: DataFrame, w_lexical: float = 1.0, w_sem
     part = lambda w, r: F.coalesce(F.lit(w) / (RRF_K + F.col(r)), F.lit(0.0))
     both = a.join(b, F.col("a") == F.col("b"), "full_outer")
     score = part(w_lexical, "lexical_rank") + part(w_semantic, "semantic_rank")
-    return both.select(F.coalesce("a", "b").alias("id"), score.alias("base"), "lexical_rank", "semantic_rank", "lexical_score", "semantic_score")
+    best = F.least("lexical_rank", "semantic_rank").alias("best_rank")  # breaks ties before the id
+    return both.select(F.coalesce("a", "b").alias("id"), score.alias("base"), best, "lexical_rank", "semantic_rank", "lexical_score", "semantic_score")
+
+
+def weight_or(option: float | None, configured: float) -> float:
+    """A weight given with a call counts if it is above 0, else the configured one."""
+    return option if option is not None and option > 0 else configured
 
 
 def confidence_prior(confidence: Column, relevance: Column | None = None) -> Column:

@@ -24,14 +24,13 @@ tf AS (SELECT id, term, count(*) AS tf FROM tokens WHERE term IN {tuple(TERMS)}
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score
     FROM tf JOIN dfs USING (term) JOIN lens USING (id), stat GROUP BY 1),
-lexical AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm25 QUALIFY rank <= 200)"""
+lexical AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, content, source, source_id, id) AS rank FROM bm25 JOIN texts USING (id) QUALIFY rank <= 200)"""
 COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
 SEMANTIC = f"""semantic AS (SELECT vec_id AS id, round({COS}, 6) AS score, row_number() OVER (ORDER BY round({COS}, 6) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 200)"""
 
 
 def lexical_leg(spark: SparkSession, d: str, limit: int = 200) -> DataFrame:
-    hits = r.bm25(v.texts(spark, d), QUERY).withColumn("score", F.round("score", 6))
-    return r.top(hits, [F.desc("score"), F.col("id")], limit).select("id", "score", "rank")
+    return r.bm25(v.texts(spark, d), QUERY, limit).select("id", "score", "rank")
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -55,11 +54,10 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return lexical_leg(spark, d, 10)
 
 
-@query("r3_bm25_namespace", sql("SELECT id, round(score, 6) AS score FROM bm25 JOIN texts USING (id) WHERE texts.source_id = 'fr' ORDER BY round(score, 6) DESC, id LIMIT 10", BM25))
+@query("r3_bm25_namespace", sql("SELECT id, round(score, 6) AS score FROM bm25 JOIN texts USING (id) WHERE texts.source_id = 'fr' ORDER BY round(score, 6) DESC, content, source, source_id, id LIMIT 10", BM25))
 def r3n(spark: SparkSession, d: str) -> DataFrame:
     """The namespace filter comes first; statistics are of the whole corpus."""
-    hits = r.bm25(v.texts(spark, d), QUERY, where=F.col("source_id") == "fr").withColumn("score", F.round("score", 6))
-    return f.page(hits, [F.desc("score"), F.col("id")], 10).select("id", "score")
+    return r.bm25(v.texts(spark, d), QUERY, 10, where=F.col("source_id") == "fr").select("id", "score")
 
 
 @query("r4_tokens", sql("SELECT id, count(*) AS n, count(DISTINCT term) AS n_distinct FROM tokens GROUP BY 1"))
@@ -115,7 +113,7 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUSED = """fused AS (SELECT coalesce(l.id, s.id) AS id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(0.5 / (60 + s.rank), 0) AS base,
-l.rank AS lexical_rank, s.rank AS semantic_rank FROM lexical l FULL JOIN semantic s ON l.id = s.id)"""
+l.rank AS lexical_rank, s.rank AS semantic_rank, least(l.rank, s.rank) AS best_rank FROM lexical l FULL JOIN semantic s ON l.id = s.id)"""
 
 
 @query("j4_fusion_join", sql("SELECT id, lexical_rank, semantic_rank FROM fused", BM25, SEMANTIC, FUSED))
@@ -124,10 +122,10 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", "lexical_rank", "semantic_rank")
 
 
-@query("r15_weighted_rrf", sql("SELECT id, round(base, 9) AS score FROM fused ORDER BY round(base, 9) DESC, id LIMIT 20", BM25, SEMANTIC, FUSED))
+@query("r15_weighted_rrf", sql("SELECT id, round(base, 9) AS score FROM fused ORDER BY round(base, 9) DESC, best_rank, id LIMIT 20", BM25, SEMANTIC, FUSED))
 def r15(spark: SparkSession, d: str) -> DataFrame:
     both = r.fused(lexical_leg(spark, d), semantic_leg(spark, d), 1.0, 0.5).withColumn("score", F.round("base", 9))
-    return f.page(both, [F.desc("score"), F.col("id")], 20).select("id", "score")
+    return f.page(both, [F.desc("score"), F.col("best_rank"), F.col("id")], 20).select("id", "score")
 
 
 @query("r34_server_rrf", sql("""SELECT coalesce(l.id, s.id) AS id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS score,
@@ -176,14 +174,14 @@ for _name, _column in (
 
 
 @query("t3_fused_topk", sql("""SELECT id, round(base * coalesce(confidence, 1) * coalesce(decay, 1) * coalesce(weight, 1) * coalesce(centrality, 1) * coalesce(feedback, 1), 9) AS score
-FROM fused LEFT JOIN priors USING (id) ORDER BY score DESC, id LIMIT 25""", BM25, SEMANTIC, FUSED, PRIORS))
+FROM fused LEFT JOIN priors USING (id) ORDER BY score DESC, best_rank, id LIMIT 25""", BM25, SEMANTIC, FUSED, PRIORS))
 def t3(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid ranking with every prior."""
     both = r.fused(lexical_leg(spark, d), semantic_leg(spark, d), 1.0, 0.5).join(_priors(spark, d), "id", "left")
     score = F.col("base")
     for c in ("confidence", "decay", "weight", "centrality", "feedback"):
         score = score * F.coalesce(F.col(c), F.lit(1.0))
-    return f.page(both.withColumn("score", F.round(score, 9)), [F.desc("score"), F.col("id")], 25).select("id", "score")
+    return f.page(both.withColumn("score", F.round(score, 9)), [F.desc("score"), F.col("best_rank"), F.col("id")], 25).select("id", "score")
 
 
 @query("r12_prefilter_then_semantic", sql(f"SELECT vec_id AS id, round({COS}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT id FROM lexical WHERE rank <= 50)", BM25))
@@ -194,10 +192,10 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("id", F.round(r.cosine(F.col("embedding"), target), 6).alias("score"))
 
 
-@query("r13_hybrid_rank", sql("""SELECT id, row_number() OVER (ORDER BY round(base, 9) DESC, id) AS rank FROM fused QUALIFY rank <= 30""", BM25, SEMANTIC, FUSED))
+@query("r13_hybrid_rank", sql("""SELECT id, row_number() OVER (ORDER BY round(base, 9) DESC, best_rank, id) AS rank FROM fused QUALIFY rank <= 30""", BM25, SEMANTIC, FUSED))
 def r13(spark: SparkSession, d: str) -> DataFrame:
     both = r.fused(lexical_leg(spark, d), semantic_leg(spark, d), 1.0, 0.5).withColumn("score", F.round("base", 9))
-    return r.top(both, [F.desc("score"), F.col("id")], 30).select("id", "rank")
+    return r.top(both, [F.desc("score"), F.col("best_rank"), F.col("id")], 30).select("id", "rank")
 
 
 @query("r23_cjk", sql("SELECT id FROM (SELECT id, content || CASE WHEN id % 7 = 0 THEN [' 東京', ' 서울', ' かな'][id % 3 + 1] ELSE '' END AS content FROM texts) WHERE regexp_matches(content, '[\\x{1100}-\\x{11ff}\\x{3040}-\\x{30ff}\\x{3130}-\\x{318f}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]')"))
@@ -208,7 +206,7 @@ def r23(spark: SparkSession, d: str) -> DataFrame:
     return texts.where(r.has_cjk(F.col("content"))).select("id")
 
 
-@query("r24_adaptive_search", sql("""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(base, 9) DESC, id) AS rank FROM fused
+@query("r24_adaptive_search", sql("""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(base, 9) DESC, best_rank, id) AS rank FROM fused
 WHERE (SELECT count(*) < 10 OR max(score) < 1.0 FROM (SELECT score FROM lexical WHERE rank <= 10))
 UNION ALL SELECT id, rank FROM lexical WHERE NOT (SELECT count(*) < 10 OR max(score) < 1.0 FROM (SELECT score FROM lexical WHERE rank <= 10))) WHERE rank <= 10""", BM25, SEMANTIC, FUSED))
 def r24(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +215,7 @@ def r24(spark: SparkSession, d: str) -> DataFrame:
     if not r.promotes(probe, 10, False):
         return probe.where("rank <= 10").select("id", "rank")
     both = r.fused(probe, semantic_leg(spark, d), 1.0, 0.5).withColumn("score", F.round("base", 9))
-    return r.top(both, [F.desc("score"), F.col("id")], 10).select("id", "rank")
+    return r.top(both, [F.desc("score"), F.col("best_rank"), F.col("id")], 10).select("id", "rank")
 
 
 @query("r26_rerank_head", sql("""SELECT id, row_number() OVER (ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN length(content) END DESC, rank) AS new_rank
@@ -325,7 +323,7 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("r33_server_auto", sql("""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) DESC, id) AS rank FROM lexical l FULL JOIN semantic s USING (id)
+@query("r33_server_auto", sql("""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) DESC, least(l.rank, s.rank), id) AS rank FROM lexical l FULL JOIN semantic s USING (id)
 WHERE (SELECT count(*) < 3 OR max(score) < 1.25 FROM lexical) UNION ALL SELECT id, rank FROM lexical WHERE NOT (SELECT count(*) < 3 OR max(score) < 1.25 FROM lexical)) WHERE rank <= 10""", BM25, SEMANTIC))
 def r33(spark: SparkSession, d: str) -> DataFrame:
     """Lexical if three hits and a best score of 1.25 say so, else both legs, unweighted."""
@@ -334,7 +332,7 @@ def r33(spark: SparkSession, d: str) -> DataFrame:
     if best["n"] >= 3 and best["top"] >= 1.25:
         return probe.where("rank <= 10").select("id", "rank")
     both = r.fused(probe, semantic_leg(spark, d)).withColumn("score", F.round("base", 9))
-    return r.top(both, [F.desc("score"), F.col("id")], 10).select("id", "rank")
+    return r.top(both, [F.desc("score"), F.col("best_rank"), F.col("id")], 10).select("id", "rank")
 
 
 @query("r37_aggregate_many", sql("""SELECT request, count(*) AS n, round(max(source_confidence), 9) AS best FROM facts JOIN (VALUES ('a', 'ns1', 'click'), ('b', 'ns2', 'error'), ('c', 'ns1', 'error')) t(request, ns, kind)
