@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow.fs as pafs
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factlake.staging import new_dir, ranked, shared_dir, small, staged
 
-__all__ = ["hash_unit", "hashed_sample", "let", "new_dir", "opened", "ranked", "shared_dir", "small", "staged", "words_of"]
+__all__ = ["hash_unit", "hashed_sample", "let", "new_dir", "opened", "ranked", "shared_dir", "small", "staged", "text_batches", "words_of"]
 
 #: White space that separates words, as a Java pattern: blank and \t \n \v \f \r.
 SPACES = r"[ \t-\r]+"
@@ -21,6 +22,25 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches were bounded for rows that hold texts.
+
+    Spark's own 10,000 rows of long texts would take hundreds of megabytes in the
+    JVM and again in Python. Smaller settings of the caller stay.
+    """
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", conf.get(key) or "-1")[0])
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return docs
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with ``value`` computed once per row.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import hash_unit, small, staged
+from factlake.llm.common import hash_unit, small, staged, text_batches
 
 BUCKETS, PER_LANG, SMOOTHING = 1 << 15, 2000, 0.5
 #: Code points scored at once.
@@ -94,7 +94,7 @@ Model = tuple[list[str], np.ndarray, np.ndarray]
 
 def train(docs: DataFrame, learn_from: Column) -> Model:
     """Languages, their log-priors and the (bucket, language) matrix of log-probabilities."""
-    rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = text_batches(docs).where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a threshold on the hash leaves about twice the sample, so that no window grows with the input
     sizes = staged(rows.groupBy(F.col("lang").cast("string").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
     share = sizes.select("__lang", ((2 * PER_LANG + 1000) / F.col("__n")).alias("__share"))
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [b.column(0), pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlake.llm.common import hash_unit, hashed_sample, staged
+from factlake.llm.common import hash_unit, hashed_sample, staged, text_batches
 
 PASSAGE, SAMPLE, PASSAGES = 600, 6000, 60_000
 HIDDEN, GATE, EPOCHS, RATE, BATCH = 24, 12, 14, 0.01, 64
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Attention:
     upto = Window.orderBy("u", "__id").rowsBetween(Window.unboundedPreceding, 0)  # over SAMPLE narrow rows
     few = few.withColumn("upto", F.sum("bags").over(upto)).where(F.col("upto") <= PASSAGES).select("__id", "__h")
     few = staged(few, "few").join(picked, "__id").withColumnRenamed("__id", "__few")
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), (F.col("doc_id") == F.col("__few")) & (F.xxhash64("text") == F.col("__h")))
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(few), (F.col("doc_id") == F.col("__few")) & (F.xxhash64("text") == F.col("__h")))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Attention) -> DataFrame:
             got = pa.array(_score_texts(model, b.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,4 +304,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_score_texts(model, b.column(at).to_pylist()) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

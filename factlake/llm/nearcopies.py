@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm import simhash
-from factlake.llm.common import small, staged
+from factlake.llm.common import small, staged, text_batches
 from factlake.llm.simhash import Forest, components
 
 SHINGLE, SEED = 5, 42
@@ -118,7 +118,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
             columns = [*b.columns[:3], signed[0], pa.array(sizes, pa.int64()), signed[1], lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, "node", "n", "fp", "bands"])
 
-    rows = keyed(docs).select(F.col("doc_id").cast("long"), *KEY, "text")
+    rows = keyed(text_batches(docs)).select(F.col("doc_id").cast("long"), *KEY, "text")
     return rows.mapInArrow(run, f"doc_id long, {KEY[0]} long, {KEY[1]} long, node long, n long, fp long, bands array<long>")
 
 
@@ -207,7 +207,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     other = lambda seed: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed)))
     pivots = each.groupBy("band").agg(F.count("*").alias("size"), F.array(*map(other, range(4))).alias("pivots"))
     shared = staged(pivots.where("size > 1"), "bands")
-    members = staged(each.join(small(shared.select("band", "pivots")), "band"), "members")
+    members = staged(each.join(small(shared.select("band", "pivots"), 20_000), "band"), "members")
     nodes = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
     sets = staged(_sets(docs, classes.select("node", *KEY).join(small(staged(nodes, "nodes")), "node", "left_semi")), "sets")
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factlake.llm.common import ranked, staged
+from factlake.llm.common import ranked, staged, text_batches
 
 CAPACITY, END_ID = 2048, 0
 #: New sequences written by one task.
@@ -127,7 +127,7 @@ def token_pieces(
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

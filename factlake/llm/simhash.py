@@ -38,11 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import hashed_sample, shared_dir, staged
+from factlake.llm.common import hashed_sample, shared_dir, staged, text_batches
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Classes that a shard is meant for, those beyond which it is dealt in blocks, and queries of one task.
-SHARD, BLOCK, QUERIES = 4096, 16_384, 200_000
+SHARD, BLOCK, QUERIES = 32_768, 131_072, 400_000
 #: Fingerprints sampled for the upper tree at least, and its largest depth; the size of a leaf in a task.
 SAMPLE, DEEPEST, LEAF = 8192, 16, 256
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

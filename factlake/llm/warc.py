@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.common import new_dir, opened, small, staged
+from factlake.llm.common import new_dir, opened, small, staged, text_batches
 
 MIN_REVISIT = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -185,7 +185,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             found = {"package": [uri], "records": [len(index)], "bytes": [zipped.at]}
             yield pa.RecordBatch.from_pydict(found)
 
-    rows = with_revisits(pages).select("page_id", "url", "html", "digest", "refers_to")
+    rows = with_revisits(text_batches(pages)).select("page_id", "url", "html", "digest", "refers_to")
     return staged(rows.mapInArrow(run, "package string, records long, bytes long"), "packages")
 
 
