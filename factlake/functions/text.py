@@ -74,16 +74,37 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 # ---- fact types from cues -----------------------------------------------------
 
-#: Cues of each fact type, tried in this order (s: starts with, e: ends with, c: contains).
+#: Cues of each fact type, tried in this order.
 CUES = [
-    ("question", ["e:?", "s:question", "c: why ", "s:why "]),
-    ("decision", ["c:decided", "s:decision", "c:we picked", "c:we chose", "c:i chose", "c:i picked", "c:let's go with", "c:going with", "c:rolled out"]),
-    ("preference", ["s:preference", "c:i prefer", "c:we prefer", "c:user prefers", "c:team prefers", "c:my favorite", "c:my favourite", "c:i like ", "c:i dislike "]),
-    ("lesson", ["s:lesson", "c:we learned", "c:i learned", "c:learned that", "c:tried ", "c:turns out", "c:wish i had", "c:root cause was", "c:caused by"]),
-    ("error", ["s:error", "s:mistake", "c:avoid ", "c:do not ", "c:don't ", "c:never again", "c:was a mistake", "c:failure mode"]),
-    ("convention", ["c: always ", "s:always ", "c: never ", "c:convention", "c:house rule", "c: rule:"]),
-    ("pattern", ["c:pattern", "c: is implemented with ", "c: are implemented with ", "c: uses & for "]),
-    ("claim", ["c:we believe", "c:we think", "s:claim:", "c: claim "]),
+    ("question", [
+        ("ends", "?"), ("starts", "question"), ("contains", " why "), ("starts", "why "),
+    ]),
+    ("decision", [
+        ("contains", "decided"), ("starts", "decision"), ("contains", "we picked"), ("contains", "we chose"), ("contains", "i chose"),
+        ("contains", "i picked"), ("contains", "let's go with"), ("contains", "going with"), ("contains", "rolled out"),
+    ]),
+    ("preference", [
+        ("starts", "preference"), ("contains", "i prefer"), ("contains", "we prefer"), ("contains", "user prefers"), ("contains", "team prefers"),
+        ("contains", "my favorite"), ("contains", "my favourite"), ("contains", "i like "), ("contains", "i dislike "),
+    ]),
+    ("lesson", [
+        ("starts", "lesson"), ("contains", "we learned"), ("contains", "i learned"), ("contains", "learned that"), ("contains", "tried "),
+        ("contains", "turns out"), ("contains", "wish i had"), ("contains", "root cause was"), ("contains", "caused by"),
+    ]),
+    ("error", [
+        ("starts", "error"), ("starts", "mistake"), ("contains", "avoid "), ("contains", "do not "), ("contains", "don't "),
+        ("contains", "never again"), ("contains", "was a mistake"), ("contains", "failure mode"),
+    ]),
+    ("convention", [
+        ("contains", " always "), ("starts", "always "), ("contains", " never "), ("contains", "convention"), ("contains", "house rule"),
+        ("contains", " rule:"),
+    ]),
+    ("pattern", [
+        ("contains", "pattern"), ("contains", " is implemented with "), ("contains", " are implemented with "), ("contains all", [" uses ", " for "]),
+    ]),
+    ("claim", [
+        ("contains", "we believe"), ("contains", "we think"), ("starts", "claim:"), ("contains", " claim "),
+    ]),
 ]
 #: Words in headings, English and Korean.
 HEADINGS = [
@@ -97,11 +118,11 @@ def infer_fact_type(text: Column) -> Column:
     """The first type one of whose cues occurs, else ``note``."""
 
     def pick(low: Column) -> Column:
-        def holds(cue: str) -> Column:
-            kind, _, needle = cue.partition(":")
-            if kind == "c":
-                return reduce(lambda a, b: a & b, [low.contains(f" {n.strip()} " if "&" in needle else n) for n in needle.split("&")])
-            return low.startswith(needle) if kind == "s" else low.endswith(needle)
+        def holds(cue: tuple) -> Column:
+            kind, needle = cue
+            if kind == "contains all":
+                return reduce(lambda a, b: a & b, [low.contains(n) for n in needle])
+            return {"starts": low.startswith, "ends": low.endswith, "contains": low.contains}[kind](needle)
 
         out = F.when(F.lit(False), "")
         for name, cues in CUES:
@@ -116,11 +137,11 @@ def infer_fact_type_sql(text: str) -> str:
     low = f"regexp_replace(lower({text}), '^\\s+|\\s+$', '', 'g')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def holds(cue: str) -> str:
-        kind, _, needle = cue.partition(":")
-        if kind == "c":
-            return " AND ".join(f"contains({low}, {quote(f' {n.strip()} ' if '&' in needle else n)})" for n in needle.split("&"))
-        return f"{'starts_with' if kind == 's' else 'ends_with'}({low}, {quote(needle)})"
+    def holds(cue: tuple) -> str:
+        kind, needle = cue
+        if kind == "contains all":
+            return " AND ".join(f"contains({low}, {quote(n)})" for n in needle)
+        return f"{ {'starts': 'starts_with', 'ends': 'ends_with', 'contains': 'contains'}[kind]}({low}, {quote(needle)})"
 
     whens = " ".join(f"WHEN {' OR '.join(f'({holds(c)})' for c in cues)} THEN '{name}'" for name, cues in CUES)
     return f"CASE {whens} ELSE 'note' END"

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factlake.functions.text import slots
+from factlake.operators.filters import shortened
 from factlake.staging import ranked, small
 
+DAY_S = 86_400
+
 
 def entity_counts(entities: DataFrame, bridge: DataFrame) -> DataFrame:
     """Entities with ``fact_count``, 0 for those without facts."""
@@ -167,3 +171,30 @@ def first_wins(lists: list[DataFrame], key: str) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [df.select(key, F.lit(i).alias("list")) for i, df in enumerate(lists)])
     rows = rows.groupBy(key).agg(F.min("list").alias("list"))
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(key)))
+
+
+def aggregate(hits: DataFrame, op: str, samples: int = 20, preview: int = 80) -> DataFrame:
+    """One aggregate call over hits (id, content, entity, fact_type, source_confidence,
+    observed_at): ``count``, ``enumerate``, ``by_entity``, ``sum_currency``,
+    ``sum_duration``, ``count_distinct_dates`` or ``timeline``. Lists stop at ``samples`` rows."""
+    if op == "count":
+        return hits.agg(F.count("*").alias("n"))
+    if op == "enumerate":
+        return hits.orderBy("id").limit(samples).select("id", "fact_type", shortened(F.col("content"), preview).alias("preview"))
+    if op == "by_entity":
+        return by_entity(hits, "entity", "source_confidence").orderBy(F.desc("n"), "entity").limit(samples)
+    found = hits.select("id", F.explode(slots(F.col("content"), F.col("observed_at"))).alias("s")).select("id", "s.*")
+    if op == "sum_currency":
+        return found.where("kind = 'currency'").groupBy("unit").agg(F.sum("value").alias("total"), F.count("*").alias("mentions"))
+    if op == "sum_duration":
+        total = F.sum("value")
+        return found.where("kind = 'duration'").agg(
+            total.alias("seconds"), F.round(total / 3600, 6).alias("hours"), F.round(total / DAY_S, 6).alias("days"), F.count("*").alias("mentions")
+        )
+    day = F.date_from_unix_date((F.col("value") / (DAY_S * 1000)).cast("int"))
+    dates = found.where("kind = 'event_date'").select("id", F.date_format(day, "yyyy-MM-dd").alias("day"), "raw")
+    if op == "count_distinct_dates":
+        return dates.agg(F.count_distinct("day").alias("n"))
+    if op == "timeline":
+        return dates.orderBy("day", "id", "raw").limit(samples)
+    raise ValueError(f"no aggregate {op!r}")

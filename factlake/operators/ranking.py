@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factlake.operators.filters import prefer
 from factlake.staging import small, staged
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -90,27 +91,38 @@ def bm25(docs: DataFrame, query: str, limit: int, text: str = "content", where:
     return top(docs.join(reach, "id"), [F.desc("score"), *ties], limit)
 
 
-def bm25_many(docs: DataFrame, queries: DataFrame, limit: int, text: str = "content") -> DataFrame:
+def bm25_many(docs: DataFrame, queries: DataFrame, limit: int, text: str = "content", same: str | None = None, but_own: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the best ``limit`` documents of each query.
 
     ``queries`` has query_id and query. Terms of all queries restrict the
-    exploded tokens by a join, so unrelated tokens are dropped at once.
+    exploded tokens by a join, so unrelated tokens are dropped at once, and
+    tokens are counted inside their text. ``same`` names a column of both that
+    must be equal, ``but_own`` leaves out the document with the query's id.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = docs.select("id", tokens(F.col(text)).alias("__tokens")).withColumn("__len", F.size("__tokens"))
+    keys = [] if same is None else [same]
+    wanted = queries.select("query_id", *[F.col(c).alias("__same") for c in keys], F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    words = docs.select("id", *keys, tokens(F.col(text)).alias("__tokens")).withColumn("__len", F.size("__tokens"))
     corpus = words.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"))
     tf = (
-        words.select("id", "__len", F.explode("__tokens").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "__len", "term")
+        words.select("id", *keys, "__len", F.explode("__tokens").alias("term"))
+        .join(small(wanted.select("term").distinct()), "term", "left_semi")
+        .groupBy("id", *keys, "__len", "term")
         .agg(F.count("*").alias("tf"))
     )
+    tf = staged(tf, "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     one = F.broadcast(corpus.withColumn("__one", F.lit(1)))  # a single row
     idf = df.withColumn("__one", F.lit(1)).join(one, "__one")
     idf = idf.select("term", "avg", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * _saturated(F.col("tf"), F.col("__len"), F.col("avg"))
-    scored = tf.join(idf, "term").join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    # what a term adds to a document is computed before the queries multiply it
+    parts = tf.join(small(idf), "term").select("id", *keys, "term", part.alias("part"))
+    pairs = parts.join(small(wanted), "term")
+    if same is not None:
+        pairs = pairs.where(F.col(same).eqNullSafe(F.col("__same")))
+    if but_own:
+        pairs = pairs.where("id <> query_id")
+    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
@@ -213,6 +225,24 @@ def reranked(ranked: DataFrame, scorer: Column, k: int) -> DataFrame:
     return ranked.withColumn("new_rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def with_archive(hot: DataFrame, cold: DataFrame, limit: int) -> DataFrame:
+    """(id, score, tier, rank): hits of both tiers (id, score) in one ranking; equal scores
+    go to the hot tier, and a fact in both counts there."""
+    both = prefer(hot.select("id", "score", F.lit(0).alias("tier")), cold.select("id", "score", F.lit(1).alias("tier")))
+    return top(both, [F.desc("score"), F.col("tier"), F.col("id")], limit)
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, limit: int, scorer: Column | None = None, rerank_k: int = 0, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(id, score, rank) of two ranked legs, fused; with a ``scorer`` over its columns the
+    window is widened to max(limit, rerank_k, 20) rows, whose head it orders anew."""
+    both = fused(lexical, semantic, *weights).withColumn("score", F.round("base", 9))
+    window = limit if scorer is None else max(limit, rerank_k, 20)
+    rows = top(both, [F.desc("score"), F.col("best_rank"), F.col("id")], window)
+    if scorer is not None:
+        rows = reranked(rows, scorer, rerank_k).drop("rank").withColumnRenamed("new_rank", "rank")
+    return rows.where(F.col("rank") <= limit).select("id", "score", "rank")
+
+
 def within_facts(neighbours: DataFrame, bridge: DataFrame, cap: int) -> DataFrame:
     """At most ``cap / neighbours`` facts, one at least, of each neighbour entity."""
     n = max(1, neighbours.count())

@@ -5,9 +5,13 @@ Files are written and read by Spark, so any Hadoop path works.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.operators.graph import upsert_edges
+from factlake.operators.lifecycle import lww_entities, lww_merge
+
 SCHEMA_VERSION = 2
 #: The kinds of line in an envelope.
 KINDS = ("header", "entity", "fact", "relation", "cursor")
@@ -66,6 +70,68 @@ def updated_after(at: int, last_id: str | int) -> Column:
     return F.struct(F.col("updated_at"), F.col("id")) > F.struct(F.lit(at).alias("updated_at"), F.lit(last_id).alias("id"))
 
 
+def edge_key() -> Column:
+    """A text key of an edge that is equal for equal edges."""
+    return F.sha2(F.to_json(F.struct("source_id", "relation_type", "target_id", "scope")), 256)
+
+
+def edges_after(at: int | None, key: str | None = None) -> Column:
+    """Edges (created_at, ...) after a cursor. Without a key the cursor's time is
+    sent again, as equal times cannot be told apart; upserts make that harmless."""
+    if at is None:
+        return F.lit(True)
+    if key is None:
+        return F.col("created_at") >= at
+    return F.struct(F.col("created_at"), edge_key()) > F.struct(F.lit(at).cast("long"), F.lit(key))
+
+
+def passes(entities: DataFrame, facts: DataFrame, relations: DataFrame, cursor: dict) -> dict[str, DataFrame]:
+    """The five passes of a delta: entities and facts that are new by id, those that
+    changed by (updated_at, id), and edges by (created_at, key)."""
+    new = lambda df, name: inserted_after(cursor[name]) if cursor.get(name) is not None else F.lit(True)
+
+    def changed(df: DataFrame, name: str) -> Column:
+        seen = cursor.get(f"{name}_updated")
+        return (updated_after(*seen) if seen else F.lit(False)) & ~new(df, name)
+
+    return {
+        "new_entities": entities.where(new(entities, "entity")), "new_facts": facts.where(new(facts, "fact")),
+        "changed_entities": entities.where(changed(entities, "entity")), "changed_facts": facts.where(changed(facts, "fact")),
+        "edges": relations.where(edges_after(*cursor.get("edge", (None, None)))),
+    }
+
+
+def apply_envelope(lines: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Check a whole envelope, then upsert its records into ``tables`` (entity, fact,
+    relation): the later ``updated_at`` wins, and a new edge replaces the old one."""
+    preflight(lines)
+    out = {}
+    for kind, local in tables.items():
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in local.schema)
+        data = F.from_json("line", f"struct<kind:string,data:struct<{schema.replace('` ', '`:')}>>")
+        rows = lines.where(F.get_json_object("line", "$.kind") == kind).select(data.alias("x")).select("x.data.*")
+        merge = {"entity": lww_entities, "fact": lww_merge, "relation": upsert_edges}[kind]
+        out[kind] = merge(local, rows)
+    return out
+
+
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a review log; blank and malformed lines are skipped, a missing file holds none."""
+    schema = "idx long, content string, source_id string, fact_type string"
+    try:
+        return read_records(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """(query, expected, k) of a golden query set; k is 10 where it is not given."""
+    rows = read_records(spark, path, "query string, expected array<string>, k int")
+    return rows.withColumn("k", F.coalesce("k", F.lit(10)))
+
+
 def next_cursor(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max(F.struct("updated_at", "id")).alias("c")).select("c.updated_at", "c.id")
 
@@ -153,7 +219,8 @@ def append_segment(rows: DataFrame, path: str) -> None:
 def compact(spark: SparkSession, path: str, schema: str, target: str) -> DataFrame:
     """Merge all segments into one new place; what was merged can then go."""
     rows = spark.read.schema(schema).json(path)
-    rows.coalesce(1).write.mode("overwrite").json(target)
+    # the session's file and partition settings decide how many files that makes
+    rows.write.mode("overwrite").json(target)
     return spark.read.schema(schema).json(target)
 
 
