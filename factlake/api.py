@@ -11,12 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions.text import candidates
 from factlake.operators import aggregates as a
 from factlake.operators import filters as f
 from factlake.operators import graph as g
 from factlake.operators import lifecycle as life
 from factlake.operators import lint
 from factlake.operators import ranking as r
+from factlake.operators import writes as w
+from factlake.operators.changes import branch_changes
 
 #: Sections of a handoff packet and the fact types in them.
 SECTIONS = [
@@ -130,6 +133,77 @@ class Memory:
         order = [F.desc("source_confidence"), F.col("id")]
         return {"entities": self.entity_list(12), "facts": a.top_per(self.facts.where(f.current()), ["fact_type"], order, 20)}
 
+    def feedback(self, votes: DataFrame) -> DataFrame:
+        """(id, relevance_score) after votes (fact_id, helpful, at)."""
+        return life.feedback(self.facts, votes)
+
+    def fact_pin(self, ids: DataFrame, pinned: bool = True) -> DataFrame:
+        return w.pin(self.facts, ids, pinned)
+
+    def fact_edit(self, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(facts, errors) after changes (id and new values, null for those that stay)."""
+        return w.patch(self.facts, changes)
+
+    def fact_archive(self, cold: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return life.archive(self.facts, cold, ids)
+
+    def entity_describe(self, edits: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+        """(entities, errors) after edits (id, expected_at, new values): rename, alias, describe."""
+        return w.update_entities(self.entities, edits, at)
+
+    def entity_delete(self, names: DataFrame) -> dict[str, DataFrame]:
+        return w.delete_entities({"entities": self.entities, "relations": self.relations, "bridge": self.bridge}, names)
+
+    def entity_find(self, names: DataFrame) -> DataFrame:
+        """The exact entity of each name (wanted), else the most similar one."""
+        return w.get_or_fuzzy(self.entities, names)
+
+    def extract(self, texts: DataFrame, names: list[str]) -> DataFrame:
+        return candidates(texts, names)
+
+    def aggregate(self, op: str, where: Column | None = None, samples: int = 20) -> DataFrame:
+        """One of the aggregate operations over current facts that ``where`` picks."""
+        cond = f.current() if where is None else f.current() & where
+        return a.aggregate(self.facts.where(cond), op, samples)
+
+    def aggregate_many(self, requests: dict[str, tuple[str, Column]], samples: int = 20) -> dict[str, DataFrame]:
+        return {name: self.aggregate(op, where, samples) for name, (op, where) in requests.items()}
+
+    def search_many(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """(query_id, id, score, rank) for queries (query_id, query), in one pass over the facts."""
+        return r.bm25_many(self.facts.where(f.current()), queries, limit)
+
+    def query_many(self, topics: list[str], **options) -> dict[str, dict[str, DataFrame]]:
+        return {topic: self.query(topic, **options) for topic in topics}
+
+    def search_with_archive(self, query: str, cold: DataFrame, limit: int = 10) -> DataFrame:
+        """(id, score, tier, rank) of hot and cold hits in one ranking."""
+        return r.with_archive(self.search(query, limit), r.bm25(cold, query, limit), limit)
+
+    def coverage_by(self, keys: list[str]) -> DataFrame:
+        return a.coverage(self.facts, keys)
+
+    def group_by_entity(self) -> DataFrame:
+        """Facts per entity, a fact of several counting for each."""
+        return self.bridge.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("fact_id").alias("first_fact"))
+
+    def dedupe_by_fact(self) -> DataFrame:
+        return a.latest(self.facts, ["content"], [F.col("id")])
+
+    def handoff_inbox(self, source_id: str, limit: int = 25) -> DataFrame:
+        return f.page(f.fact_list(self.facts, source_id=source_id), [F.desc("created_at"), F.desc("id")], limit)
+
+    def branch_push(self, branch: DataFrame, at: int) -> DataFrame:
+        """Rows of a branch (id, ..., updated_at) that are new or differ, with a later time."""
+        return branch_changes(self.facts, branch, at)
+
+    def branch_merge(self, changed: DataFrame) -> DataFrame:
+        return life.lww_merge(self.facts, changed)
+
+    def write(self, rows: DataFrame, policy: str = "report") -> dict[str, DataFrame]:
+        """The whole write path: prepare, hints, deduplicated insert, conflict resolution."""
+        return w.write(self.facts, rows, policy)
+
     def supersede(self, pairs: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
         return life.supersede(self.facts, pairs, at)
 

@@ -489,3 +489,20 @@ def question_window(question: Column, anchor: Column) -> Column:
         F.when(width.isNotNull(), pair(F.date_sub(day, width + 1), day)),
         F.when(first.isNotNull(), pair(F.date_sub(first, 1), F.date_add(F.add_months(first, 1), 1))),
     )
+
+
+# ---- messages that begin a workflow ------------------------------------------------
+
+#: Words that announce a ticket, and the ways a message names its namespace.
+TRIGGER = r"(?i)\b(issue|ticket|pr|pull request|automation trigger)\b"
+NAMESPACE_QUOTED = r"(?is)\bsource[_ -]?id\b.{0,80}?[\"'`]([^\"'`]+)[\"'`]"
+NAMESPACE = r"(?i)\bsource[_ -]?id\b\s*[:=]\s*([A-Za-z0-9_.:/#-]+)"
+
+
+def workflow_of(message: Column, title: str = "workflow", limit: int = 160) -> Column:
+    """struct<is_trigger, title, namespace>: the title is the first line with text, the
+    namespace is quoted or follows a colon or equals sign; null if none is named."""
+    lines = F.filter(F.transform(F.split(message, r"\r\n|\n|\r", -1), stripped), lambda x: x != "")
+    quoted, plain = F.regexp_extract(message, NAMESPACE_QUOTED, 1), F.regexp_extract(message, NAMESPACE, 1)
+    named = F.when(quoted != "", quoted).when(plain != "", plain)
+    return F.struct(message.rlike(TRIGGER).alias("is_trigger"), F.coalesce(F.substring(F.get(lines, 0), 1, limit), F.lit(title)).alias("title"), named.alias("namespace"))

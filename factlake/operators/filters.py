@@ -167,3 +167,30 @@ def fit_budget(rows: DataFrame, size: Column, budget: int, order: list[Column])
     """
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("__upto", F.sum(size).over(upto)).where(F.col("__upto") <= budget).drop("__upto")
+
+
+#: Lengths to which previews shrink, one after the other.
+PREVIEWS = (200, 120, 80, 50, 30)
+
+
+def shrunk(parts: dict[str, DataFrame], budget: int) -> dict[str, DataFrame]:
+    """A topic's parts (hits, recent: pos, id, content; related: id) cut to a budget of
+    characters: related goes first, previews shrink in steps, recent facts go from the
+    tail, then hits, of which the first stays. For results that limits keep few."""
+    size = lambda df: df.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    out = dict(parts)
+    total = lambda: size(out["hits"]) + size(out["recent"])
+    related = out["related"].agg(F.coalesce(F.sum(F.length(F.col("id").cast("string"))), F.lit(0))).first()[0]
+    if total() + related <= budget:
+        return out
+    out["related"] = out["related"].where(F.lit(False))
+    for n in PREVIEWS:
+        if total() <= budget:
+            return out
+        for name in ("hits", "recent"):
+            out[name] = parts[name].withColumn("content", shortened(F.col("content"), n))
+    out["recent"] = fit_budget(out["recent"], F.length("content"), budget - size(out["hits"]), [F.col("pos")])
+    if total() > budget:
+        rest = fit_budget(out["hits"], F.length("content"), budget, [F.col("pos")])
+        out["hits"] = rest if not rest.isEmpty() else out["hits"].orderBy("pos").limit(1)
+    return out

@@ -268,6 +268,28 @@ def r28(spark: SparkSession, d: str) -> DataFrame:
     return r.with_archive(best(hot), cold_hits, 30).select("id", "tier", "rank")
 
 
+@query("x43_workflow_messages", sql("""SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS is_trigger, 'Order ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' in ticket' ELSE ' in print' END AS title,
+CASE o_orderkey % 3 WHEN 0 THEN 'team/' || (o_orderkey % 7) WHEN 1 THEN 'desk ' || (o_orderkey % 5) END AS namespace FROM orders"""))
+def x43(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of orders: every second names a ticket, two of three a namespace, in either form."""
+    k = F.col("o_orderkey")
+    named = F.when(k % 3 == 0, F.concat(F.lit("source_id: team/"), k % 7)).when(k % 3 == 1, F.concat(F.lit('Source ID is "desk '), k % 5, F.lit('"'))).otherwise("no namespace")
+    first = F.concat(F.lit("Order "), k, F.when(k % 2 == 0, " in ticket").otherwise(" in print"))
+    rows = v.table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("\n  "), first, F.lit("  \n"), named).alias("message"))
+    return rows.select("id", x.workflow_of(F.col("message")).alias("w")).select("id", "w.*")
+
+
+@query("t10_shrink_ladder", sql("""SELECT part, id, length(content) AS size FROM (SELECT 'hits' AS part, pos, id, CASE WHEN length(content) > 80 THEN left(content, 80) || '…' ELSE content END AS content FROM (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM texts WHERE length(content) > 250) WHERE pos <= 10
+UNION ALL SELECT 'recent', pos, id, left(content, 80) || '…' FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS pos FROM texts WHERE length(content) > 250) WHERE pos <= 10)"""))
+def t10(spark: SparkSession, d: str) -> DataFrame:
+    """Ten hits and ten recent texts fit 1,700 characters once previews are at 80 and one mark."""
+    rows = v.texts(spark, d).where("length(content) > 250").select("id", "content")
+    parts = {"hits": r.top(rows, [F.col("id")], 10, "pos"), "recent": r.top(rows, [F.desc("id")], 10, "pos"), "related": v.relations(spark, d).select(F.col("source_id").alias("id")).limit(5)}
+    found = f.shrunk(parts, 1700)
+    pick = lambda name: found[name].select(F.lit(name).alias("part"), "id", F.length("content").cast("long").alias("size"))
+    return pick("hits").unionByName(pick("recent"))
+
+
 # ---- service rows ------------------------------------------------------------------
 
 

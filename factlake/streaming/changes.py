@@ -4,38 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
 
 from factlake.operators.changes import apply_batch
 from factlake.staging import new_dir
 
 
 class Replica:
-    """A table that changes are applied to; each batch writes a new version.
+    """A table that follows a change log, kept as a snapshot and the batches after it.
 
-    ``current`` names the last whole version, so a batch that fails half-way, or
-    is run again, leaves it as it was.
+    A batch writes its own rows only, in a folder of its number, so one that fails
+    half-way or is run again is written anew. All state is in ``path``: a new object
+    over it goes on where the last one stopped, whatever the stream's checkpoint says.
     """
 
-    def __init__(self, spark: SparkSession, schema: str) -> None:
+    def __init__(self, spark: SparkSession, schema: str, path: str | None = None) -> None:
         self.spark, self.schema = spark, schema
-        self.path = new_dir(spark, "replica")
-        self.done = -1
-        spark.createDataFrame([], schema).write.parquet(f"{self.path}/v")
-        self.current = f"{self.path}/v"
+        self.path = path or new_dir(spark, "replica")
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _upto(self) -> int:
+        """The last batch that the snapshot in force holds."""
+        got = self._read("pointer", "upto long").agg(F.max("upto")).first()[0]
+        return -1 if got is None else got
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.current)
+        """The highest revision of each resource."""
+        upto = self._upto()
+        base = self._read("base", f"{self.schema}, upto long").where(F.col("upto") == upto).drop("upto")
+        later = self._read("delta", f"{self.schema}, batch long").where(F.col("batch") > upto).drop("batch")
+        by = Window.partitionBy("id").orderBy(F.desc("revision"), F.desc("seq"))
+        return base.unionByName(later).withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.done:  # a batch that is run again
-            return
-        # only the newest revision of a resource in the batch matters
-        target = f"{self.path}/v{batch_id}"
-        apply_batch(self.table(), batch).write.mode("overwrite").parquet(target)
-        self.current, self.done = target, batch_id
+        """Write a batch; a revision that is known with another body is an error."""
+        known = self.table().join(batch.select("id").distinct(), "id", "left_semi").select(*batch.columns)
+        newest = apply_batch(known, batch)
+        mine = newest.join(batch.select("id", "revision", "seq").distinct(), ["id", "revision", "seq"], "left_semi")
+        mine.select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch_id}")
+
+    def compact(self) -> None:
+        """Fold all batches into a new snapshot; the pointer to it is written last."""
+        last = self._read("delta", f"{self.schema}, batch long").agg(F.max("batch")).first()[0]
+        if last is not None and last > self._upto():
+            self.table().write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+            self.spark.range(1).select(F.lit(last).cast("long").alias("upto")).write.mode("append").parquet(f"{self.path}/pointer")
 
 
 def follow(stream: DataFrame, replica: Replica, checkpoint: str) -> StreamingQuery:
