@@ -136,12 +136,25 @@ def _handoff_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("id"), v.millis("ts").alias("at"), F.col("event_id").alias("seq"), action[F.col("event_type")].alias("action"), F.lit("agent").alias("actor"))
 
 
-@query("l16_handoff_states")
+#: The fold of each handoff's events, as one list per handoff.
+HANDOFFS = """ev AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS t, event_id AS seq, CASE event_type WHEN 'signup' THEN 'dispatch' WHEN 'click' THEN 'accept' WHEN 'view' THEN 'heartbeat' ELSE 'return' END AS action
+FROM events WHERE event_type <> 'error'),
+folded AS (SELECT id, list_reduce(list({'t': t, 'action': action, 'state': '', 'holder': NULL::VARCHAR, 'revision': 0, 'expires': NULL::BIGINT} ORDER BY t, seq), lambda s, e: CASE
+WHEN e.action = 'dispatch' AND s.state = 'none' THEN {'t': e.t, 'action': '', 'state': 'pending', 'holder': NULL, 'revision': s.revision + 1, 'expires': NULL}
+WHEN e.action = 'accept' AND (s.state = 'pending' OR (s.state = 'accepted' AND NOT coalesce(s.expires > e.t, false))) THEN {'t': e.t, 'action': '', 'state': 'accepted', 'holder': 'agent', 'revision': s.revision + 1, 'expires': e.t + 86400000}
+WHEN e.action = 'heartbeat' AND s.state = 'accepted' AND coalesce(s.expires > e.t, false) THEN {'t': e.t, 'action': '', 'state': s.state, 'holder': s.holder, 'revision': s.revision + 1, 'expires': e.t + 86400000}
+WHEN e.action = 'return' AND s.state = 'accepted' THEN {'t': e.t, 'action': '', 'state': 'completed', 'holder': s.holder, 'revision': s.revision + 1, 'expires': NULL} ELSE s END,
+{'t': 0::BIGINT, 'action': '', 'state': 'none', 'holder': NULL::VARCHAR, 'revision': 0, 'expires': NULL::BIGINT}) AS s FROM ev GROUP BY id),
+handoffs AS (SELECT id, s.state AS state, s.holder AS holder, s.revision AS revision, CASE WHEN s.state = 'pending' THEN 'ready' WHEN s.state = 'completed' THEN 'returned' WHEN s.state = 'accepted' AND s.expires <= 1710000000000 THEN 'attention'
+WHEN s.state = 'accepted' THEN 'in_progress' ELSE 'none' END AS lane FROM folded)"""
+
+
+@query("l16_handoff_states", sql("SELECT id, state, holder, revision, lane FROM handoffs", HANDOFFS))
 def l16(spark: SparkSession, d: str) -> DataFrame:
     return c.handoff_states(_handoff_events(spark, d), NOW, 86_400_000)
 
 
-@query("a24_handoff_board")
+@query("a24_handoff_board", sql("SELECT lane, count(*) AS n FROM handoffs GROUP BY 1", HANDOFFS))
 def a24(spark: SparkSession, d: str) -> DataFrame:
     return c.board(c.handoff_states(_handoff_events(spark, d), NOW, 86_400_000))
 

@@ -268,7 +268,13 @@ def x36(spark: SparkSession, d: str) -> DataFrame:
     return memos(spark, d).select("id", x.edited(F.col("content"), replace=("Order", "Purchase")).alias("content"))
 
 
-@query("x37_chunks")
+CHUNKS = r"""parts AS (SELECT id, list_filter(list_transform(string_split_regex(content, '[.!?;\n\r]'),
+lambda p: regexp_replace(regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '^>+\s*', ''), '^\p{Lu}[\p{L}\p{N}_-]{0,31}:\s*', '')), lambda p: p <> '') AS s FROM texts),
+chunks AS (SELECT id, list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + 1 + length(x[1]) <= 400
+THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END, []::VARCHAR[]) AS c FROM parts)"""
+
+
+@query("x37_chunks", sql("SELECT id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS chunk FROM chunks", CHUNKS))
 def x37(spark: SparkSession, d: str) -> DataFrame:
     return v.texts(spark, d).select("id", F.posexplode(x.chunks(F.col("content"), 400)).alias("pos", "chunk"))
 
