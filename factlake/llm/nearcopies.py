@@ -203,25 +203,26 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     near = classes.select("fp", F.col("node").alias("b")).join(small(same), "fp").where("a <> b").select("a", "b")
     near = staged(near.unionByName(simhash.links(heads.select("node", "fp"))), "simhash-links")
 
+    # most bands hold one class and are dropped by a narrow count before anything else is asked of them
     each = classes.select("node", F.col("n").cast("long"), F.explode("bands").alias("band"))
+    shared = staged(each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
+    members = staged(each.join(small(shared), "band"), "members")
     other = lambda seed: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed)))
-    pivots = each.groupBy("band").agg(F.count("*").alias("size"), F.array(*map(other, range(4))).alias("pivots"))
-    shared = staged(pivots.where("size > 1"), "bands")
-    members = staged(each.join(small(shared.select("band", "pivots"), 20_000), "band"), "members")
+    pivots = staged(members.groupBy("band").agg(F.array(*map(other, range(4))).alias("pivots")), "pivots")
     nodes = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
     sets = staged(_sets(docs, classes.select("node", *KEY).join(small(staged(nodes, "nodes")), "node", "left_semi")), "sets")
 
     # a smaller set can only reach 0.8 of one at most a quarter larger
     alike = "5 * least(n, m) >= 4 * greatest(n, m)"
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    first = members.select("node", "n", F.explode("pivots").alias("p")).select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
+    met = members.join(small(pivots, 20_000), "band")
+    first = met.select("node", "n", F.explode("pivots").alias("p")).select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
     first = first.where(f"node <> other AND {alike}").select(*pair)
     found = staged(_confirmed(near.unionByName(first).distinct(), sets), "links")
 
     # bands of up to four classes have met whole
     known = staged(components(found), "known")
-    large = small(shared.where("size > 4").select("band"))
-    labelled = members.join(large, "band", "left_semi").join(small(known), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    labelled = members.where("size > 4").join(small(known), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     labelled = staged(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
     mixed = labelled.join(small(staged(mixed, "mixed")), "band", "left_semi")

@@ -70,4 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op7_url_filters": urls.oracle(), "op9_warc": warc.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rules.oracle(), "op7_url_filters": urls.oracle(), "op9_warc": warc.oracle(),
+}

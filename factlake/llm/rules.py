@@ -248,3 +248,29 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # one expression, so that the filter computes the statistics once per row
     keep = let(statistic(), lambda s: ~base_failed(s) & passes(s, F.col("__last")))
     return with_cutoffs(docs, cutoffs).where(keep).select(*docs.columns)
+
+
+def oracle() -> str:
+    """The same in SQL, with tails of the binomial distribution from log-gammas."""
+    over = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE 0 END"
+    values = {
+        "symbol_ratio": over("n_symbols", "word_chars"), "upper_ratio": over("n_upper", "word_chars"),
+        "dup_line_ratio": over("n_dup_lines", "n_lines"), "repeat_ratio": over("n_repeat_words", "n_words"),
+        "mean_word_length": over("word_chars", "n_words"),
+    }
+    steps = " ".join(f"WHEN {values[rule]} > {cut} THEN {i}" for i, (rule, cut) in enumerate(path(), 1))
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT k, doc_id, lang, t, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM rows),
+places AS (SELECT k, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM split WHERE len(w) >= 3),
+grams AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM places),
+twice AS (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM grams) WHERE n > 1),
+repeats AS (SELECT k, count(DISTINCT p) AS n FROM twice GROUP BY 1),
+stats AS (SELECT k, doc_id, coalesce('s' || lang, 'n') AS stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    2 * len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]{{2}}')) AS n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN repeats USING (k)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE {steps} END AS step FROM stats),
+hold AS (SELECT stratum, step FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tests AS (SELECT stratum, last, count(*) AS n, count(*) FILTER (step <= last) AS rejected FROM hold, (SELECT unnest(range(1, {len(path()) + 1})) AS last) GROUP BY 1, 2),
+tails AS (SELECT stratum, last, list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) AS p FROM tests),
+safe AS (SELECT stratum, max(last) AS last FROM tails WHERE p <= {LEVEL} / (SELECT count(DISTINCT stratum) FROM hold) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(NOT step <= last, true) AS kept FROM judged LEFT JOIN safe USING (stratum)"""
