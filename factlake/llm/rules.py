@@ -241,7 +241,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
     Statistics come first, as narrow rows; the second pass computes them again
-    and filters row by row, so that no text is shuffled.
+    and filters row by row, so that no text is shuffled. Null and empty texts fail
+    the base rules and go; null and repeated ids are judged row by row; without
+    labels only the base rules act; an empty table stays empty.
     """
     stats = docs.select("doc_id", "lang", statistic().alias("__s"))
     cutoffs = calibrate(staged(stats, "rules"), labels)
