@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 their own columns; the last returns where each piece of them is packed. What a
 stage returns is written as Parquet and read back for the next one.
+
+Every stage judges rows, not ids: null and repeated ids lose nothing. Null and
+empty texts are scored by the classifier, fail the quality rules, are one group of
+near copies, are never part of the mix, and are packed as their end id alone. Empty
+tables give empty tables, and columns that a stage does not know are returned.
 """
 
 from __future__ import annotations
