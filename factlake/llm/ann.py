@@ -12,9 +12,9 @@
    ``APART`` times its distance from the vector, as it would hold the same rows.
 4. Lists over ``SHARD`` rows are cut into shards by a hash.
 5. A query asks every list whose centroid is within (1 + ``PROBE``) of its
-   nearest one, and ``MIN_PROBES`` at least; it is compared with all centroids;
-   each shard compares its queries with its rows in double precision and keeps
-   the best of each.
+   nearest one, and ``MIN_PROBES`` at least; it is compared with all centroids.
+   ``GROUP`` lists are one group of a task, which compares the queries of each
+   list with its rows in double precision and keeps the best of each query.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part; fewer candidates than ``k``
@@ -39,6 +39,7 @@ LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
 SPREAD, MAX_COPIES, APART = 0.15, 4, 0.8
 PROBE, MIN_PROBES = 0.22, 8
 DEGREE, BEAM, ENTRIES = 24, 40, 32
+GROUP = 16
 
 
 def usable(v: Column, length: Column | None = None) -> Column:
@@ -215,40 +216,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     # a list of many rows is cut into shards, and each query goes to all of them
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     sizes = F.broadcast(sizes)  # at most MAX_LISTS rows
-    names = ["node", "v", "list"]
+    names = ["node", "v", "list", F.floor(F.col("list") / GROUP).cast("int").alias("group")]
     posted = posted.join(sizes, "list").select(*names, F.pmod(F.xxhash64("node"), "shards").cast("int").alias("shard"))
     each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
     probes = probes.join(sizes, "list").select(*names, each)
 
-    def nearest(points: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    def of_list(points: pd.DataFrame, asks: pd.DataFrame) -> list[pd.DataFrame]:
+        """The best rows of one list for each of its queries."""
         out = []
-        if len(points) and len(asks):
-            points = points.sort_values("node")
-            p = np.stack(points["v"].to_numpy()).astype(np.float64)
-            node, ask = points["node"].to_numpy(), asks["node"].to_numpy()
-            q = np.stack(asks["v"].to_numpy()).astype(np.float64)
-            want = min(k + 1, len(p))
-            norms = (p * p).sum(axis=1)
-            for i in range(0, len(q), 256):
-                b = q[i : i + 256]
-                rough = norms[None, :] - 2 * (b @ p.T)
-                # the rough form only picks; a few more than wanted absorb its rounding
-                pick = np.argpartition(rough, min(want + 8, len(p)) - 1, axis=1)[:, : want + 8]
-                exact = np.sqrt(((b[:, None, :] - p[pick]) ** 2).sum(axis=2))
-                order = np.lexsort((node[pick], exact), axis=1)[:, :want]
-                at = np.take_along_axis(pick, order, axis=1)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "node": np.repeat(ask[i : i + 256], want),
-                            "found": node[at].ravel(),
-                            "score": np.take_along_axis(exact, order, axis=1).ravel(),
-                        }
-                    )
-                )
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "found": [], "score": []}).astype("int64")
-
-    keys = ["list", "shard"]
+        p = np.stack(points["v"].to_numpy()).astype(np.float64)
+        node, ask = points["node"].to_numpy(), asks["node"].to_numpy()
+        q = np.stack(asks["v"].to_numpy()).astype(np.float64)
+        want = min(k + 1, len(p))
+        norms = (p * p).sum(axis=1)
+        for i in range(0, len(q), 256):
+            b = q[i : i + 256]
+            rough = norms[None, :] - 2 * (b @ p.T)
+            # the rough form only picks; a few more than wanted absorb its rounding
+            pick = np.argpartition(rough, min(want + 8, len(p)) - 1, axis=1)[:, : want + 8]
+            exact = np.sqrt(((b[:, None, :] - p[pick]) ** 2).sum(axis=2))
+            order = np.lexsort((node[pick], exact), axis=1)[:, :want]
+            at = np.take_along_axis(pick, order, axis=1)
+            score = np.take_along_axis(exact, order, axis=1).ravel()
+            out.append(pd.DataFrame({"node": np.repeat(ask[i : i + 256], want), "found": node[at].ravel(), "score": score}))
+        return out
+
+    def nearest(points: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        rows, out = dict(list(points.sort_values("node").groupby("list"))), []
+        for number, mine in asks.groupby("list"):
+            if number in rows:
+                out += of_list(rows[number], mine)
+        if not out:
+            return pd.DataFrame({"node": [], "found": [], "score": []}).astype("int64")
+        # a replica is found in several lists of the group
+        best = pd.concat(out).sort_values(["node", "score", "found"]).drop_duplicates(["node", "found"])
+        return best.groupby("node").head(k + 1)
+
+    keys = ["group", "shard"]
     found = posted.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(nearest, "node long, found long, score double")
     found = found.groupBy("node", "found").agg(F.min("score").alias("score"))
     by = Window.partitionBy("node").orderBy("score", "found")
