@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import ann, langid, licenses, mil, mixing, packing, rules, simhash, urls, warc
+from factlake.llm import ann, langid, licenses, mil, mixing, packing, rules, simhash, tokencounts, urls, wand, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component_id"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -69,7 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": rules.oracle(), "op7_url_filters": urls.oracle(), "op9_warc": warc.oracle(),
+    "op11_lexical_search": wand.oracle(),
 }
