@@ -38,10 +38,10 @@ from tokenizers import Tokenizer
 from factlake.llm.common import staged, text_batches
 
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pieces that a task remembers, and the longest one.
-CACHE_PIECES, CACHE_CHARS = 250_000, 64
+#: Pieces that a task remembers, twice at most, and the longest one; pieces encoded in one row.
+CACHE_PIECES, CACHE_CHARS, JOINED = 150_000, 64, 200
 #: Characters of texts taken apart at a time, links counted at a time.
-SOME_CHARS, SOME_LINKS = 2_000_000, 4_000_000
+SOME_CHARS, SOME_LINKS = 1_000_000, 500_000
 #: Pairs sent to tasks: 25 bytes each.
 MOST_PAIRS = 2_000_000
 
@@ -85,11 +85,15 @@ def cuts(a: Bitset, b: Bitset) -> np.ndarray:
 
 
 class Aligner(dict):
-    """By piece, for a blank and the piece: its numbers of tokens, its groups as text, and the ids linked; None if bytes do not come back."""
+    """By piece, for a blank and the piece: (tokens of A, of B, groups as text with a closing semicolon, ids linked); None if its bytes do not come back.
+
+    Pieces met lately are in the mapping; those of the time before in ``old``.
+    """
 
     def __init__(self, a: str, b: str) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
+        self.old: dict[str, tuple | None] = {}
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
@@ -102,54 +106,70 @@ class Aligner(dict):
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("pieces of this vocabulary reach over blanks")
         self.long_a, self.long_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = ([str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b))
-
-    def tokens(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides for a blank and each piece."""
-        left = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        return left, self.b.encode(pieces, num_threads=1)
+        # how an id is written inside a group's side, and at the end of it
+        many_a, many_b = len(self.bytes_a), len(self.bytes_b)
+        self.written = [f"{i}{mark}" for many, marks in ((many_a, ",|"), (many_b, ",;")) for mark in marks for i in range(many)]
+        self.last_a, self.from_b, self.last_b = many_a, 2 * many_a, 2 * many_a + many_b
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides for pieces in a row, each after a blank."""
+        rows = [" ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        left = self.a.encode_batch_fast([" " + x for x in rows], add_special_tokens=False)
+        right = self.b.encode(rows, num_threads=1)
+        return np.concatenate([e.ids for e in left]).astype(np.int64), np.concatenate(right).astype(np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        """Align pieces, all in one pair of bitsets."""
-        left, right = self.tokens(pieces)
-        good = []
-        for i, p in enumerate(pieces):
-            own = b" " + p.encode()
-            if b"".join([self.bytes_a[t] for t in left[i]]) == own == b"".join([self.bytes_b[t] for t in right[i]]):
-                good.append(i)
+        """Align pieces, all in one pair of bitsets. Those with white space at an end are taken on their own."""
+        plain = [p for p in pieces if not (p[:1].isspace() or p[-1:].isspace())]
+        if plain:
+            self._learn(plain)
+        if len(plain) < len(pieces):
+            for p in pieces:
+                if p not in self:
+                    self._learn([p])
+
+    def _learn(self, pieces: list[str]) -> None:
+        own = [f" {p}".encode() for p in pieces]
+        ids_a, ids_b = self.tokens(pieces)
+        whole = b"".join(own)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != whole:
+            if len(pieces) == 1:
+                self[pieces[0]] = None
             else:
-                self[p] = None
-        if not good:
+                for half in (pieces[: len(pieces) // 2], pieces[len(pieces) // 2 :]):
+                    self._learn(half)
             return
-        left, right = [left[i] for i in good], [right[i] for i in good]
-        ids_a, ids_b = (np.concatenate([np.array(x, np.int64) for x in side]) for side in (left, right))
-        ends_a, ends_b = np.cumsum(self.long_a[ids_a]), np.cumsum(self.long_b[ids_b])
-        size = int(ends_a[-1])
-        a, b = Bitset(ends_a, size), Bitset(ends_b, size)
+        a, b = Bitset(np.cumsum(self.long_a[ids_a]), len(whole)), Bitset(np.cumsum(self.long_b[ids_b]), len(whole))
         at = cuts(a, b)
         rank_a, rank_b = a.rank(at), b.rank(at)
-        link_a, link_b = (ids[rank - 1].astype(np.int32) for ids, rank in ((ids_a, rank_a), (ids_b, rank_b)))
-        text_a, text_b = (list(map(names.__getitem__, ids.tolist())) for names, ids in ((self.text_a, ids_a), (self.text_b, ids_b)))
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip(rank_a.tolist(), rank_b.tolist(), strict=True):
-            groups.append(f"{','.join(text_a[from_a:to_a])}|{','.join(text_b[from_b:to_b])}")
-            from_a, from_b = to_a, to_b
+        links = np.stack([ids_a[rank_a - 1], ids_b[rank_b - 1]], axis=1).astype(np.int32)
+        # a group is its ids of A, then those of B: places of all in one row
+        group_a, group_b = (np.searchsorted(rank, np.arange(len(ids)), side="right") for rank, ids in ((rank_a, ids_a), (rank_b, ids_b)))
+        row = np.empty(len(ids_a) + len(ids_b), np.int64)
+        row[np.arange(len(ids_a)) + np.concatenate([[0], rank_b])[group_a]] = ids_a
+        row[np.arange(len(ids_b)) + rank_a[group_b]] = ids_b + self.from_b
+        row[rank_a - 1 + np.concatenate([[0], rank_b[:-1]])] += self.last_a
+        row[rank_b - 1 + rank_a] += self.last_b - self.from_b
+        text = list(map(self.written.__getitem__, row.tolist()))
         # a piece ends at a cut: its groups are those up to there
-        last = np.searchsorted(at, np.cumsum([1 + len(pieces[i].encode()) for i in good])).tolist()
-        first = 0
-        for i, x, y, end in zip(good, left, right, last, strict=True):
-            own = slice(first, end)
-            self[pieces[i]] = (len(x), len(y), ";".join(groups[own]), link_a[own].tobytes(), link_b[own].tobytes())
-            first = end
+        last = np.searchsorted(at, np.cumsum(list(map(len, own))))
+        n_a, n_b = (np.diff(np.concatenate([[0], rank[last - 1]])).tolist() for rank in (rank_a, rank_b))
+        done = 0
+        for p, x, y, first, end in zip(pieces, n_a, n_b, [0, *last.tolist()], last.tolist(), strict=False):
+            self[p] = (x, y, "".join(text[done : done + x + y]), links[first:end].tobytes())
+            done += x + y
 
     def texts(self, texts: list[str]) -> Iterator[list[tuple] | None]:
         """What the pieces of each text give; None for a text without tokens."""
         cut = [pieces_of(t) if t and "▁" not in t else [] for t in texts]
         needed = set().union(*cut)
-        missing = [p for p in needed if p not in self]
-        if len(self) + len(missing) > CACHE_PIECES:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-            missing = list(needed)
+        missing = [p for p in needed if p not in self]
+        old = self.old
+        self.update((p, old[p]) for p in missing if p in old)
+        missing = [p for p in missing if p not in old]
         if missing:
             self.learn(missing)
         for own in cut:
@@ -195,20 +215,19 @@ def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, with_grou
         for batch in batches:
             doc_ids, done = batch.column(0), 0
             for texts in _some(batch.column(1)):
-                n_a, n_b, digests, all_groups, links, ends = [], [], [], [], ([], []), [0]
+                n_a, n_b, digests, all_groups, links, ends = [], [], [], [], [], [0]
                 for found in aligner.texts(texts):
-                    own = list(zip(*found, strict=True)) if found else [(), (), (), (), ()]
-                    groups = ";".join(own[2])
+                    own = list(zip(*found, strict=True)) if found else [(), (), (), ()]
+                    groups = "".join(own[2])[:-1]
                     n_a.append(sum(own[0]))
                     n_b.append(sum(own[1]))
                     digests.append(hashlib.sha256(groups.encode()).hexdigest() if found else "")
                     if with_groups:
                         all_groups.append(groups)
-                    for kept, parts in zip(links, own[3:], strict=True):
-                        kept += parts
-                    ends.append(ends[-1] + sum(map(len, own[3])) // 4)
-                offsets = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x), np.int32))) for x in links]
+                    links.append(b"".join(own[3]))
+                    ends.append(ends[-1] + len(links[-1]) // 8)
+                offsets, pairs = pa.array(ends, pa.int32()), np.frombuffer(b"".join(links), np.int32).reshape(-1, 2)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(pairs[:, i]))) for i in (0, 1)]
                 cols = [doc_ids.slice(done, len(texts)), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(digests, pa.string()), *lists]
                 names = ["doc_id", "n_a", "n_b", "groups_sha256", "link_a", "link_b"]
                 if with_groups:
