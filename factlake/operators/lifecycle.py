@@ -32,17 +32,51 @@ def insert(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resolve_conflicts(facts: DataFrame, types: list[str]) -> DataFrame:
     """Of the current facts of a ruling type on one entity in one namespace the
-    latest stays; it supersedes the others."""
+    latest stays; it supersedes the others. For tables that were never resolved;
+    ``supersede_by_new`` is the rule of a write."""
+    keys = ["entity", "fact_type", "source_id"]
     live = F.col("superseded_at").isNull() & F.col("fact_type").isin(types)
-    first = Window.partitionBy("entity", "fact_type", "source_id", live).orderBy(F.desc("created_at"), F.desc("id"))
-    lost = live & (F.row_number().over(first) > 1)
-    winner, when_ = F.first("id").over(first), F.first("created_at").over(first)
-    return facts.withColumns(
+    # the latest of each key comes from a sum of partial ones, so that no task holds all facts of a key
+    best = facts.where(live).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.struct("created_at", "id")).alias("__best"))
+    on = live
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rows = facts.join(best, on, "left")
+    lost = F.coalesce(live & (F.col("__best.id") != F.col("id")), F.lit(False))
+    return rows.withColumns(
         {
-            "superseded_by": F.when(lost, winner).otherwise(F.col("superseded_by")),
-            "superseded_at": F.when(lost, when_).otherwise(F.col("superseded_at")),
+            "superseded_by": F.when(lost, F.col("__best.id")).otherwise(F.col("superseded_by")),
+            "superseded_at": F.when(lost, F.col("__best.created_at")).otherwise(F.col("superseded_at")),
         }
-    )
+    ).select(*facts.columns)
+
+
+def supersede_by_new(facts: DataFrame, new: DataFrame, types: list[str]) -> DataFrame:
+    """``facts`` after rulings ``new`` (id) of them were added one by one, in order of time and id.
+
+    Each supersedes the current facts of its type and namespace that share one of
+    its entities: those from before, and those added earlier. So a fact is
+    superseded by the first such ruling after it. Facts on no entity, and facts
+    that share nothing with a new one, stay as they are.
+    """
+    live = facts.where(F.col("superseded_at").isNull() & F.col("fact_type").isin(types))
+    fresh = new.select("id", F.lit(True).alias("__new")).distinct()
+    each = live.join(fresh, "id", "left").select(
+        "id", F.struct("created_at", "id").alias("at"), F.coalesce("__new", F.lit(False)).alias("fresh"), "fact_type",
+        F.coalesce("source_id", F.lit("\0")).alias("ns"), F.explode(F.array_distinct("entity_ids")).alias("entity_id"),
+    )
+    keys = ["entity_id", "fact_type", "ns"]
+    first = each.where("fresh").groupBy(*keys).agg(F.min("at").alias("by"))
+    older = each.where("NOT fresh").join(first, keys).select("id", "by")
+    later = Window.partitionBy(*keys).orderBy("at")
+    chain = each.where("fresh").select("id", F.lead("at").over(later).alias("by")).where("by IS NOT NULL")
+    lost = older.unionByName(chain).groupBy("id").agg(F.min("by").alias("__by"))
+    return facts.join(lost, "id", "left").withColumns(
+        {
+            "superseded_by": F.coalesce("__by.id", "superseded_by"),
+            "superseded_at": F.coalesce("__by.created_at", "superseded_at"),
+        }
+    ).select(*facts.columns)
 
 
 def supersede(facts: DataFrame, pairs: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:

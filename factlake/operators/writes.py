@@ -10,7 +10,7 @@ from factlake.functions import text as x
 from factlake.operators import lifecycle as life
 from factlake.operators.filters import current, entity_by_name
 from factlake.operators.ranking import bm25_many
-from factlake.staging import small
+from factlake.staging import cut, small
 
 
 def prepare(rows: DataFrame, policy: str = "report") -> tuple[DataFrame, DataFrame]:
@@ -29,19 +29,20 @@ def similar_hints(facts: DataFrame, new: DataFrame, least: float = 1.0) -> DataF
     return found.where(F.col("score") >= least).select(F.col("query_id").alias("id"), F.col("id").alias("similar_id"), "score")
 
 
-def write(facts: DataFrame, new: DataFrame, policy: str = "report", ruling: tuple[str, ...] = ("decision", "convention", "preference")) -> dict[str, DataFrame]:
+def write(facts: DataFrame, new: DataFrame, policy: str = "report", ruling: tuple[str, ...] = ("decision", "convention")) -> dict[str, DataFrame]:
     """One call of the write path over facts (id, content, fact_type, entity, entity_ids,
     source_id, created_at, superseded_at, superseded_by).
 
     ``hints`` are looked up before the write, ``receipts`` say which id each row
-    got, ``held`` are the rows that the privacy policy keeps out, and the
-    written facts of a ruling type supersede older ones on their entity.
+    got, ``held`` are the rows that the privacy policy keeps out. Facts of a ruling
+    type that are new, not merged into one that was there, supersede the current
+    ones that share an entity with them; no other fact changes.
     """
     rows, held = prepare(new, policy)
     rows = rows.select(*facts.columns)
     written, receipts = life.insert(facts, rows)
     return {
-        "facts": life.resolve_conflicts(written, list(ruling)), "receipts": receipts, "held": held, "hints": similar_hints(facts, rows),
+        "facts": life.supersede_by_new(written, receipts.where("NOT merged"), list(ruling)), "receipts": receipts, "held": held, "hints": similar_hints(facts, rows),
     }
 
 
@@ -49,21 +50,48 @@ def _filled(old: str, new: str) -> Column:
     return F.coalesce(F.col(new), F.col(old))
 
 
-def patch(facts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, errors): ``changes`` has id and columns of ``facts``; null leaves a value.
+def _folded(changes: DataFrame) -> DataFrame:
+    """One change for each id: of several the last value of a column counts, by ``seq`` if they have one."""
+    order = ["seq"] if "seq" in changes.columns else []
+    names = [c for c in changes.columns if c not in ("id", "seq")]
+    rank = F.struct(*order, *names)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"__{c}") for c in names]
+    return changes.groupBy("id").agg(*last, *[F.min(c).alias("__seq") for c in order] or [F.lit(0).alias("__seq")])
+
 
-    A change that would give a fact the content that another of its namespace
-    has is an error, with the id of that one, and changes nothing.
+def patch(facts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, errors): ``changes`` has id and columns of ``facts``, and may have ``seq``,
+    their order; null leaves a value. Changes of one id count together.
+
+    The table after all changes is held against itself: where several facts of a
+    namespace have one content, one that had it before keeps it, else the first change
+    to it by (seq, id); the other changes to it are errors, with the least other id
+    that has it, and change nothing. A change of neither content nor namespace stands. What an error leaves in place may clash with a further change,
+    so this is repeated until nothing clashes.
     """
-    names = [c for c in changes.columns if c != "id"]
-    both = facts.join(changes.select("id", *[F.col(c).alias(f"__{c}") for c in names]), "id")
-    after = both.withColumns({c: _filled(c, f"__{c}") for c in names})
-    key = lambda: [F.coalesce("source_id", F.lit("\0")).alias("__ns"), F.sha2("content", 256).alias("__h")]
-    taken = facts.select(F.col("id").alias("existing_id"), *key())
-    clash = after.select("id", *key()).join(taken, ["__ns", "__h"]).where("id <> existing_id")
-    errors = clash.groupBy("id").agg(F.min("existing_id").alias("existing_id"))
-    changed = after.join(errors.select("id"), "id", "left_anti").select(*facts.columns)
-    return facts.join(changed.select("id"), "id", "left_anti").unionByName(changed), errors
+    names = [c for c in changes.columns if c not in ("id", "seq")]
+    rows = facts.join(_folded(changes), "id", "left")
+    after = F.struct(*[_filled(c, f"__{c}").alias(c) if c in names else F.col(c) for c in facts.columns])
+    changed = F.col("__seq").isNotNull()
+    rows = cut(rows.select(F.struct(*facts.columns).alias("old"), F.when(changed, after).alias("new"), "__seq", F.lit(None).cast(facts.schema["id"].dataType).alias("existing_id")))
+    while True:
+        taken = F.col("new").isNotNull() & F.col("existing_id").isNull()
+        now = F.when(taken, F.col("new")).otherwise(F.col("old"))
+        moves = taken & ~((F.col("new.content").eqNullSafe(F.col("old.content"))) & F.col("new.source_id").eqNullSafe(F.col("old.source_id")))
+        held = rows.withColumns({"__ns": F.coalesce(now["source_id"], F.lit("\0")), "__h": F.sha2(now["content"], 256), "__at": F.struct(moves.alias("m"), "__seq", F.col("old.id").alias("id"))})
+        low = held.groupBy("__ns", "__h").agg(F.min("old.id").alias("__low"), F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+        held = held.join(low, ["__ns", "__h"], "left")
+        second = held.where("old.id > __low").groupBy("__ns", "__h").agg(F.min("old.id").alias("__second"))
+        held = held.join(second, ["__ns", "__h"], "left")
+        other = F.when(F.col("old.id") > F.col("__low"), F.col("__low")).otherwise(F.col("__second"))
+        lost = F.coalesce(F.col("__at.m") & (F.col("__first.id") != F.col("old.id")), F.lit(False))
+        found = cut(held.select("old", "new", "__seq", F.when(lost, other).otherwise(F.col("existing_id")).alias("existing_id"), lost.alias("lost")))
+        rows = found.drop("lost")
+        if found.where("lost").isEmpty():
+            break
+    moves = F.col("new").isNotNull() & F.col("existing_id").isNull()
+    out = rows.select(F.when(moves, F.col("new")).otherwise(F.col("old")).alias("x")).select("x.*")
+    return out, rows.where("existing_id IS NOT NULL").select("old.id", "existing_id")
 
 
 def pin(facts: DataFrame, ids: DataFrame, pinned: bool = True) -> DataFrame:
@@ -90,14 +118,29 @@ def add_entities(entities: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 def update_entities(entities: DataFrame, changes: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
     """(entities, errors): compare and swap. ``changes`` has id, expected_at and new
     values, null for those that stay: a name renames, aliases are added, a summary
-    describes. An edit whose ``expected_at`` is not the stored time is an error."""
+    describes. An edit whose ``expected_at`` is not the stored time is an error, and so
+    is a new name that another entity has as its name or alias, without regard to case,
+    or that an earlier edit, by id, takes; ``existing_id`` is the owner of the name."""
     names = [c for c in changes.columns if c not in ("id", "expected_at")]
     rows = changes.select("id", "expected_at", *[F.col(c).alias(f"__{c}") for c in names]).join(entities, "id", "left")
     fits = F.coalesce(F.col("updated_at") == F.col("expected_at"), F.lit(False))
     values = {c: F.array_union(F.coalesce(c, f"__{c}"), F.coalesce(f"__{c}", c)) if c == "aliases" else _filled(c, f"__{c}") for c in names}
-    done = rows.where(fits).withColumns(values | {"updated_at": F.lit(at)}).select(*entities.columns)
+    rows = rows.withColumn("__fits", fits).join(_name_clashes(entities, rows.where(fits)), "id", "left") if "name" in names else rows.withColumns({"__fits": fits, "existing_id": F.lit(None).cast("string")})
+    good = F.col("__fits") & F.col("existing_id").isNull()
+    done = rows.where(good).withColumns(values | {"updated_at": F.lit(at)}).select(*entities.columns)
     kept = entities.join(done.select("id"), "id", "left_anti")
-    return kept.unionByName(done), rows.where(~fits).select("id", "expected_at", "updated_at")
+    return kept.unionByName(done), rows.where(~good).select("id", "expected_at", "updated_at", "existing_id")
+
+
+def _name_clashes(entities: DataFrame, edits: DataFrame) -> DataFrame:
+    """(id, existing_id) of edits whose new name (__name) belongs to another entity or an earlier edit."""
+    wanted = edits.where("__name IS NOT NULL").select("id", F.lower("__name").alias("low"))
+    called = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in entities.columns else F.array("name")
+    owners = entities.select(F.col("id").alias("owner"), F.explode(called).alias("c")).select(F.lower("c").alias("low"), "owner", F.lit(0).alias("new"))
+    owners = owners.unionByName(wanted.select("low", F.col("id").alias("owner"), F.lit(1).alias("new")))
+    # the least other owner of a name, of those from before first, and of new ones only an earlier one
+    clash = wanted.join(owners, "low").where("owner <> id AND (new = 0 OR owner < id)")
+    return clash.groupBy("id").agg(F.min(F.struct("new", "owner"))["owner"].alias("existing_id"))
 
 
 def delete_entities(tables: dict[str, DataFrame], names: DataFrame) -> dict[str, DataFrame]:

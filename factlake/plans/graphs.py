@@ -9,6 +9,7 @@ from factlake import views as v
 from factlake.operators import aggregates as a
 from factlake.operators import graph as g
 from factlake.operators import ranking as r
+from factlake.operators import scc
 from factlake.plans.registry import query
 from factlake.views import sql
 
@@ -68,6 +69,34 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return g.cycles(v.relations(spark, d)).select(F.array_join("cycle", "/").alias("cycle"))
 
 
+#: Each part leads to the one whose key is its square and one, around the number of parts: trees that end in cycles.
+LEADS = """leads AS (SELECT source_id AS a, target_id AS b FROM relations WHERE relation_type = 'sells_to' UNION
+SELECT 'part:' || p_partkey, 'part:' || (p_partkey * p_partkey + 1) % (SELECT count(*) FROM part) FROM part),
+ways(a, b) AS (SELECT a, b FROM leads UNION SELECT w.a, l.b FROM ways w JOIN leads l ON l.a = w.b),
+strong AS (SELECT x.a AS id, min(x.b) AS component, count(*) AS size FROM ways x JOIN ways y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
+
+
+def _leads(spark: SparkSession, d: str) -> DataFrame:
+    """Trade and supply, and what parts lead to."""
+    key, parts = F.col("p_partkey").cast("long"), v.table(spark, d, "part")
+    after = parts.select(
+        F.concat(F.lit("part:"), key).alias("source_id"), F.lit("leads_to").alias("relation_type"), F.concat(F.lit("part:"), (key * key + 1) % F.lit(parts.count())).alias("target_id"),
+    )
+    return v.relations(spark, d).select("source_id", "relation_type", "target_id").unionByName(after)
+
+
+@query("g4_strong_components", sql("SELECT id, component, size FROM strong", LEADS))
+def g4s(spark: SparkSession, d: str) -> DataFrame:
+    return scc.strong_components(_leads(spark, d))
+
+
+@query("g4_condensed", sql("""SELECT DISTINCT coalesce(x.component, a) AS a, coalesce(y.component, b) AS b FROM leads LEFT JOIN strong x ON x.id = a LEFT JOIN strong y ON y.id = b
+WHERE coalesce(x.component, a) <> coalesce(y.component, b)""", LEADS))
+def g4c(spark: SparkSession, d: str) -> DataFrame:
+    """What is left without cycles once each component is one node."""
+    return scc.condensed(_leads(spark, d), ["sells_to", "leads_to"])
+
+
 @query("g5_upsert_edges", sql("""SELECT source_id, relation_type, target_id, CASE WHEN relation_type = 'part_of' THEN 2.0 ELSE weight END AS weight FROM relations"""))
 def g5(spark: SparkSession, d: str) -> DataFrame:
     old = v.relations(spark, d)

@@ -9,6 +9,8 @@ from factlake import views as v
 from factlake.operators import lifecycle as c
 from factlake.operators import lint
 from factlake.plans.registry import query
+from factlake.staging import new_dir
+from factlake.streaming import leases
 from factlake.views import sql
 
 NOW = 1_710_000_000_000
@@ -159,6 +161,32 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return c.board(c.handoff_states(_handoff_events(spark, d), NOW, 86_400_000))
 
 
+#: The same fold, in which every eleventh event counts only at revision 0.
+SWAPS = HANDOFFS
+for _old, _new in {
+    "event_id AS seq, CASE": "event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 0 END AS expected, CASE", "{'t': t, ": "{'t': t, 'expected': expected, ", "{'t': e.t, ": "{'t': e.t, 'expected': NULL, ",
+    "{'t': 0::BIGINT, ": "{'t': 0::BIGINT, 'expected': NULL::INTEGER, ", "WHEN e.action": "WHEN coalesce(e.expected = s.revision, true) AND e.action",
+}.items():
+    SWAPS = SWAPS.replace(_old, _new)
+
+
+@query("l16_lease_stream", sql("SELECT id, state, holder, revision, lane FROM handoffs", SWAPS))
+def l16s(spark: SparkSession, d: str) -> DataFrame:
+    """The events as files out of order, with repeats; the stream is stopped half-way and started again from its checkpoint."""
+    log, done = new_dir(spark, "lease-log"), new_dir(spark, "lease-checkpoint")
+    rows = _handoff_events(spark, d).withColumns({"expected": F.when(F.col("seq") % 11 == 0, 0), "ts": F.timestamp_millis("at"), "file": F.pmod(F.xxhash64("seq"), F.lit(4)).cast("int")})
+    again = rows.where("seq % 5 = 0").withColumn("file", F.lit(4))
+    parts = rows.unionByName(again)
+    schema = "id long, at long, seq long, action string, actor string, expected int, ts timestamp"
+    parts = parts.select(F.col("id").cast("long"), "at", F.col("seq").cast("long"), "action", "actor", F.col("expected").cast("int"), "ts", "file")
+    table = leases.LeaseTable(spark)
+    for files in ("file IN (0, 4)", "file IN (1, 2, 3)"):
+        parts.where(files).drop("file").write.mode("append").parquet(log)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(log)
+        leases.follow_leases(stream, table, done, 86_400_000, "4000 days").awaitTermination()
+    return table.table(NOW)
+
+
 @query("l17_inbox", sql("SELECT entity, id FROM facts WHERE source_id = 'ns2' AND fact_type = 'signup' ORDER BY created_at DESC, id DESC LIMIT 25"))
 def l17(spark: SparkSession, d: str) -> DataFrame:
     rows = v.facts(spark, d).where("source_id = 'ns2' AND fact_type = 'signup'")

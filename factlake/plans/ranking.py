@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factlake import views as v
 from factlake.operators import aggregates as a
 from factlake.operators import filters as f
+from factlake.operators import postings
 from factlake.operators import quality as q
 from factlake.operators import ranking as r
 from factlake.plans.registry import query
@@ -28,8 +30,19 @@ COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] F
 SEMANTIC = f"""semantic AS (SELECT vec_id AS id, round({COS}, 6) AS score, row_number() OVER (ORDER BY round({COS}, 6) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 200)"""
 
 
+def index(spark: SparkSession, d: str) -> postings.Index:
+    """The stored index of the texts; the first search of a table builds it."""
+    return postings.index_of(spark, v.texts(spark, d), tag="source_id")
+
+
 def lexical_leg(spark: SparkSession, d: str, limit: int = 200) -> DataFrame:
-    return r.bm25(v.texts(spark, d), QUERY, limit).select("id", "score", "rank")
+    return index(spark, d).search(QUERY, limit, v.texts(spark, d))
+
+
+def many(spark: SparkSession, d: str, queries: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` texts of each query, equal scores by id."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return index(spark, d).search_many(queries, limit).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -71,6 +84,34 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query("r38_index_statistics", sql("SELECT term, count(DISTINCT id) AS df FROM tokens GROUP BY 1"))
+def r38s(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies from the heads of the stored blocks alone."""
+    stored = index(spark, d)
+    return stored.frequencies(stored.postings())
+
+
+@query("r38_segments", sql("""SELECT item_id AS query_id, id, score, rank FROM (SELECT item_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rank FROM (
+SELECT item_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM asked JOIN ktf USING (term) JOIN kdf USING (term), kstat GROUP BY 1, 2)) WHERE rank <= 5""",
+    """kept AS (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM texts WHERE id % 5 <> 0),
+kstat AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM kept),
+ktf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM kept) GROUP BY ALL),
+kdf AS (SELECT term, count(*) AS df FROM ktf GROUP BY 1),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark))"""))
+def r38(spark: SparkSession, d: str) -> DataFrame:
+    """Three segments, a fifth of the documents removed, one segment folded in: the scores are those of the documents that are left."""
+    texts, stored = v.texts(spark, d), postings.Index(spark)
+    stored.add(texts.where("id % 2 = 0"))
+    stored.add(texts.where("id % 2 = 1 AND id % 3 <> 0"))
+    stored.remove(texts.where("id % 10 = 5 OR id % 10 = 0").select("id"))
+    stored.merge()
+    stored.add(texts.where("id % 2 = 1 AND id % 3 = 0"))
+    stored.remove(texts.where("id % 5 = 0").select("id"))
+    queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return stored.search_many(queries, 5).withColumn("rank", F.row_number().over(by)).where("rank <= 5")
+
+
 @query("r5_semantic_text", sql("SELECT id, concat_ws(chr(10), content, source_id, source) AS document FROM texts"))
 def r5(spark: SparkSession, d: str) -> DataFrame:
     return v.texts(spark, d).select("id", F.concat_ws("\n", "content", "source_id", "source").alias("document"))
@@ -233,7 +274,7 @@ adf AS (SELECT term, ln(1 + ((SELECT n FROM stat) - count(*) + 0.5) / (count(*)
 def r36(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark passage as a query over all documents."""
     queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return r.bm25_many(v.texts(spark, d), queries, 5)
+    return many(spark, d, queries, 5)
 
 
 @query("r40_temporal_bias", sql("SELECT id, round(source_confidence * exp(-abs(created_at - 1704844800000) / 86400000.0 / 30.0), 9) AS score FROM facts"))
@@ -354,6 +395,6 @@ def r39(spark: SparkSession, d: str) -> DataFrame:
     """Share of benchmark passages that stand in one of their five best documents."""
     queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     texts = v.texts(spark, d)
-    best = r.bm25_many(texts, queries, 5).join(texts.select("id", "content"), "id").join(queries, "query_id")
+    best = many(spark, d, queries, 5).join(texts.select("id", "content"), "id").join(queries, "query_id")
     per = best.groupBy("query_id").agg(F.count_if(F.col("content").contains(F.col("query"))).alias("hits"))
     return per.agg(F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 9).alias("found"), F.count("*").alias("queries"))

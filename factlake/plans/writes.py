@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factlake import views as v
 from factlake.functions import text as x
 from factlake.operators import aggregates as a
 from factlake.operators import filters as f
 from factlake.operators import graph as g
+from factlake.operators import lifecycle as life
 from factlake.operators import ranking as r
 from factlake.operators import service as s
 from factlake.operators import writes as w
@@ -70,9 +72,15 @@ def _store(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "content", "fact_type", "entity", "entity_ids", "source_id", "created_at", "superseded_at", "superseded_by")
 
 
-@query("l2_write", sql("""SELECT id, CASE WHEN live AND n > 1 THEN winner ELSE superseded_by END AS superseded_by FROM (SELECT *, row_number() OVER p AS n, first_value(id) OVER p AS winner FROM (
-SELECT *, superseded_at IS NULL AND fact_type = 'signup' AS live FROM (SELECT *, row_number() OVER (PARTITION BY content, source_id ORDER BY id % 4 = 3, id) AS k FROM facts) WHERE k = 1)
-WINDOW p AS (PARTITION BY entity, fact_type, source_id, live ORDER BY created_at DESC, id DESC))"""))
+#: Who supersedes a fact of ``ents`` (id, created_at, fact_type, source_id, e): the first new ruling after it that shares an entity.
+LOST = """lost AS (SELECT o.id, min({'t': n.created_at, 'i': n.id}) AS w FROM ents o JOIN ents n ON o.e = n.e AND o.fact_type = n.fact_type AND o.source_id IS NOT DISTINCT FROM n.source_id
+AND n.id % 4 = 3 AND n.id <> o.id AND (o.id % 4 <> 3 OR n.created_at > o.created_at OR (n.created_at = o.created_at AND n.id > o.id)) GROUP BY 1)"""
+
+
+@query("l2_write", sql("SELECT k.id, coalesce(w.i, superseded_by) AS superseded_by FROM kept k LEFT JOIN lost USING (id)",
+"""kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content, source_id ORDER BY id % 4 = 3, id) AS k FROM facts) WHERE k = 1),
+ents AS (SELECT DISTINCT k.id, k.created_at, k.fact_type, k.source_id, f.entity AS e FROM kept k JOIN facts f ON f.content = k.content AND f.source_id IS NOT DISTINCT FROM k.source_id
+WHERE k.superseded_at IS NULL AND k.fact_type = 'signup')""", LOST))
 def l2w(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth fact is written to a store that holds the others."""
     rows = _store(spark, d)
@@ -80,9 +88,35 @@ def l2w(spark: SparkSession, d: str) -> DataFrame:
     return done["facts"].select("id", "superseded_by")
 
 
+@query("l2_write_untouched", sql("""SELECT id, CASE WHEN id % 3 = 0 THEN superseded_by END AS superseded_by FROM (SELECT *, row_number() OVER (PARTITION BY content, source_id ORDER BY id) AS k FROM facts) WHERE k = 1
+UNION ALL SELECT 5000000000 + n_nationkey, NULL FROM nation"""))
+def l2u(spark: SparkSession, d: str) -> DataFrame:
+    """Rulings that clash among themselves stay as they are when notes, and rulings on other entities, are written."""
+    rows = _store(spark, d)
+    rows = rows.withColumns({c: F.when(F.col("id") % 3 == 0, F.col(c)) for c in ("superseded_at", "superseded_by")})
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("content", "source_id").orderBy("id"))).where("__k = 1").drop("__k")
+    key, n = F.col("n_nationkey").cast("long"), v.table(spark, d, "nation")
+    notes = n.select(
+        (key + 5_000_000_000).alias("id"), F.concat(F.lit("a note on "), "n_name").alias("content"), F.when(key % 2 == 0, "note").otherwise("signup").alias("fact_type"),
+        F.concat(F.lit("nation:"), key).alias("entity"), F.array(F.concat(F.lit("nation:"), key)).alias("entity_ids"), F.lit("ns1").alias("source_id"), F.lit(NOW).alias("created_at"),
+        F.lit(None).cast("long").alias("superseded_at"), F.lit(None).cast("long").alias("superseded_by"),
+    )
+    return w.write(rows, notes, ruling=("signup", "purchase", "click"))["facts"].select("id", "superseded_by")
+
+
+@query("l3_shared_entities", sql("SELECT f.id, coalesce(w.i, superseded_by) AS superseded_by, coalesce(w.t, superseded_at) AS superseded_at FROM facts f LEFT JOIN lost USING (id)",
+"""ents AS (SELECT DISTINCT id, created_at, fact_type, source_id, unnest([entity, 'team:' || id % 60]) AS e FROM facts WHERE superseded_at IS NULL AND fact_type IN ('signup', 'purchase'))""", LOST))
+def l3s(spark: SparkSession, d: str) -> DataFrame:
+    """Facts on a customer and a team; every fourth is new."""
+    rows = _store(spark, d).withColumn("entity_ids", F.array("entity", F.concat(F.lit("team:"), F.col("id") % 60)))
+    done = life.supersede_by_new(rows, rows.where("id % 4 = 3"), ["signup", "purchase"])
+    return done.select("id", "superseded_by", "superseded_at")
+
+
 PATCH = """patched AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'patched ' || id WHEN id % 50 = 2 THEN (SELECT content FROM facts WHERE id = 1) ELSE content END AS content,
-CASE WHEN id % 50 = 1 THEN 'note' ELSE fact_type END AS fact_type, source_id FROM facts),
-clashes AS (SELECT p.id, min(f.id) AS existing_id FROM patched p JOIN facts f ON f.content = p.content AND f.source_id IS NOT DISTINCT FROM p.source_id AND f.id <> p.id WHERE p.id % 50 <= 2 GROUP BY 1)"""
+CASE WHEN id % 50 = 1 THEN 'note' ELSE fact_type END AS fact_type, source_id, content AS before FROM facts),
+judged AS (SELECT *, content <> before AND row_number() OVER (PARTITION BY content, source_id ORDER BY content <> before, id) > 1 AS lost,
+CASE WHEN id > min(id) OVER g THEN min(id) OVER g ELSE nth_value(id, 2) OVER (g ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS existing_id FROM patched WINDOW g AS (PARTITION BY content, source_id))"""
 
 
 def _patched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -93,16 +127,32 @@ def _patched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return w.patch(facts, changes)
 
 
-@query("l8_patch", sql("SELECT f.id, CASE WHEN c.id IS NULL THEN p.content ELSE f.content END AS content, CASE WHEN c.id IS NULL THEN p.fact_type ELSE f.fact_type END AS fact_type FROM facts f JOIN patched p USING (id) LEFT JOIN clashes c USING (id)", PATCH))
+@query("l8_patch", sql("SELECT id, CASE WHEN lost THEN before ELSE content END AS content, fact_type FROM judged", PATCH))
 def l8p(spark: SparkSession, d: str) -> DataFrame:
     return _patched(spark, d)[0].select("id", "content", "fact_type")
 
 
-@query("l8_patch_errors", sql("SELECT id, existing_id FROM clashes", PATCH))
+@query("l8_patch_errors", sql("SELECT id, existing_id FROM judged WHERE lost", PATCH))
 def l8e(spark: SparkSession, d: str) -> DataFrame:
     return _patched(spark, d)[1]
 
 
+@query("l8_patch_batch", sql("""SELECT id, CASE WHEN k = 3 THEN 'twin ' || id // 50 WHEN k = 4 AND first = id THEN 'twin ' || id // 50 WHEN k = 5 THEN 'one ' || id WHEN k = 6 THEN 'b ' || id ELSE content END AS content,
+CASE WHEN k = 5 THEN 'note' ELSE fact_type END AS fact_type, CASE WHEN k = 3 OR (k = 4 AND first = id) THEN 'batch' ELSE source_id END AS source_id, CASE WHEN k = 4 AND first <> id THEN first END AS existing_id
+FROM (SELECT *, id % 50 AS k, min(id) FILTER (id % 50 IN (3, 4)) OVER (PARTITION BY id // 50) AS first FROM facts)"""))
+def l8b(spark: SparkSession, d: str) -> DataFrame:
+    """In one batch: two facts that get one content, and facts with two changes each."""
+    facts = v.facts(spark, d).select("id", "content", "fact_type", "source_id")
+    k, words = F.col("id") % 50, lambda prefix, x: F.concat(F.lit(prefix), x)
+    none = F.lit(None).cast("string")
+    change = lambda rows, seq, content, kind, ns: rows.select("id", F.lit(seq).alias("seq"), content.alias("content"), kind.alias("fact_type"), ns.alias("source_id"))
+    twins = change(facts.where(k.isin(3, 4)), 1, words("twin ", F.floor(F.col("id") / 50)), none, F.lit("batch"))
+    first = change(facts.where(k.isin(5, 6)), 2, F.when(k == 5, words("one ", F.col("id"))).otherwise(words("a ", F.col("id"))), none, none)
+    second = change(facts.where(k.isin(5, 6)), 3, F.when(k == 6, words("b ", F.col("id"))), F.when(k == 5, "note"), none)
+    done, errors = w.patch(facts, twins.unionByName(first).unionByName(second))
+    return done.join(errors, "id", "left")
+
+
 @query("l10_pin_ids", sql("SELECT id, pinned OR fact_type = 'signup' AS pinned FROM facts"))
 def l10(spark: SparkSession, d: str) -> DataFrame:
     facts = v.facts(spark, d).select("id", "fact_type", "pinned")
@@ -124,6 +174,19 @@ def l11u(spark: SparkSession, d: str) -> DataFrame:
     return done.select("id", "name", F.array_join("aliases", ",").alias("aliases"), "updated_at")
 
 
+@query("l11_rename_errors", sql("""SELECT 'supplier:' || n AS id, CASE WHEN n % 3 = 0 THEN 'nation:' || n % 25 ELSE 'supplier:' || (n - 1) END AS existing_id FROM (SELECT s_suppkey AS n, row_number() OVER () FROM supplier)
+WHERE n % 3 = 0 OR (n % 3 = 2 AND n - 1 IN (SELECT s_suppkey FROM supplier))"""))
+def l11r(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the suppliers wants a nation's name, in lower case; of the others two want one new name."""
+    rows, key = _named(spark, d), F.col("updated_at")
+    nations = rows.where("entity_type = 'nation'").select(key.alias("nation"), F.lower("name").alias("taken"))
+    asked = rows.where("entity_type = 'supplier'").join(F.broadcast(nations), key % 25 == F.col("nation"))  # 25 rows
+    name = F.when(key % 3 == 0, F.col("taken")).otherwise(F.concat(F.lit("pair "), F.floor(key / 3)))
+    # ids as numbers of one length, so that the earlier is the less by text too
+    edits = asked.select("id", key.alias("expected_at"), name.alias("name"))
+    return w.update_entities(rows, edits, 9_000_000)[1].select("id", "existing_id")
+
+
 @query("l11_add_errors", sql("SELECT 'new:' || n_nationkey AS id, 'nation:' || n_nationkey AS existing_id FROM nation UNION ALL SELECT 'twin:b', NULL"))
 def l11a(spark: SparkSession, d: str) -> DataFrame:
     rows = _named(spark, d)
