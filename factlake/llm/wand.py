@@ -126,13 +126,13 @@ class Shard:
         while cursors:
             cursors.sort()
             bound = 0
-            for i, c in enumerate(cursors):  # the pivot: where the maxima first exceed the floor
+            for i, c in enumerate(cursors):  # the pivot: where the sum of maxima first exceeds the floor
                 bound += c[3]
                 if bound > floor:
                     break
             else:
                 break
-            pivot = c[0]
+            pivot, ended = c[0], False
             if cursors[0][0] == pivot:
                 score = 0
                 for c in cursors:
@@ -140,7 +140,10 @@ class Shard:
                         break
                     score += gains[c[1]] * c[4]
                     c[1] += 1
-                    c[0] = docs[c[1]] if c[1] < c[2] else -1
+                    if c[1] < c[2]:
+                        c[0] = docs[c[1]]
+                    else:
+                        c[0], ended = -1, True
                 if score > floor:
                     if len(heap) == k:
                         heapq.heapreplace(heap, (score, -pivot))
@@ -152,8 +155,11 @@ class Shard:
                 for c in cursors[:i]:
                     if c[0] < pivot:
                         c[1] = bisect_left(docs, pivot, c[1], c[2])
-                        c[0] = docs[c[1]] if c[1] < c[2] else -1
-            if any(c[0] < 0 for c in cursors[: i + 1]) or cursors[-1][0] < 0:
+                        if c[1] < c[2]:
+                            c[0] = docs[c[1]]
+                        else:
+                            c[0], ended = -1, True
+            if ended:
                 cursors = [c for c in cursors if c[0] >= 0]
         return [(score, -place) for score, place in heap]
 

@@ -89,11 +89,9 @@ def test_search(spark, docs, mixed, monkeypatch):
     both = spark.createDataFrame(ITEMS + passages, "item_id long, text string")
     want = best(rows_of(mixed), ITEMS + passages)
     assert found(mixed, both) == want
-    # blocks of few queries; shards of few documents
+    # blocks of few queries; more and smaller shards
     monkeypatch.setattr(wand, "BLOCK_TERMS", 300)
     assert found(mixed, both) == want
-    held = wand.Shard
-    monkeypatch.setattr(wand, "Shard", lambda batches, *rest: held(batches, *rest))
     assert found(mixed.repartition(13), both, k=3) == best(rows_of(mixed), ITEMS + passages, 3)
 
 
