@@ -11,10 +11,13 @@
    is passed over if its centroid lies nearer to one already chosen than
    ``APART`` times its distance from the vector, as it would hold the same rows.
 4. Lists over ``SHARD`` rows are cut into shards by a hash.
-5. A query asks every list whose centroid is within (1 + ``PROBE``) of its
-   nearest one, and ``MIN_PROBES`` at least; it is compared with all centroids.
-   ``GROUP`` lists are one group of a task, which compares the queries of each
-   list with its rows in double precision and keeps the best of each query.
+5. A query searches the same graph, with a beam that doubles until it holds a
+   centroid beyond (1 + ``PROBE``) of the nearest distance; it asks all lists
+   within, and ``MIN_PROBES`` at least.
+6. ``GROUP`` lists are one group of a task, and at most ``QUERIES`` probes of a
+   group one part of it. A task finds the rows of each list that may be among the
+   best of each query, up to the rounding of a matrix product, compares all of
+   those in double precision, and keeps the best by distance, then id.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part; fewer candidates than ``k``
@@ -39,7 +42,9 @@ LIST_SIZE, MAX_LISTS, SAMPLE, SHARD = 200, 4096, 20_000, 4096
 SPREAD, MAX_COPIES, APART = 0.15, 4, 0.8
 PROBE, MIN_PROBES = 0.22, 8
 DEGREE, BEAM, ENTRIES = 24, 40, 32
-GROUP = 16
+GROUP, QUERIES = 16, 50_000
+#: Pairs compared exactly at a time.
+PAIRS = 100_000
 
 
 def usable(v: Column, length: Column | None = None) -> Column:
@@ -74,10 +79,11 @@ class Graph:
         """(ids, distances), nearest first, of ``want`` centroids for each row.
 
         A beam holds the best seen; each step opens every query's best
-        unopened one and meets its neighbours, until all in the beam are open.
+        unopened ones and meets their neighbours, until all in the beam are open.
         """
         n, q = len(self.c), len(x)
         beam = min(max(BEAM, want), n)
+        wide = max(1, beam // 64)
         seen = np.zeros((q, n), bool)
         rows = np.arange(q)[:, None]
 
@@ -90,15 +96,16 @@ class Graph:
         seen[rows, ids] = True
         opened = np.zeros(ids.shape, bool)
         while True:
-            best = np.where(opened, np.inf, dist).argmin(axis=1)
-            pick = ids[np.arange(q), best]
-            done = opened[np.arange(q), best] | ~np.isfinite(dist[np.arange(q), best])
-            if done.all():
+            best = np.where(opened, np.inf, dist)
+            some = min(wide, best.shape[1])
+            best = np.argpartition(best, some - 1, axis=1)[:, :some]
+            fresh = np.isfinite(dist[rows, best]) & ~opened[rows, best]
+            if not fresh.any():
                 break
-            opened[np.arange(q), best] = True
-            new = self.edges[pick]
+            opened[rows, best] = True
+            new = np.where(fresh[:, :, None], self.edges[ids[rows, best]], ids[:, :1, None]).reshape(q, -1)
             d = distance(new)
-            d[seen[rows, new] | done[:, None]] = np.inf
+            d[seen[rows, new]] = np.inf
             # an id that occurs twice among the edges counts once
             order = np.argsort(new, axis=1, kind="stable")
             ordered = np.take_along_axis(new, order, axis=1)
@@ -158,11 +165,43 @@ def _posting_lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _probes(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each query asks."""
-    dist = np.sqrt(graph._all(x))
-    asked = dist <= (1 + PROBE) * dist.min(axis=1, keepdims=True)
-    few = min(MIN_PROBES, dist.shape[1])
-    np.put_along_axis(asked, np.argpartition(dist, few - 1, axis=1)[:, :few], True, axis=1)
-    return np.nonzero(asked)
+    rows, lists, todo, want = [], [], np.arange(len(x)), 2 * MIN_PROBES
+    while len(todo):
+        ids, dist = graph.search(x[todo], min(want, len(graph.c)))
+        within = dist <= (1 + PROBE) * dist[:, :1]
+        done = ~within[:, -1] | (ids.shape[1] == len(graph.c)) | (want > 2 * len(graph.c))
+        within[:, :MIN_PROBES] = True
+        within &= np.isfinite(dist)
+        row, at = np.nonzero(within[done])
+        rows.append(todo[done][row])
+        lists.append(ids[done][row, at])
+        todo, want = todo[~done], 2 * want
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *lists])
+
+
+def nearest_rows(p: np.ndarray, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the ``want`` nearest rows ``p`` of each query; equal distances go by row.
+
+    The distances of a matrix product only tell which rows may be among them: all
+    that are not beyond the ``want``-th by more than its rounding are compared exactly.
+    """
+    out = []
+    norms = (p * p).sum(axis=1)
+    for i in range(0, len(q), 256):
+        b = q[i : i + 256]
+        rough = norms[None, :] - 2 * (b @ p.T)
+        last = np.partition(rough, want - 1, axis=1)[:, want - 1]
+        slack = 64 * p.shape[1] * np.finfo(float).eps * (norms.max() + (b * b).sum(axis=1))
+        at, row = np.nonzero(rough <= (last + slack)[:, None])
+        exact = np.empty(len(at))
+        for j in range(0, len(at), PAIRS):
+            part = slice(j, j + PAIRS)
+            exact[part] = np.sqrt(((b[at[part]] - p[row[part]]) ** 2).sum(axis=1))
+        order = np.lexsort((row, exact, at))
+        at, row, exact = at[order], row[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        out.append((i + at[place < want], row[place < want], exact[place < want]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _spread(rows: DataFrame, model, choose) -> DataFrame:
@@ -213,46 +252,36 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asked = staged(asked, "asked")
     posted = staged(_spread(points, model, _posting_lists), "posted")
     probes = _spread(asked.dropDuplicates(["node"]).select("node", "v"), model, _probes)
-    # a list of many rows is cut into shards, and each query goes to all of them
+    # a list of many rows is cut into shards, and each query goes to all of them; a group that many
+    # queries ask is cut into parts, and each row goes to all of them. Both tables have at most MAX_LISTS rows
+    probes = staged(probes, "probes")
+    group = F.floor(F.col("list") / GROUP).cast("int").alias("group")
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    sizes = F.broadcast(sizes)  # at most MAX_LISTS rows
-    names = ["node", "v", "list", F.floor(F.col("list") / GROUP).cast("int").alias("group")]
-    posted = posted.join(sizes, "list").select(*names, F.pmod(F.xxhash64("node"), "shards").cast("int").alias("shard"))
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    probes = probes.join(sizes, "list").select(*names, each)
-
-    def of_list(points: pd.DataFrame, asks: pd.DataFrame) -> list[pd.DataFrame]:
-        """The best rows of one list for each of its queries."""
-        out = []
-        p = np.stack(points["v"].to_numpy()).astype(np.float64)
-        node, ask = points["node"].to_numpy(), asks["node"].to_numpy()
-        q = np.stack(asks["v"].to_numpy()).astype(np.float64)
-        want = min(k + 1, len(p))
-        norms = (p * p).sum(axis=1)
-        for i in range(0, len(q), 256):
-            b = q[i : i + 256]
-            rough = norms[None, :] - 2 * (b @ p.T)
-            # the rough form only picks; a few more than wanted absorb its rounding
-            pick = np.argpartition(rough, min(want + 8, len(p)) - 1, axis=1)[:, : want + 8]
-            exact = np.sqrt(((b[:, None, :] - p[pick]) ** 2).sum(axis=2))
-            order = np.lexsort((node[pick], exact), axis=1)[:, :want]
-            at = np.take_along_axis(pick, order, axis=1)
-            score = np.take_along_axis(exact, order, axis=1).ravel()
-            out.append(pd.DataFrame({"node": np.repeat(ask[i : i + 256], want), "found": node[at].ravel(), "score": score}))
-        return out
+    parts = probes.groupBy(group).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes.withColumn("group", group).join(F.broadcast(parts), "group").select("list", "shards", "parts"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    posted = posted.join(sizes, "list").select("node", "v", "list", group, of("shards").alias("shard"), each("parts").alias("part"))
+    probes = probes.join(sizes, "list").select("node", "v", "list", group, each("shards").alias("shard"), of("parts").alias("part"))
+
+    def of_list(points: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        """The best rows of one list, in order of node, for each of its queries."""
+        p, q = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (points, asks))
+        at, row, score = nearest_rows(p, q, min(k + 1, len(p)))
+        return pd.DataFrame({"node": asks["node"].to_numpy()[at], "found": points["node"].to_numpy()[row], "score": score})
 
     def nearest(points: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         rows, out = dict(list(points.sort_values("node").groupby("list"))), []
         for number, mine in asks.groupby("list"):
             if number in rows:
-                out += of_list(rows[number], mine)
+                out.append(of_list(rows[number], mine))
         if not out:
             return pd.DataFrame({"node": [], "found": [], "score": []}).astype("int64")
         # a replica is found in several lists of the group
         best = pd.concat(out).sort_values(["node", "score", "found"]).drop_duplicates(["node", "found"])
         return best.groupby("node").head(k + 1)
 
-    keys = ["group", "shard"]
+    keys = ["group", "shard", "part"]
     found = posted.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(nearest, "node long, found long, score double")
     found = found.groupBy("node", "found").agg(F.min("score").alias("score"))
     by = Window.partitionBy("node").orderBy("score", "found")

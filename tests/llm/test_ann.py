@@ -19,6 +19,37 @@ def test_no_cap_overrules_the_distance_ratio():
     assert np.bincount(row).max() > 256
 
 
+def test_equal_distances_go_by_id(spark):
+    """All of them at one distance: the smallest ids, in one list and in parts of it."""
+    n = 300
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(n)]) for i in range(n)], "vec_id long, embedding array<float>")
+    got = ann.search(df, ann.F.col("vec_id") % 100 == 0).collect()
+    want = {q: [i for i in range(n) if i != q][:10] for q in (0, 100, 200)}
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+    assert len({r.score for r in got}) == 1
+
+
+def test_ties_against_brute_force():
+    """Small whole numbers: many rows at each distance, of which the first count."""
+    rng = np.random.default_rng(4)
+    p, q = rng.integers(0, 3, (2_000, 6)).astype(float), rng.integers(0, 3, (40, 6)).astype(float)
+    at, row, score = ann.nearest_rows(p, q, 11)
+    exact = np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2))
+    for i in range(len(q)):
+        want = np.lexsort((np.arange(len(p)), exact[i]))[:11]
+        assert row[at == i].tolist() == want.tolist() and score[at == i].tolist() == exact[i][want].tolist()
+
+
+def test_queries_are_dealt_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame(enumerate(rng.normal(size=(900, 8)).tolist()), "vec_id long, embedding array<float>")
+    run = lambda: sorted(map(tuple, ann.search(df, ann.F.col("vec_id") % 10 == 0).collect()))
+    whole = run()
+    for name, value in (("QUERIES", 7), ("SHARD", 50)):
+        monkeypatch.setattr(ann, name, value)
+        assert run() == whole
+
+
 def test_replicas_are_those_of_the_boundary():
     """A vector amid two clusters is in both lists, one in the heart of a cluster in its own only."""
     c = np.array([[0.0, 0], [10, 0], [0.5, 0.5], [0, 10]], np.float32)
