@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from factlake.llm import simhash
 from factlake.llm.common import small, staged, text_batches
-from factlake.llm.simhash import Forest, components
+from factlake.llm.simhash import Forest
+from factlake.operators.graph import components
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 24, 5

@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import hashed_sample, shared_dir, staged, text_batches
+from factlake.llm.common import hashed_sample, ranked, staged, text_batches
+from factlake.operators.graph import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Classes that a shard is meant for, those beyond which it is dealt in blocks, and queries of one task.
@@ -234,45 +235,15 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.groupBy("shard", "block", "part").applyInPandas(connect, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node each node reaches.
-
-    Alternates large-star and small-star steps: every node points its larger,
-    then its smaller neighbours, to the smallest one it knows.
-    """
-    shared_dir(edges.sparkSession)
-    pair = lambda a, b: F.struct(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = edges.where("a <> b").select(pair(F.col("a"), F.col("b")).alias("p")).select("p.*").distinct().checkpoint()
-    before = None
-    for _ in range(max_rounds):
-        # large star: larger neighbours of u, and u, go to the smallest of u's neighbourhood
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: smaller neighbours of u, and u, go to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.select("u", F.col("m").alias("v"))
-        ).distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
-    raise RuntimeError(f"components are not stable after {max_rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     fps = staged(fingerprints(docs, shingle), "fingerprints")
-    # a class without any id still links others, under a number no document has
+    # numbered in order of their smallest id, those without any last: the first of a component has its smallest id
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nameless = fps.agg(F.max("doc_id")).first()[0] or 0
-    node = F.coalesce("rep", F.lit(nameless) + 1 + F.pmod(F.xxhash64("fp"), F.lit(2**40)))
-    classes = staged(classes.withColumn("node", node), "classes")
+    classes = staged(ranked(classes, [F.asc_nulls_last("rep"), F.col("fp")], "node"), "classes")
     found = components(links(classes, max_bits))
-    named = classes.join(found, "node", "left").select(
-        F.col("fp"), F.when(F.coalesce("component", "node") <= nameless, F.coalesce("component", "node")).alias("component_id")
-    )
+    heads = classes.select(F.col("node").alias("head"), F.col("rep").alias("component_id"))
+    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("head")).join(heads, "head")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
