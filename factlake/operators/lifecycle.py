@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlake.operators.graph import components
-from factlake.operators.ranking import cosine
+from factlake.operators.similarity import similar_pairs
 
 
 def insert(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,33 +100,6 @@ def expired(facts: DataFrame, ttl_days: dict[str, int], now: int) -> DataFrame:
     return facts.where(F.col("superseded_at").isNull() & (F.col("created_at") + life < now))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, tables: int = 136, bits: int = 12, seed: int = 13) -> DataFrame:
-    """(a, b, cosine): pairs of one namespace (``ns``) with cosine >= threshold.
-
-    Ids meet in buckets of signs of random projections; vectors follow only for
-    pairs that met, and are compared exactly. With 136 tables of 12 signs a pair at
-    cosine 0.85 is missed about once in a million, and 3 % of unlike pairs meet.
-    ``vectors`` has id, ns, v; all v of one length.
-    """
-
-    @F.pandas_udf("array<long>")
-    def buckets(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(a, float) for a in v])
-        planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-        signs = (x @ planes >= 0).reshape(len(x), tables, bits)
-        codes = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-        return pd.Series(list(codes))
-
-    rows = vectors.select("id", "ns", F.explode(buckets("v")).alias("key"))
-    a, b = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
-    met = a.join(b, (a.ns.eqNullSafe(b.ns)) & (a.key == b.key) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    of = lambda x: vectors.select(F.col("id").alias(x), F.col("v").alias(f"v{x}"))
-    scored = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold)
-
-
 def semantic_dedup(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, superseded_by): an older fact is superseded by its earliest newer neighbour.
 

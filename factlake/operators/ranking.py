@@ -101,7 +101,7 @@ def bm25_many(docs: DataFrame, queries: DataFrame, limit: int, text: str = "cont
     """
     keys = [] if same is None else [same]
     wanted = queries.select("query_id", *[F.col(c).alias("__same") for c in keys], F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = docs.select("id", *keys, tokens(F.col(text)).alias("__tokens")).withColumn("__len", F.size("__tokens"))
+    words = docs.select("id", *keys, tokens(F.coalesce(F.col(text), F.lit(""))).alias("__tokens")).withColumn("__len", F.size("__tokens"))
     corpus = words.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"))
     tf = (
         words.select("id", *keys, "__len", F.explode("__tokens").alias("term"))

@@ -123,9 +123,12 @@ def update_entities(entities: DataFrame, changes: DataFrame, at: int) -> tuple[D
     or that an earlier edit, by id, takes; ``existing_id`` is the owner of the name."""
     names = [c for c in changes.columns if c not in ("id", "expected_at")]
     rows = changes.select("id", "expected_at", *[F.col(c).alias(f"__{c}") for c in names]).join(entities, "id", "left")
-    fits = F.coalesce(F.col("updated_at") == F.col("expected_at"), F.lit(False))
+    # of several edits of one entity at its time the first, by its values, counts: it moves the time on
+    order = Window.partitionBy("id", "expected_at").orderBy(*[f"__{c}" for c in names])
+    rows = rows.withColumn("__turn", F.row_number().over(order))
+    fits = F.coalesce(F.col("updated_at") == F.col("expected_at"), F.lit(False)) & (F.col("__turn") == 1)
     values = {c: F.array_union(F.coalesce(c, f"__{c}"), F.coalesce(f"__{c}", c)) if c == "aliases" else _filled(c, f"__{c}") for c in names}
-    rows = rows.withColumn("__fits", fits).join(_name_clashes(entities, rows.where(fits)), "id", "left") if "name" in names else rows.withColumns({"__fits": fits, "existing_id": F.lit(None).cast("string")})
+    rows = rows.withColumn("__fits", fits).join(_name_clashes(entities, rows.where(fits)), "id", "left").withColumn("existing_id", F.when(F.col("__fits"), F.col("existing_id"))) if "name" in names else rows.withColumns({"__fits": fits, "existing_id": F.lit(None).cast("string")})
     good = F.col("__fits") & F.col("existing_id").isNull()
     done = rows.where(good).withColumns(values | {"updated_at": F.lit(at)}).select(*entities.columns)
     kept = entities.join(done.select("id"), "id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake import views as v
 from factlake.operators import lifecycle as c
-from factlake.operators import lint
+from factlake.operators import lint, similarity
 from factlake.plans.registry import query
 from factlake.staging import new_dir
 from factlake.streaming import leases
@@ -79,7 +79,7 @@ row_number() OVER (PARTITION BY cluster ORDER BY total DESC, id) <= 1 AS far FRO
 
 @query("j7_similar_pairs", sql("SELECT a, b FROM sims", SIM))
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    return c.similar_pairs(_vectors(spark, d), 0.85).select("a", "b")
+    return similarity.similar_pairs(_vectors(spark, d), 0.85).select("a", "b")
 
 
 @query("l5_semantic_dedup", sql("SELECT a AS id, min(b) AS superseded_by FROM sims GROUP BY 1", SIM))

@@ -9,6 +9,7 @@ from factlake import views as v
 from factlake.operators import changes as c
 from factlake.operators import lifecycle as life
 from factlake.plans.registry import query
+from factlake.sources import feed
 from factlake.sources import interchange as x
 from factlake.staging import new_dir
 from factlake.streaming import changes as s
@@ -150,6 +151,31 @@ def z6(spark: SparkSession, d: str) -> DataFrame:
     return c.status(replica.table())
 
 
+@query("z6_feed_source", sql("SELECT count(*) AS n, count(DISTINCT seq) AS seqs, sum(seq)::BIGINT AS total, count(body) AS bodies FROM changes"))
+def z6f(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a data source: a stream takes the first changes, stops, and goes on from its checkpoint when the rest has come; no change is lost or comes twice."""
+    spark.dataSource.register(feed.ChangeFeed)
+    log, done, out = new_dir(spark, "feed"), new_dir(spark, "feed-checkpoint"), new_dir(spark, "feed-taken")
+    changes = v.changes(spark, d)
+    take = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    for part in ("seq <= 500", None, "seq > 500"):  # the second start finds nothing new
+        if part:
+            feed.append_log(changes.where(part), log, 1)
+        stream = spark.readStream.format("changefeed").option("path", log).option("chunk", 1500).load()
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
+    taken = spark.read.schema(feed.SCHEMA).parquet(out)
+    return taken.agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"), F.sum("seq").alias("total"), F.count("body").alias("bodies"))
+
+
+@query("z1_feed_after", sql("SELECT seq, id, operation, body FROM changes WHERE seq > 500"))
+def z1f(spark: SparkSession, d: str) -> DataFrame:
+    """All changes after a cursor, from the source."""
+    spark.dataSource.register(feed.ChangeFeed)
+    log = new_dir(spark, "feed")
+    feed.append_log(v.changes(spark, d), log, 1)
+    return spark.read.format("changefeed").option("path", log).option("after", 500).load().select("seq", "id", "operation", "body")
+
+
 @query("z7_commands", sql("SELECT cast(user_id AS VARCHAR) || '/' || event_type AS command_id, count(*) FILTER (props = first) AS replays, count(*) FILTER (props <> first) AS conflicts FROM (SELECT *, first_value(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS first FROM events) GROUP BY 1"))
 def z7(spark: SparkSession, d: str) -> DataFrame:
     log = v.table(spark, d, "events").select(F.concat_ws("/", "user_id", "event_type").alias("command_id"), F.col("event_id").alias("at"), F.col("event_type").alias("actor"), F.col("props").alias("payload"))
