@@ -4,8 +4,8 @@ Licence notices are short templates of words. Their words, common ones left
 out, form the vocabulary; its postings say at which place of which template a
 word stands. A first pass splits every text into words and keeps the places of
 vocabulary words; document frequencies over the whole corpus give their IDF.
-Each file then looks up all of its vocabulary words, so that no notice pushes
-out another; a posting at place p of a template and a hit at place q vote for
+Each file then looks up those of its words that are among the ``RAREST`` of a
+template by IDF, so that no notice pushes out another; a posting at place p of a template and a hit at place q vote for
 the template at q - p. An alignment
 with enough different words is a candidate, and counts only if one of the
 template's mandatory phrases stands in the text within the aligned stretch.
@@ -61,6 +61,8 @@ TEMPLATES = {
 }
 COMMON = set("a and any are by for in into is of or out per that the this to use with".split())
 LEAST_WORDS, SLACK = 2, 4
+#: Words of a template that vote for it: those of the highest IDF.
+RAREST = 8
 
 PHRASES = sorted({*BASE, *(p for _, ps in TEMPLATES.values() for p in ps)})
 POSTINGS = [
@@ -128,17 +130,24 @@ def _idf(docs: DataFrame) -> dict[str, float]:
     return {w: round(math.log((n + 1) / (df.get(w, 0) + 0.5)), 6) for w in VOCABULARY}
 
 
+def rarest(idf: dict[str, float]) -> dict[str, set[str]]:
+    """The words of each template that vote for it."""
+    own = {name: sorted({w for w, t, _ in POSTINGS if t == name}) for name in TEMPLATES}
+    return {name: set(sorted(words, key=lambda w: (-idf[w], w))[:RAREST]) for name, words in own.items()}
+
+
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     scanned = staged(scan(docs), "licenses")
     idf = _idf(docs)
     weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
+    rare = rarest(idf)
     postings = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in POSTINGS]
+        *[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in POSTINGS if w in rare[t]]
     )
 
     def candidates(hits: Column) -> Column:
-        """(template, start) -> different aligned words, from all vocabulary words of the file."""
+        """(template, start, word) votes of the file's words that are rare in a template."""
         one = lambda h: F.transform(
             F.filter(postings, lambda p: p["word"] == h["word"]),
             lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["p"]).alias("start"), h["word"].alias("word")),
@@ -150,12 +159,11 @@ def licenses(docs: DataFrame) -> DataFrame:
 
         Each place of a mandatory phrase vouches for the starts around the one
         it implies, as a vote with an empty word; sorted, it comes before the
-        words of its start, so that one pass over the votes is enough.
+        words of its start, and equal votes meet, so that one pass is enough.
         """
         text, phrases = TEMPLATES[name]
         parts = text.split()
-        own = {w for w, t, _ in POSTINGS if t == name}
-        total = max(sum(idf[w] for w in own), 1e-9)
+        total = max(sum(idf[w] for w in rare[name]), 1e-9)
         mine = F.transform(F.filter(votes, lambda v: v["t"] == name), lambda v: v.dropFields("t"))
         vouched = []
         for phrase in phrases:
@@ -164,22 +172,24 @@ def licenses(docs: DataFrame) -> DataFrame:
             vouched.append(F.flatten(F.transform(F.col("places")[phrase], _around(at))))
         marks = F.transform(F.concat(*vouched), lambda i: F.struct(i.alias("start"), F.lit("").alias("word")))
         zero = F.struct(
-            F.lit(None).cast("int").alias("start"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
+            F.lit(None).cast("int").alias("start"), F.lit("").alias("word"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
             F.lit(False).alias("sure"), F.lit(0.0).alias("best"),
         )
 
         def step(a: Column, x: Column) -> Column:
             same = F.coalesce(a["start"] == x["start"], F.lit(False))
+            again = same & (a["word"] == x["word"])  # equal votes stand next to each other
             total_idf = F.when(same, a["sum"]).otherwise(0.0) + F.coalesce(F.try_element_at(weight, x["word"]), F.lit(0.0))
             n = F.when(same, a["n"]).otherwise(0) + F.when(x["word"] == "", 0).otherwise(1)
             sure = (same & a["sure"]) | (x["word"] == "")
             now = F.when(sure & (n >= LEAST_WORDS), F.least(F.lit(1.0), total_idf / total)).otherwise(0.0)
-            return F.struct(
-                x["start"].alias("start"), total_idf.alias("sum"), n.alias("n"), sure.alias("sure"),
+            moved = F.struct(
+                x["start"].alias("start"), x["word"].alias("word"), total_idf.alias("sum"), n.alias("n"), sure.alias("sure"),
                 F.greatest(a["best"], now).alias("best"),
             )
+            return F.when(again, a).otherwise(moved)
 
-        ordered = F.sort_array(F.array_distinct(F.concat(mine, marks)))
+        ordered = F.sort_array(F.concat(mine, marks))
         return F.aggregate(ordered, zero, step, lambda a: a["best"])
 
     def verified(votes: Column) -> Column:

@@ -28,3 +28,23 @@ def test_no_notice_pushes_out_another(spark):
     text = ". ".join(notice for notice, _ in licenses.TEMPLATES.values())
     got = licenses.licenses(frame(spark, [text, *["plain words"] * 5])).where("doc_id = 0").first()
     assert set(licenses.TEMPLATES) <= set(got.labels.split(",")) and got.score == pytest.approx(1.0)
+
+
+def test_twenty_thousand_words_of_notices(spark):
+    """A text of nothing but notices takes time in proportion to its words."""
+    import time
+
+    text = "MIT license " * 10_000
+    frame(spark, [text]).transform(licenses.licenses).collect()  # compiles
+    began = time.time()
+    got = licenses.licenses(frame(spark, [text])).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (20_000, 10_000, 0, 19_998, "mit")
+    assert time.time() - began < 20
+
+
+def test_rarest_words_vote():
+    idf = {w: float(i) for i, w in enumerate(licenses.VOCABULARY)}
+    for name, words in licenses.rarest(idf).items():
+        own = {w for w, t, _ in licenses.POSTINGS if t == name}
+        assert words <= own and len(words) == min(len(own), licenses.RAREST)
+        assert min((idf[w] for w in words), default=0) >= max((idf[w] for w in own - words), default=0)
