@@ -2,10 +2,10 @@
 
 Character n-grams of one to three letters are hashed to ``BUCKETS`` buckets.
 Counts per language come from a bounded sample of labelled rows (the
-``PER_LANG`` documents of each language that come first by a hash), the priors
-from all labelled rows; smoothed log-probabilities form one matrix, sent to the
-executors, and tasks score batches of whole texts with numpy as sums of matrix
-rows. The score is the posterior probability of the language predicted.
+``PER_LANG`` documents of each language that come first by a hash, of the
+``MOST_LANGS`` languages with the most rows), the priors from all their rows;
+smoothed log-probabilities form one matrix, sent to the executors, and tasks
+score batches of whole texts with numpy as sums of matrix rows. The score is the posterior probability of the language predicted.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties
 go to the first language by code point; without training rows every text is
@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from factlake.llm.common import hash_unit, small, staged, text_batches
 
 BUCKETS, PER_LANG, SMOOTHING = 1 << 15, 2000, 0.5
+#: Languages learned at most: 128 KB of the matrix each.
+MOST_LANGS = 400
 #: Code points scored at once.
 BLOCK = 300_000
 
@@ -96,7 +98,8 @@ def train(docs: DataFrame, learn_from: Column) -> Model:
     """Languages, their log-priors and the (bucket, language) matrix of log-probabilities."""
     rows = text_batches(docs).where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a threshold on the hash leaves about twice the sample, so that no window grows with the input
-    sizes = staged(rows.groupBy(F.col("lang").cast("string").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    # a bounded number of languages bounds the matrix: those with the most rows
+    sizes = staged(rows.groupBy(F.col("lang").cast("string").alias("__lang")).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGS), "languages")
     share = sizes.select("__lang", ((2 * PER_LANG + 1000) / F.col("__n")).alias("__share"))
     few = rows.select("doc_id", "lang").withColumn("u", hash_unit("doc_id"))
     few = few.join(small(share), (F.col("lang") == F.col("__lang")) & (F.col("u") < F.col("__share")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factlake.llm import ann, langid, licenses, mil, mixing, packing, queries, rules, simhash, urls, warc
+from factlake.operators.graph import components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^ \t-\r]+")
@@ -225,7 +226,7 @@ def test_neighbours(spark):
     hits = 0
     for q, found in got.items():
         found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 11)) and [s for _, _, s in found] == sorted(s for _, _, s in found)
+        assert [r for r, _, _ in found] == list(range(1, 14)) and [s for _, _, s in found] == sorted(s for _, _, s in found)
         hits += len({v for _, v, _ in found} & {v for v, _ in want[q]})
     assert hits >= 0.9 * 10 * len(want)
     assert [v for _, v, _ in got[200]] == list(range(100, 110))
@@ -336,6 +337,15 @@ def test_language_id(spark, docs):
     assert langid.identify(cases.nothing(docs)).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """Labels beyond the bound are not learned; those with most rows are."""
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(i, f"{'abc' if i % 2 else 'xyz'} words number {i}", "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [(100 + i, "some other text", f"dirty{i}") for i in range(30)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} <= {"aa", "bb"} and len(got) == 90
+
+
 def test_language_id_against_a_slow_version(spark):
     """Counts, priors and posteriors of naive Bayes, gram by gram."""
     import math
@@ -605,6 +615,15 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(cases.nothing(docs)).count() == 0
 
 
+def test_simhash_with_ids_at_both_ends(spark):
+    """Rows without an id next to the smallest and largest ids; classes without one stay apart."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(high, "same text here again"), (low, "another text altogether"), (None, "no id at all"), (None, "nor here, sadly, is one"), (None, "same text here again"), (high - 1, "same text here again")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(high, high - 1), (low, low), (None, None), (None, high - 1), (high - 1, high - 1)}
+    assert len(got) == 6 and {(r.doc_id, r.component_id) for r in got} == want
+
+
 def test_links_of_dense_groups(spark, monkeypatch):
     """Random points, balls and chains, with more points than a leaf holds."""
     rng = np.random.default_rng(3)
@@ -616,12 +635,12 @@ def test_links_of_dense_groups(spark, monkeypatch):
     fps = list(dict.fromkeys([*map(int, base_points), *ball, *chain]))
     df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node long, fp long")
     want = linked(fps, list(range(len(fps))))
-    got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+    got = {r.node: r.component for r in components(simhash.links(df)).collect()}
     assert [got.get(i, i) for i in range(len(fps))] == want
     # the same with a deep tree, and with shards that are dealt in blocks
     for name, value in (("SHARD", 20), ("BLOCK", 30), ("QUERIES", 15)):
         monkeypatch.setattr(simhash, name, value)
-        got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+        got = {r.node: r.component for r in components(simhash.links(df)).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
@@ -643,4 +662,4 @@ def test_small_helpers():
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
