@@ -52,6 +52,20 @@ class Memory:
         both = r.fused(probe.select("id", "score", "rank"), r.top(scored, [F.desc("score"), F.col("id")], 200))
         return r.top(both.select("id", "best_rank", F.col("base").alias("score")), [F.desc("score"), F.col("best_rank"), F.col("id")], limit).drop("best_rank")
 
+    def hybrid_search(
+        self, query: str, vectors: DataFrame, target: list[float], limit: int = 10, scorer: Column | None = None, rerank_k: int = 15,
+        w_lexical: float | None = None, w_semantic: float | None = None, cold: DataFrame | None = None,
+    ) -> DataFrame:
+        """(id, score, rank) of both legs fused by weights, 1 and 0.5 where none is given, the head ordered anew by
+        ``scorer``; with a cold tier the hits of its texts follow in one ranking, and rows have their tier."""
+        scored = vectors.select("id", r.cosine(F.col("v"), r.literal_vector(target)).alias("score"))
+        legs = self.search(query, 200).select("id", "score", "rank"), r.top(scored, [F.desc("score"), F.col("id")], 200)
+        hits = r.hybrid(*legs, limit, scorer, rerank_k, (r.weight_or(w_lexical, 1.0), r.weight_or(w_semantic, 0.5)))
+        if cold is None:
+            return hits
+        far = r.bm25(cold, query, 200).select("id", (1.0 / (r.RRF_K + F.col("rank"))).alias("score"))
+        return r.with_archive(hits, far, limit)
+
     def fact_list(self, limit: int = 100, offset: int = 0, **conditions) -> DataFrame:
         return f.page(f.fact_list(self.facts, **conditions), [F.col("id")], limit, offset)
 

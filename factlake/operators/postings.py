@@ -149,8 +149,10 @@ class Index:
         blocks = rows.groupBy("bucket", "term", "slice", "block").agg(
             F.count("*").cast("int").alias("n"), F.max("tf").alias("best_tf"), F.min("len").alias("least_len"), F.collect_list(F.struct("id", "tf", "len", "tag")).alias("x"),
         )
-        blocks = blocks.select("bucket", "term", "block", "n", "best_tf", "least_len", of("id").alias("ids"), of("tf").alias("tfs"), of("len").alias("lens"), of("tag").alias("tags"))
-        blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        blocks = blocks.select("bucket", "slice", "term", "block", "n", "best_tf", "least_len", of("id").alias("ids"), of("tf").alias("tfs"), of("len").alias("lens"), of("tag").alias("tags"))
+        # a file for each folder and slice, up to a number of slices, sorted by term
+        blocks = blocks.repartition(BUCKETS * min(slices, 256), "bucket", "slice").drop("slice")
+        blocks.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         return replace(state, segments=[*state.segments, mine], n=state.n + n, total=state.total + (total or 0))
 
     def remove(self, ids: DataFrame) -> None:
@@ -249,8 +251,8 @@ def index_of(spark: SparkSession, docs: DataFrame, text: str = "content", tag: s
     them, so a changed table gets an index of its own.
     """
     meta = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("string")
-    files = sorted(r[0] for r in docs.select(meta.alias("f")).distinct().collect())  # a row for each file
-    name = hashlib.sha256("\n".join([*files, text, str(tag), ",".join(docs.columns)]).encode()).hexdigest()[:16]
+    files = docs.select(meta.alias("f")).distinct().agg(F.count("*"), F.sum(F.xxhash64("f").cast("decimal(20,0)"))).first()
+    name = hashlib.sha256(f"{files[0]} {files[1]} {text} {tag} {','.join(docs.columns)}".encode()).hexdigest()[:16]
     index = Index(spark, f"{shared_dir(spark)}/postings-{name}", dict(docs.dtypes)["id"])
     if index.state().version < 0:
         index.add(docs, text, tag)

@@ -213,13 +213,20 @@ def review(pending: DataFrame, verdicts: DataFrame, known: DataFrame) -> tuple[D
     return committed, kept, summary
 
 
-def continue_session(relations: DataFrame, session: str, parent: str, at: int) -> DataFrame:
-    """``relations`` with the ``continued_from`` edge of a session to the one before."""
+def continue_sessions(relations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``relations`` with the ``continued_from`` edge of each session to the one before; ``pairs`` has session and parent.
+
+    A session has one parent: of several the least counts, and a new one replaces an old one.
+    """
     from factlake.operators.graph import upsert_edges
 
-    spark = relations.sparkSession
-    edge = spark.createDataFrame([(session, "continued_from", parent, None, 1.0)], "source_id string, relation_type string, target_id string, scope string, weight double")
-    return upsert_edges(relations.select(*edge.columns), edge)
+    columns = ["source_id", "relation_type", "target_id", "scope", "weight"]
+    one = pairs.where("session <> parent").groupBy(F.col("session").alias("source_id")).agg(F.min("parent").alias("target_id"))
+    edges = one.select("source_id", F.lit("continued_from").alias("relation_type"), "target_id", F.lit(None).cast("string").alias("scope"), F.lit(1.0).alias("weight"))
+    old = relations.select(*columns)
+    stale = (F.col("relation_type") == "continued_from") & F.col("__new")
+    kept = old.join(one.select("source_id", F.lit(True).alias("__new")), "source_id", "left").where(~F.coalesce(stale, F.lit(False))).select(*columns)
+    return upsert_edges(kept, edges.select(*columns))
 
 
 def mined_edges(facts: DataFrame, bridge: DataFrame, existing: DataFrame, k: int = 3, least: float = 1.0) -> DataFrame:

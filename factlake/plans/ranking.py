@@ -238,6 +238,15 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return r.top(both, [F.desc("score"), F.col("best_rank"), F.col("id")], 30).select("id", "rank")
 
 
+@query("r25_hybrid_rerank", sql("""SELECT id, score, new_rank AS rank FROM (SELECT id, f.score, row_number() OVER (ORDER BY f.rank <= 15 DESC, CASE WHEN f.rank <= 15 THEN coalesce(l.score, 0) END DESC NULLS LAST, f.rank) AS new_rank
+FROM (SELECT id, round(base, 9) AS score, row_number() OVER (ORDER BY round(base, 9) DESC, best_rank, id) AS rank FROM fused QUALIFY rank <= 20) f LEFT JOIN lexical l USING (id)) WHERE new_rank <= 10""", BM25, SEMANTIC, FUSED))
+def r25(spark: SparkSession, d: str) -> DataFrame:
+    """The whole hybrid entry: weights given with the call or configured, a window wider than the result, its head ordered anew."""
+    weights = (r.weight_or(1.0, 0.7), r.weight_or(0.0, 0.5))
+    scorer = F.coalesce("lexical_score", F.lit(0.0))
+    return r.hybrid(lexical_leg(spark, d), semantic_leg(spark, d), 10, scorer, 15, weights)
+
+
 @query("r23_cjk", sql("SELECT id FROM (SELECT id, content || CASE WHEN id % 7 = 0 THEN [' 東京', ' 서울', ' かな'][id % 3 + 1] ELSE '' END AS content FROM texts) WHERE regexp_matches(content, '[\\x{1100}-\\x{11ff}\\x{3040}-\\x{30ff}\\x{3130}-\\x{318f}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]')"))
 def r23(spark: SparkSession, d: str) -> DataFrame:
     """Every seventh text gets a word of Han, Hangul or kana."""

@@ -246,13 +246,17 @@ def l13k(spark: SparkSession, d: str) -> DataFrame:
     return _review(spark, d)[1].select("idx")
 
 
-@query("g10_session_chain", "SELECT * FROM (VALUES ('session:3', 0), ('session:2', 1), ('session:1', 2)) t(id, depth)")
+@query("g10_session_chain", sql("SELECT 'session:' || id AS id, min(depth) AS depth FROM chain GROUP BY 1", """talks AS (SELECT DISTINCT conv_id FROM conversations),
+chain(id, depth) AS (SELECT conv_id, 0 FROM talks WHERE conv_id % 5 = 4 UNION SELECT id - 1, depth + 1 FROM chain JOIN talks ON conv_id = id WHERE id % 5 <> 0 AND depth < 4)"""))
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    """Two sessions continue the one before; the chain leads back to the first."""
-    edges = v.relations(spark, d)
-    for child, parent in (("session:2", "session:1"), ("session:3", "session:2")):
-        edges = w.continue_session(edges, child, parent, NOW)
-    return g.reach(edges, spark.createDataFrame([("session:3",)], "id string"), 5, "forward", ["continued_from"])
+    """Conversations continue the one before, in chains of five; each chain is followed back from its last."""
+    talks = v.table(spark, d, "conversations").select("conv_id").distinct()
+    name = lambda c: F.concat(F.lit("session:"), c)
+    pairs = talks.where("conv_id % 5 <> 0").select(name(F.col("conv_id")).alias("session"), name(F.col("conv_id") - 1).alias("parent"))
+    # an older edge of the same sessions gives way
+    old = pairs.select("session", F.lit("session:elsewhere").alias("parent"))
+    edges = w.continue_sessions(w.continue_sessions(v.relations(spark, d), old), pairs)
+    return g.reach(edges, talks.where("conv_id % 5 = 4").select(name(F.col("conv_id")).alias("id")), 4, "forward", ["continued_from"])
 
 
 SCOPED = """scoped AS (SELECT source_id, target_id FROM relations WHERE relation_type = 'supplied_by' AND weight::INT % 2 = 1
