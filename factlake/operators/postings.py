@@ -22,6 +22,7 @@ force and is written last, so a write that fails half-way changes nothing.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -41,6 +42,8 @@ SLICE = 1 << 16
 NAMED, SENT = 20_000, 100_000
 #: Scores are rounded to six digits, so bounds leave this much.
 MARGIN = 1e-5
+#: Rows kept beyond the limit of one search; if all of them are equal, the rest is looked for again.
+EQUAL = 1000
 
 
 def _sat(tf: Column, length: Column, average: Column) -> Column:
@@ -70,6 +73,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str | None = None, id_type: str = "long") -> None:
         self.spark, self.id_type = spark, id_type
         self.path = path or new_dir(spark, "postings")
+        self._known: State | None = None
 
     # ---- what is stored ------------------------------------------------------------
 
@@ -82,15 +86,21 @@ class Index:
             return self.spark.createDataFrame([], schema)
 
     def state(self) -> State:
-        """What is in force; the manifest has a row for each version."""
-        rows = self._read("manifest", "version int, segments array<int>, folded int, gone boolean, n long, total long").orderBy(F.desc("version")).limit(1).collect()
-        return State(*rows[0]) if rows else State()
+        """What is in force; the manifest has a row for each version. Read once: ``refresh`` sees what others wrote since."""
+        if self._known is None:
+            rows = self._read("manifest", "version int, segments array<int>, folded int, gone boolean, n long, total long").orderBy(F.desc("version")).limit(1).collect()
+            self._known = State(*rows[0]) if rows else State()
+        return self._known
+
+    def refresh(self) -> None:
+        self._known = None
 
     def _commit(self, state: State) -> None:
         """The state of the next version."""
         row = (state.version + 1, state.segments, state.folded, state.gone, state.n, state.total)
         rows = self.spark.createDataFrame([row], "version int, segments array<int>, folded int, gone boolean, n long, total long")
         rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self._known = replace(state, version=state.version + 1)
 
     def _segments(self, part: str, schema: str) -> DataFrame:
         found = [self._read(f"segment-{s}/{part}", schema) for s in self.state().segments]
@@ -230,12 +240,35 @@ class Index:
     def search(self, query: str, limit: int, docs: DataFrame | None = None, average: float | None = None) -> DataFrame:
         """(id, score, rank): the ``limit`` best documents. Equal scores go by the columns ``TIES`` of ``docs``,
         which is read for those ids only, and only if scores are equal."""
-        terms = " ".join(query_terms(query))
-        asked = self.spark.createDataFrame([(0, terms)], "query_id long, query string")
-        found = staged(self.search_many(asked, limit, average=average).select("id", "score"), "found")
+        state, gone = self.state(), self.removed()
+        terms = query_terms(query)
+        blocks = self.postings(terms)
+        # a row for each term of the query
+        weights = {x["term"]: math.log1p((state.n - x["df"] + 0.5) / (x["df"] + 0.5)) for x in self.frequencies(blocks).collect()} if terms else {}
+        if not weights:
+            return self.spark.createDataFrame([], f"id {self.id_type}, score double, rank int")
+        mean = F.lit(float(average or state.total / max(1, state.n) or 1.0))
+        idf = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("term")]
+        bounds = blocks.where(F.col("term").isin(list(weights))).withColumn("idf", idf).withColumn("bound", F.col("idf") * _sat(F.col("best_tf"), F.col("least_len"), mean))
+
+        def parts(rows: DataFrame) -> DataFrame:
+            each = self._exploded(rows, "idf")
+            each = each if gone is None else each.join(gone, "id", "left_anti")
+            return each.groupBy("id").agg(F.sum(F.col("idf") * _sat(F.col("tf"), F.col("len"), mean)).alias("score"))
+
+        most = {x["term"]: x["most"] for x in bounds.groupBy("term").agg(F.max("bound").alias("most")).collect()}
+        first = parts(bounds.where("block = 0")).orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if first["n"] == limit:
+            others = F.create_map(*[F.lit(x) for t in most for x in (t, sum(most.values()) - most[t])])[F.col("term")]
+            bounds = bounds.where(F.col("bound") + others >= first["least"] - MARGIN)
+        found = staged(parts(bounds).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score")).limit(limit + EQUAL), "found")
+        top_rows = found.agg(F.count("*").alias("n"), F.count_distinct("score").alias("d"), F.min("score").alias("last")).first()
         last = found.orderBy(F.desc("score")).limit(limit).agg(F.min("score")).first()[0]
+        if top_rows["n"] == limit + EQUAL and top_rows["last"] == last:  # more of equal score than were kept
+            found = staged(parts(bounds).select("id", F.round("score", 6).alias("score")).where(F.col("score") >= F.lit(last)), "found")
+            top_rows = {"n": 1, "d": 0}
         reach = found.where(F.col("score") >= F.lit(last))
-        n, different = reach.agg(F.count("*"), F.count_distinct("score")).first()
+        n, different = top_rows["n"], top_rows["d"]
         order = [F.desc("score"), F.col("id")]
         if docs is not None and n > different:
             names = [c for c in TIES if c in docs.columns and c != "id"]
