@@ -97,7 +97,7 @@ SELECT item_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1
 kstat AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM kept),
 ktf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM kept) GROUP BY ALL),
 kdf AS (SELECT term, count(*) AS df FROM ktf GROUP BY 1),
-asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark))"""))
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark))"""))
 def r38(spark: SparkSession, d: str) -> DataFrame:
     """Three segments, a fifth of the documents removed, one segment folded in: the scores are those of the documents that are left."""
     texts, stored = v.texts(spark, d), postings.Index(spark)
