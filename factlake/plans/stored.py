@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from factlake import views as v
 from factlake.operators import ranking as r
+from factlake.operators import reconcile as rec
 from factlake.operators.maintained import Maintained, View, lengths_view, stats_view, terms_view
 from factlake.operators.stored import FactStore
 from factlake.plans.registry import query
 from factlake.plans.replication import LATEST, _versions
-from factlake.sources import feed
+from factlake.sources import feed, registry, snapshots
 from factlake.staging import new_dir
 from factlake.streaming.maintained import FollowedView
 from factlake.views import sql
@@ -106,3 +107,71 @@ def z2f(spark: SparkSession, d: str) -> DataFrame:
         counts = FollowedView(spark, counts.view.view, counts.path)  # a new process finds what is stored
         counts.follow(spark.readStream.format("changefeed").option("path", log).load(), checkpoint).awaitTermination()
     return counts.sums()
+
+
+def _replicas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of facts: this one lacks purchases of one day and has old signups of another; that one lacks errors of a third."""
+    rows = v.facts(spark, d).select("id", "content", "fact_type", F.col("created_at").alias("updated_at"))
+    day = lambda n: F.floor(F.col("updated_at") / 86_400_000) == 19_723 + n
+    edited = day(7) & (F.col("fact_type") == "signup")
+    there = rows.where(~(day(9) & (F.col("fact_type") == "error")))
+    there = there.withColumn("content", F.when(edited, F.concat("content", F.lit("+"))).otherwise(F.col("content"))).withColumn("updated_at", F.when(edited, F.col("updated_at") + 1).otherwise(F.col("updated_at")))
+    return rows.where(~(day(5) & (F.col("fact_type") == "purchase"))), there
+
+
+DAYS = "days AS (SELECT *, created_at // 86400000 - 19723 AS day FROM facts)"
+
+
+@query("s15_reconciled_ranges", sql("""SELECT id, CASE WHEN day = 7 AND fact_type = 'signup' THEN content || '+' ELSE content END AS content,
+CASE WHEN day = 7 AND fact_type = 'signup' THEN created_at + 1 ELSE created_at END AS updated_at FROM days""", DAYS))
+def s15r(spark: SparkSession, d: str) -> DataFrame:
+    """This replica after it got what the other has and it has not."""
+    here, there = _replicas(spark, d)
+    come, _ = rec.reconcile(here, there, ["id"], "updated_at", rec.depth_for(here.count()))
+    return here.join(come.select("id"), "id", "left_anti").unionByName(come).select("id", "content", "updated_at")
+
+
+@query("s15_ranges_sent", sql("""SELECT id, CASE WHEN fact_type = 'error' THEN 'there' ELSE 'here' END AS goes FROM days
+WHERE (day = 5 AND fact_type = 'purchase') OR (day = 7 AND fact_type = 'signup') OR (day = 9 AND fact_type = 'error')""", DAYS))
+def s15s(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that pass, and to which side."""
+    here, there = _replicas(spark, d)
+    come, go = rec.reconcile(here, there, ["id"], "updated_at", rec.depth_for(here.count()))
+    return come.select("id", F.lit("here").alias("goes")).unionByName(go.select("id", F.lit("there").alias("goes")))
+
+
+def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"facts": v.facts(spark, d).select("id", "content", "fact_type"), "entities": v.entities(spark, d), "relations": v.relations(spark, d)}
+
+
+@query("s20_verified_snapshot", sql("SELECT 'facts' AS name, count(*) AS n FROM facts UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relations', count(*) FROM relations"))
+def s20v(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of three tables, checked file by file before it takes the place of the one before."""
+    target = snapshots.Snapshots(spark)
+    target.put({name: df.limit(0) for name, df in _parts(spark, d).items()})
+    target.put(_parts(spark, d))
+    tables = target.tables()
+    counts = [tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in sorted(tables)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("s29_store_registry", sql("""SELECT 'events' AS project, CASE WHEN fact_type = 'view' THEN 'cold' ELSE 'hot' END AS tier, id, content FROM facts WHERE source_id IS DISTINCT FROM 'ns1'
+UNION ALL SELECT 'documents', 'hot', id, content FROM texts WHERE source_id IS DISTINCT FROM 'ns1'"""))
+def s29r(spark: SparkSession, d: str) -> DataFrame:
+    """Two projects, one of them in two tiers, and a third whose files cannot be read: it costs its own rows only."""
+    stores = registry.Stores(spark)
+    facts = v.facts(spark, d).select("id", "content", "source_id", "fact_type")
+    stores.put("events", "hot", facts.where("fact_type <> 'view'").drop("fact_type"))
+    stores.put("events", "cold", facts.where("fact_type = 'view'").drop("fact_type"))
+    stores.put("documents", "hot", v.texts(spark, d).select("id", "content", "source_id"))
+    stores.register("lost", "hot", new_dir(spark, "no-store"))
+    return stores.scan(F.col("source_id").isNull() | (F.col("source_id") != "ns1")).select("project", "tier", "id", "content")
+
+
+@query("s29_store_report", sql("SELECT 'events' AS project, 'hot' AS tier, true AS readable UNION ALL SELECT 'lost', 'hot', false"))
+def s29s(spark: SparkSession, d: str) -> DataFrame:
+    """Which stores can be read."""
+    stores = registry.Stores(spark)
+    stores.put("events", "hot", v.facts(spark, d).select("id", "content", "source_id"))
+    stores.register("lost", "hot", new_dir(spark, "no-store"))
+    return stores.report().select("project", "tier", F.col("error").isNull().alias("readable"))
