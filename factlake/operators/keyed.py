@@ -55,7 +55,8 @@ class KeyedTable:
         self.spark, self.keys, self.schema, self.most = spark, keys, schema, most
         self.path = path or new_dir(spark, "keyed")
         self.buckets = list(buckets)
-        self.columns = spark.createDataFrame([], schema).columns
+        self.types = spark.createDataFrame([], schema).schema
+        self.columns = self.types.names
         self.bits = math.ceil(most * BITS_A_KEY / BITMAP) * BITMAP
         #: Rows of the buckets that were opened: to come to this table from the one before, and by lookups since.
         self.opened = 0
@@ -88,10 +89,16 @@ class KeyedTable:
         """Rows of buckets, with ``keyed_hash``; only their files are listed."""
         schema = f"{self.schema}, keyed_hash long"
         paths = [f"{self.path}/rows/part={p}/keyed_bucket={b.name}" for b in buckets for p in b.parts]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths)
+        # a filter that is false, so that Catalyst drops what would be joined to it
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.types]
+        return self.spark.range(1).where("false").select(*none, F.lit(None).cast("long").alias("keyed_hash"))
 
     def candidates(self, keys: DataFrame) -> DataFrame:
         """Rows whose key is, but for equal hashes, one of ``keys``; other buckets stay closed."""
+        if not any(b.parts for b in self.buckets):
+            return self._read([]).select(*self.columns)
         known = staged(self._known(self._placed(keys, self.buckets)), "keyed-known")
         names = {r[0] for r in known.select("keyed_bucket").distinct().collect()}  # at most the list of buckets
         mine = [b for b in self.buckets if b.name in names]
@@ -118,6 +125,8 @@ class KeyedTable:
     def _known(self, placed: DataFrame) -> DataFrame:
         """(keyed_bucket, keyed_hash) of rows whose bucket may hold their key."""
         keys = placed.select("keyed_bucket", "keyed_hash").distinct()
+        if not any(b.parts for b in self.buckets):
+            return keys.where("false")
         names = {r[0] for r in keys.select("keyed_bucket").distinct().collect()}
         paths = [f"{self.path}/filters/part={p}/keyed_bucket={b.name}" for b in self.buckets if b.name in names for p in b.parts]
         if not paths:
