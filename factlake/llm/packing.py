@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ from functools import reduce
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,25 +46,26 @@ from factlake.llm.common import ranked, staged, text_batches
 CAPACITY, END_ID = 2048, 0
 #: New sequences written by one task.
 OPENED_PER_TASK = 1_000_000
-#: Words that a task remembers the ids of, and the longest one.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Words that each of two generations remembers the ids of, and the longest one.
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
+#: Bytes of texts cut into words at a time.
+SOME_BYTES = 1 << 20
 
-#: Lower-case Latin-1 letters, then a run of plain marks: two pre-tokens at most.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:|#$%&*]*)")
-_ASCII_SPACES = re.compile(r"[ \t-\r]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Latin-1 letters, and marks of which a run is one pre-token.
+_LETTERS = "".join(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+_MARKS = ".,!?;:|#$%&*"
 
 
-class WordIds(dict):
-    """Ids, as bytes of little-endian uint32, of words between white space.
+class WordIds:
+    """Ids, as bytes of little-endian uint32, of texts.
 
     The tokenizer never joins across white space, so a text's ids are those of
-    its words in a row. Plain words skip its normaliser and splitter, which
-    would leave them as they are; all others go through the whole tokenizer.
+    its words in a row; Arrow cuts and counts the words. Letters in lower case
+    and marks behind them skip its normaliser and splitter, which would leave
+    them as they are; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         # byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and on
@@ -70,22 +73,60 @@ class WordIds(dict):
         rest = [b for b in range(256) if b not in own]
         byte_char = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.mapped = {c: "".join(byte_char[b] for b in chr(c).encode()) for c in range(256)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if m := _PLAIN.fullmatch(word.lower()):
-            ids = [t.id for part in m.groups() if part for t in self.model.tokenize(part.translate(self.mapped))]
+    def _encoded(self, word: str, plain: bool) -> bytes:
+        if plain:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.mapped))]
         else:
             ids = self.whole.encode(word, add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _known(self, words: pa.Array, plain: pa.Array) -> pa.Array:
+        """Ids of words, which are met again in the young generation."""
+        words, plain = (x.to_numpy(False).tolist() for x in (words, plain))
+        out = list(map(self.young.get, words))
+        for i, word in enumerate(words):
+            if out[i] is not None:
+                continue
+            ids = self.old.get(word)
+            out[i] = ids = self._encoded(word, plain[i]) if ids is None else ids
+            if len(word) <= CACHE_CHARS:
+                if len(self.young) >= CACHE_WORDS:
+                    self.young, self.old = {}, self.young
+                self.young[word] = ids
+        return pa.array(out, pa.large_binary())
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words: those of the letters, then those of the marks."""
+        marks = pc.utf8_ltrim(words, _LETTERS)
+        plain = pc.equal(pc.utf8_rtrim(marks, _MARKS), "")
+        marks = pc.if_else(plain, marks, "").dictionary_encode()
+        # other words hold more than letters, so no two kinds are equal
+        stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, _MARKS)), words).dictionary_encode()
+        letters = pc.equal(pc.utf8_ltrim(stems.dictionary, _LETTERS), "")
+        first = self._known(stems.dictionary, letters).take(stems.indices)
+        then = pa.array([self._encoded(m, True) for m in marks.dictionary.to_pylist()], pa.large_binary())
+        return pc.binary_join_element_wise(first, then.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array, some ``SOME_BYTES`` of texts at a time."""
+        texts = texts.fill_null("")
+        parts = np.cumsum(pc.binary_length(texts).to_numpy(False), dtype=np.int64) // SOME_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            lists = pc.ascii_split_whitespace(texts[lo:hi])
+            words = lists.flatten().dictionary_encode()
+            ids = self._of_words(words.dictionary).take(words.indices)
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(False), dtype=np.int64)])
+            ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False), dtype=np.int64)])].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            for start, end in zip(ends, ends[1:], strict=False):
+                yield bytes(data[start:end])
 
     def ids(self, text: str) -> bytes:
-        words = [w for w in _ASCII_SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        return next(self.of_texts(pa.array([text], pa.string())))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -113,8 +154,8 @@ def token_pieces(
         words = _word_ids(path)
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.of_texts(b.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))

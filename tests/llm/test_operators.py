@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import re
+import types
 import zipfile
 import zlib
 
@@ -12,6 +13,7 @@ import cases
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -280,6 +282,30 @@ def test_word_ids_equal_the_tokenizer(text):
     assert np.frombuffer(words.ids(text), "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_for_all_cases_and_marks():
+    """The tokenizer's merges run for each run of letters and each run of marks, not for each word that they make."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    model, calls = words.model, []
+    words.model = types.SimpleNamespace(tokenize=lambda part: calls.append(part) or model.tokenize(part))
+    stems, marks = [f"{a}nder{b}éble" for a in "bdfgh" for b in "lmnrst"], ["", ".", ",", "?!", "##"]
+    text = " ".join(form(s) + m for s in stems for m in marks for form in (str.lower, str.title, str.upper))
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= len(stems) + len(marks)
+
+
+def test_ids_of_many_texts(monkeypatch):
+    """Texts over several cuts and generations of remembered words, from a slice of an array."""
+    monkeypatch.setattr(packing, "SOME_BYTES", 300)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    rng = np.random.default_rng(4)
+    signs = list("aAbZéÉß×÷ŸÀ.,!?;:|#$%&*'’- \t\n\x1c\x85\xa0\u3000\u0301İ\u212aẞΣσ日가½ª19_\x00😀") + ["<|endoftext|>", "'s", " the"] * 3
+    texts = [None, "", " ", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 1500)), "word " * 500, None]
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    got = list(words.of_texts(pa.array(["left out", *texts])[1:]))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [words.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(words.of_texts(pa.array([], pa.string()))) == []
+
+
 def plain_best_fit(lengths, capacity):
     """Sequences that one global best fit, longest first, opens."""
     free = []
