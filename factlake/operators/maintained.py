@@ -10,7 +10,8 @@ last batch after a restart counts nothing twice.
 
 A largest value cannot be taken back by a sum. Views may name one; the store keeps the
 counts of the ``KEEP`` largest values of each key and how many rows lie below, and
-answers from those. Only when all of them are taken back must it be counted again.
+answers from those. Only when all of them are taken back must it be counted again: of
+such keys alone, from the table as it is, if the caller has it.
 """
 
 from __future__ import annotations
@@ -146,16 +147,22 @@ class Maintained:
         low = rows.where("__low").groupBy(*keys).agg(F.max("__floor").alias("floor"), F.sum("rows").alias("below"))
         return high, low
 
-    def largest(self, upto: int | None = None) -> DataFrame:
-        """(keys, largest value) of keys that have one."""
+    def largest(self, upto: int | None = None, table: DataFrame | None = None) -> DataFrame:
+        """(keys, largest value) of keys that have one. ``table``, as it is after the last batch
+        asked for, is counted again for keys whose kept values were all taken back."""
         high, low = self._values(upto)
         keys, top = list(self.view.keys), self.view.largest
         best = high.groupBy(*keys).agg(F.max("value").alias(top))
         lost = low.where("below > 0").select(*keys)
         lost = _by_keys(lost, best, keys).where(F.col(top).isNull())
-        if not lost.isEmpty():
+        best = best.where(F.col(top).isNotNull())
+        if lost.isEmpty():
+            return best
+        if table is None:
             raise RecountNeeded(f"count {top} again from the table")
-        return best.where(F.col(top).isNotNull())
+        again = self.view.rows(table).where(F.col(top).isNotNull()).groupBy(*keys).agg(F.max(top).cast("long").alias(top))
+        mine = _by_keys(again, lost.select(*keys, F.lit(True).alias("__lost")), keys).where("__lost").drop("__lost")
+        return best.unionByName(mine.where(F.col(top).isNotNull()))
 
     def fold(self, upto: int) -> None:
         """Make one delta of all up to a batch."""

@@ -69,8 +69,10 @@ def a4m(spark: SparkSession, d: str) -> DataFrame:
     counts.apply(3, before=views, after=ended)
     counts.fold(3)
     counts.apply(4, before=ended.unionByName(errors), after=views)
+    left = facts.where(~F.coalesce((F.col("fact_type") == "error") & (F.col("created_at") >= 1_706_000_000_000), F.lit(False)))
+    now = left.withColumn("pinned", F.col("pinned") & (F.col("fact_type") != "click"))
     keys = "fact_type"
-    return counts.sums().join(counts.largest(), keys, "left")
+    return counts.sums().join(counts.largest(table=now), keys, "left")
 
 
 @query("a25_maintained_terms", sql("SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM tokens WHERE source_id IS DISTINCT FROM 'es' GROUP BY 1"))
