@@ -15,6 +15,11 @@ structure prune little, and then all pairs of a namespace are compared.
 
 A cell with many rows of one namespace is dealt in parts of ``PART`` rows, each pair of
 parts a group of its own, so no task grows with the data.
+
+Every visit is a copy of a row. Where pivots do not prune, rows would visit half of all
+cells, so the number of pivots is chosen by a sample: as few as compare hardly more pairs
+than the best number does, of those with ``COPIES`` copies of a row or less. A single cell
+makes a copy for each part.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.staging import staged
+from factlake.staging import small, staged
 
 #: Pivots at most, rows of a part, and rows of a block of a matrix product.
-PIVOTS, PART, ROWS = 512, 8192, 1024
+PIVOTS, PART, ROWS = 512, 32_768, 1024
+#: Copies of a row that more pivots than one may make, on average.
+COPIES = 8
 #: Vectors that pivots are chosen from.
 SAMPLE = 4096
 #: Angles are rounded by this much at most, and cosines.
@@ -56,6 +63,25 @@ def choose_pivots(sample: np.ndarray, most: int, reach: float) -> np.ndarray:
     return sample[chosen]
 
 
+def _enough(sample: np.ndarray, centre: np.ndarray, reach: float, largest: int) -> int:
+    """How many of the pivots, from the first on, are worth their copies; ``largest`` is the size of the largest namespace."""
+    angles, options, k = _angles(sample, centre), [], len(centre)
+    while k:
+        some = angles[:, :k]
+        home, least = some.argmin(axis=1), some.min(axis=1)
+        radii = np.full(k, -np.inf)
+        np.maximum.at(radii, home, least)
+        goes = (some <= least[:, None] + 2 * reach + SLACK) & (some <= radii + reach + SLACK) & (np.arange(k) < home[:, None])
+        own = np.bincount(home, minlength=k) / len(sample)
+        parts = np.ceil(own * largest / PART)
+        copies = (goes @ parts + parts[home]).mean()
+        options.append((k, copies, (own * (own / 2 + goes.mean(axis=0))).sum()))
+        k //= 2
+    options = [o for o in options if o[1] <= COPIES or o[0] == 1]
+    best = min(o[2] for o in options)
+    return min((o for o in options if o[2] <= 1.1 * best), key=lambda o: o[1])[0]
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(id, ns, u) of the vectors (id, ns, v) that are not null or zero and have no null or odd component."""
     v = F.col("v").cast("array<double>")
@@ -80,18 +106,24 @@ def dealt(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFra
     if not len(sample):
         return rows.select("ns", F.lit(0).alias("cell"), F.lit(0).alias("a"), F.lit(0).alias("b"), "id", F.lit(0.0).alias("angle"), F.lit(True).alias("home"), "u").where("false")
     reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-    centre = choose_pivots(_matrix(sample), some, reach)
+    centre = _matrix(sample)
+    largest = rows.groupBy("ns").count().agg(F.max("count")).first()[0]
+    chosen = choose_pivots(centre, some, reach)
+    centre = chosen[: _enough(centre, chosen, reach, largest)]
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            angles = _angles(_matrix(b.column(0)), centre)
+            angles = _angles(_matrix(b.column(1)), centre)
             cell = angles.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(angles.min(axis=1))], names=["cell", "angle"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array(angles.min(axis=1))], names=["__ns", "__cell", "angle"])
 
+    ns_type = dict(vectors.dtypes)["ns"]
+    placed = rows.select("ns", "u").mapInArrow(homes, f"__ns {ns_type}, __cell long, angle double")
+    sizes = staged(placed.groupBy("__ns", "__cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max("angle").alias("r")), "cells")
     radii = np.full(len(centre), -np.inf)
     # a row for each pivot
-    for r in rows.select("u").mapInArrow(homes, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radii[r["cell"]] = r["r"]
+    for r in sizes.groupBy("__cell").agg(F.max("r").alias("r")).collect():
+        radii[r["__cell"]] = r["r"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,19 +138,15 @@ def dealt(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFra
                 out = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(angles[row, cell]), pa.array(home[row] == cell)], names=["id", "ns", "u", "cell", "angle", "home"])
 
-    placed = rows.select("id", "ns", "u").mapInArrow(spread, f"id {id_type}, ns {dict(vectors.dtypes)['ns']}, u array<double>, cell long, angle double, home boolean")
-    placed = staged(placed, "placed-vectors")
-    sizes = placed.groupBy(F.col("ns").alias("__ns"), F.col("cell").alias("__cell")).agg(F.ceil(F.count_if("home") / PART).cast("int").alias("parts"))
+    placed = rows.select("id", "ns", "u").mapInArrow(spread, f"id {id_type}, ns {ns_type}, u array<double>, cell long, angle double, home boolean")
     key = F.col("ns").eqNullSafe(F.col("__ns")) & (F.col("cell") == F.col("__cell"))
-    rows = placed.join(sizes.where("parts > 0"), key).select("ns", "cell", "id", "angle", "home", "u", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    rows = placed.join(small(sizes.drop("r")), key).select("ns", "cell", "id", "angle", "home", "u", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     # a home is compared with the parts from its own on, a visitor with all parts
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("*", each)
-    own = rows.where("home")
-    left = own.where("part <= other").select("ns", "cell", F.col("part").alias("a"), F.col("other").alias("b"), "id", "angle", F.lit(True).alias("home"), "u")
-    right = own.where("part > other").select("ns", "cell", F.col("other").alias("a"), F.col("part").alias("b"), "id", "angle", F.lit(False).alias("home"), "u")
-    visits = rows.where("NOT home").select("ns", "cell", F.col("other").alias("a"), F.col("other").alias("b"), "id", "angle", F.lit(False).alias("home"), "u")
-    return left.unionByName(right).unionByName(visits)
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    place = lambda c: F.when(F.col("home"), c).otherwise(F.col("other"))
+    return rows.select("ns", "cell", place(low).alias("a"), place(high).alias("b"), "id", "angle", (F.col("home") & (F.col("part") <= F.col("other"))).alias("home"), "u")
 
 
 def _pairs_within(x: np.ndarray, at: np.ndarray, y: np.ndarray, to: np.ndarray, threshold: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
