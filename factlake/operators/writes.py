@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from factlake.functions import text as x
 from factlake.operators import lifecycle as life
 from factlake.operators.filters import current, entity_by_name
-from factlake.operators.ranking import bm25_many
+from factlake.operators.lexjoin import bm25_join
 from factlake.staging import cut, small
 
 
@@ -25,7 +25,7 @@ def similar_hints(facts: DataFrame, new: DataFrame, least: float = 1.0) -> DataF
     """(id, similar_id, score): for each new row the best current fact of its
     namespace by its own content, if it reaches ``least``."""
     asked = new.select(F.col("id").alias("query_id"), F.col("content").alias("query"), "source_id")
-    found = bm25_many(facts.where(current()).select("id", "content", "source_id"), asked, 1, same="source_id")
+    found = bm25_join(facts.where(current()).select("id", "content", "source_id"), asked, 1, same="source_id")
     return found.where(F.col("score") >= least).select(F.col("query_id").alias("id"), F.col("id").alias("similar_id"), "score")
 
 
@@ -237,7 +237,7 @@ def mined_edges(facts: DataFrame, bridge: DataFrame, existing: DataFrame, k: int
     unless the edge exists in that scope or both are one. The best score weighs.
     """
     asked = facts.select(F.col("id").alias("query_id"), F.col("content").alias("query"), "source_id")
-    found = bm25_many(facts.where(current()).select("id", "content", "source_id"), asked, k, same="source_id", but_own=True)
+    found = bm25_join(facts.where(current()).select("id", "content", "source_id"), asked, k, same="source_id", but_own=True)
     near = found.where(F.col("score") >= least).join(facts.select(F.col("id").alias("query_id"), F.col("source_id").alias("scope")), "query_id")
     of = lambda key, name: bridge.select(F.col("fact_id").alias(key), F.col("entity_id").alias(name))
     pairs = near.join(of("query_id", "source_id"), "query_id").join(of("id", "target_id"), "id").where("source_id <> target_id")
